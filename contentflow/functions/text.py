@@ -153,53 +153,84 @@ def readability_with_penalties(c) -> Column:
 
 
 # --- coherence, engagement, originality ---------------------------------------------
+# These take arrays: a caller that needs several of them keeps the arrays as columns,
+# so each text is cut once. Folds use a finish step, so they run once per row.
 
-def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
-    return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), empty)
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays without repeats; 0 when both are empty."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union > 0, (F.size(a) + F.size(b)) / union - 1).otherwise(F.lit(0.0))
 
 
-def neighbour_scores(sets: Column) -> Column:
-    """Jaccard of each set with the next one; pairs with an empty side are left out."""
-    pairs = F.transform(
-        F.slice(sets, 2, F.greatest(F.size(sets) - 1, F.lit(0))),
-        lambda b, i: F.struct(sets[i].alias("a"), b.alias("b")),
-    )
-    usable = F.filter(pairs, lambda p: (F.size(p["a"]) > 0) & (F.size(p["b"]) > 0))
-    return F.transform(usable, lambda p: jaccard(p["a"], p["b"]))
+def word_sets(pieces: Column) -> Column:
+    return F.transform(pieces, lambda s: F.array_distinct(words(F.lower(s))))
 
 
-def mean_of(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(arr), F.lit(0))
+def token_sets(pieces: Column) -> Column:
+    return F.transform(pieces, lambda s: F.array_distinct(tokens(s)))
 
 
-def coherence(c) -> Column:
-    """Mean word overlap of neighbouring sentences (``". "`` split)."""
-    pieces = period_pieces(c)
-    sets = F.transform(pieces, lambda s: F.array_distinct(words(F.lower(s))))
-    return F.when(F.size(pieces) < 2, F.lit(1.0)).otherwise(F.coalesce(mean_of(neighbour_scores(sets)), F.lit(0.5)))
+def fold_neighbours(sets, finish, low_below: float = 0.3) -> Column:
+    """Fold of the Jaccard scores of neighbouring sets; pairs with an empty side are left out."""
+    start = F.struct(
+        F.array().cast("array<string>").alias("prev"), F.lit(0).alias("size"), F.lit(0).alias("n"),
+        F.lit(0).alias("low"), F.lit(0.0).alias("total"), F.lit(0.0).alias("last"))
+
+    def score(acc, cur):
+        usable = (acc["size"] > 0) & (F.size(acc["prev"]) > 0) & (F.size(cur) > 0)
+        value = F.when(usable, (F.size(acc["prev"]) + F.size(cur)) / F.size(F.array_union(acc["prev"], cur)) - 1)
+        return F.struct(acc.alias("acc"), cur.alias("cur"), value.alias("value"))
+
+    def step(acc, cur):
+        done = F.transform(F.array(score(acc, cur)), lambda s: F.struct(
+            s["cur"].alias("prev"), (s["acc"]["size"] + 1).alias("size"),
+            (s["acc"]["n"] + s["value"].isNotNull().cast("int")).alias("n"),
+            (s["acc"]["low"] + F.coalesce(s["value"] < low_below, F.lit(False)).cast("int")).alias("low"),
+            (s["acc"]["total"] + F.coalesce(s["value"], F.lit(0.0))).alias("total"),
+            F.coalesce(s["value"], F.lit(0.0)).alias("last")))
+        return F.get(done, F.lit(0))
+
+    return F.aggregate(col(sets), start, step, finish)
 
 
-def shift_coherence(c, shift_below: float = 0.3) -> Column:
+def coherence_of(sets) -> Column:
+    """Mean overlap of neighbours: 1 for a single piece, 0.5 when no pair is usable."""
+    return fold_neighbours(sets, lambda a: F.when(a["size"] < 2, F.lit(1.0)).when(a["n"] == 0, F.lit(0.5))
+                           .otherwise(a["total"] / a["n"]))
+
+
+def shift_coherence_of(sets, shift_below: float = 0.3) -> Column:
     """Mean neighbour similarity averaged with the share of steady transitions."""
-    sents = sentences(c)
-    scores = neighbour_scores(F.transform(sents, lambda s: F.array_distinct(tokens(s))))
-    steady = 1 - ratio(F.size(F.filter(scores, lambda x: x < shift_below)), F.size(scores))
-    value = clamp((mean_of(scores) + steady) / 2, 0.0, 1.0)
-    return F.when(F.size(sents) < 2, F.lit(1.0)).otherwise(F.coalesce(value, F.lit(0.5)))
-
-
-def engagement(c) -> Column:
-    sents = sentences_with_end(c)
-    n = F.size(sents)
-    lengths = F.transform(sents, lambda s: token_count(s).cast("double"))
-    mean = mean_of(lengths)
-    mean_sq = mean_of(F.transform(lengths, lambda x: x * x))
-    variance = F.coalesce(F.greatest(mean_sq - mean * mean, F.lit(0.0)), F.lit(0.0))
-    marked = F.size(F.filter(sents, lambda s: s.endswith("?") | s.endswith("!")))
-    alpha = alpha_tokens(c)
-    rich = ratio(F.size(F.array_distinct(alpha)), F.size(alpha))
-    score = rich * 0.4 + F.least(variance / 100, F.lit(1.0)) * 0.2 + F.least(ratio(marked, n) * 2, F.lit(1.0)) * 0.4
-    return clamp(score, 0.0, 1.0)
+    return fold_neighbours(
+        sets, lambda a: F.when(a["size"] < 2, F.lit(1.0)).when(a["n"] == 0, F.lit(0.5))
+        .otherwise(clamp((a["total"] / a["n"] + 1 - a["low"] / a["n"]) / 2, 0.0, 1.0)), shift_below)
+
+
+def coherence(c) -> Column:
+    return coherence_of(word_sets(period_pieces(c)))
+
+
+def shift_coherence(c) -> Column:
+    return shift_coherence_of(token_sets(sentences(c)))
+
+
+def sentence_variety(marked_sentences) -> Column:
+    """0.2 x capped variance of the sentence lengths + 0.4 x capped share of questions and exclamations."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).alias("m"))
+    rows = F.transform(col(marked_sentences), lambda s: F.struct(
+        token_count(s).cast("double").alias("len"), (s.endswith("?") | s.endswith("!")).cast("int").alias("mark")))
+    return F.aggregate(
+        rows, start,
+        lambda a, r: F.struct((a["n"] + 1).alias("n"), (a["s"] + r["len"]).alias("s"),
+                              (a["q"] + r["len"] * r["len"]).alias("q"), (a["m"] + r["mark"]).alias("m")),
+        lambda a: F.when(a["n"] == 0, F.lit(0.0)).otherwise(
+            F.least(F.greatest(a["q"] / a["n"] - (a["s"] / a["n"]) * (a["s"] / a["n"]), F.lit(0.0)) / 100, F.lit(1.0)) * 0.2
+            + F.least(a["m"] / a["n"] * 2, F.lit(1.0)) * 0.4))
+
+
+def engagement_of(marked_sentences, alpha) -> Column:
+    rich = ratio(F.size(F.array_distinct(col(alpha))), F.size(col(alpha)))
+    return clamp(rich * 0.4 + sentence_variety(marked_sentences), 0.0, 1.0)
 
 
 def phrases(c, stop_words=ENGLISH_STOP_WORDS) -> Column:
@@ -211,20 +242,19 @@ def phrases(c, stop_words=ENGLISH_STOP_WORDS) -> Column:
     return F.filter(F.transform(F.split(F.array_join(marked, " "), r"\|"), strip), lambda p: p != "")
 
 
-def sentence_shapes(c) -> Column:
+def sentence_shapes(pieces) -> Column:
     """One string per sentence: N number, C capitalised word, w other word."""
     def shape(s):
         toks = F.regexp_extract_all(s, F.lit(TOKEN_RE), F.lit(0))
         return F.array_join(
             F.transform(toks, lambda t: F.when(t.rlike(r"^[0-9]"), F.lit("N")).when(t.rlike(r"^[A-Z]"), F.lit("C"))
                         .otherwise(F.lit("w"))), "")
-    return F.transform(sentences(c), shape)
+    return F.transform(col(pieces), shape)
 
 
-def originality(c, stop_words=ENGLISH_STOP_WORDS) -> Column:
-    ph, shapes = phrases(c, stop_words), sentence_shapes(c)
-    score = ratio(F.size(F.array_distinct(ph)), F.size(ph)) * 0.6 + ratio(
-        F.size(F.array_distinct(shapes)), F.size(shapes)) * 0.4
+def originality_of(phrase_array, shape_array) -> Column:
+    ph, sh = col(phrase_array), col(shape_array)
+    score = ratio(F.size(F.array_distinct(ph)), F.size(ph)) * 0.6 + ratio(F.size(F.array_distinct(sh)), F.size(sh)) * 0.4
     return clamp(score, 0.0, 1.0)
 
 
@@ -253,13 +283,10 @@ def entity_label(e) -> Column:
     )
 
 
-def fact_density(c) -> Column:
-    found = entities(c)
-    labels = F.transform(found, entity_label)
-    hard = F.size(F.filter(labels, lambda x: x.isin("DATE", "GPE", "ORG", "MONEY", "PERCENT")))
-    numbers = F.regexp_count(col(c), F.lit("[0-9]+"))
-    n = token_count(c)
-    return F.when(n > 0, F.least(3.0 * (F.size(found) + numbers + hard) / n, F.lit(1.0))).otherwise(F.lit(0.0))
+def fact_density_of(entity_array, numbers, n_tokens) -> Column:
+    found, n = col(entity_array), col(n_tokens)
+    hard = F.size(F.filter(found, lambda e: entity_label(e).isin("DATE", "GPE", "ORG", "MONEY", "PERCENT")))
+    return F.when(n > 0, F.least(3.0 * (F.size(found) + col(numbers) + hard) / n, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
 # --- summaries -----------------------------------------------------------------------
@@ -294,10 +321,75 @@ def lexicon_balance(c, positive, negative) -> Column:
     return ratio(p - n, p + n)
 
 
-def word_pattern(vocabulary) -> str:
-    """Pattern that counts whole tokens of a vocabulary in a lower-cased text."""
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(vocabulary) + r")(?![\p{L}\p{N}])"
+def vocabulary_hits(c, vocabulary) -> Column:
+    """Number of tokens that belong to a vocabulary."""
+    return hits(tokens(c), vocabulary)
+
 
+def hits(token_array, vocabulary) -> Column:
+    return F.size(F.filter(col(token_array), lambda t: t.isin(list(vocabulary))))
 
-def vocabulary_hits(c, vocabulary) -> Column:
-    return F.regexp_count(F.lower(col(c)), F.lit(word_pattern(vocabulary)))
+
+def most_repeated(arr) -> Column:
+    """Highest number of equal elements: sort, then follow the runs inside the row."""
+    start = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc, x):
+        run = F.when(x == acc["prev"], acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("prev"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(col(arr)), start, step)["best"]
+
+
+def longest_first(arr, n: int) -> Column:
+    """Up to ``n`` distinct strings, longest first, then alphabetical."""
+    keyed = F.transform(F.array_distinct(col(arr)), lambda p: F.struct((-F.length(p)).alias("k"), p.alias("p")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["p"])
+
+
+def language_of(token_array, profiles: dict[str, list[str]], default: str = "en") -> Column:
+    """Language whose function words occur most; ties go to the first name."""
+    scores = [(hits(token_array, words_), lang) for lang, words_ in sorted(profiles.items())]
+    best = F.greatest(*[s for s, _ in scores])
+    out = F.when(best == 0, default)
+    for s, lang in scores:
+        out = out.when(s == best, lang)
+    return out
+
+
+def mention_positions(text, entity: str) -> Column:
+    """0-based starts of the non-overlapping, case-insensitive mentions of a literal."""
+    parts = F.split(F.lower(col(text)), r"\Q" + entity.lower() + r"\E")
+    width = len(entity)
+    lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)
+    return F.transform(
+        lengths,
+        lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, x: a + x) + i * width)
+
+
+def around(text, start, end, margin: int = 50) -> Column:
+    """Text between ``margin`` characters before ``start`` and after ``end`` (0-based, end exclusive)."""
+    lo = F.greatest(F.lit(0), col(start) - margin)
+    hi = F.least(F.length(col(text)), col(end) + margin)
+    return F.substring(col(text), lo + 1, hi - lo)
+
+
+def source_context(fact, content, ratio_above: float = 80.0) -> Column:
+    """Surroundings of an exact hit, the whole text for a near match of sorted words, else null.
+
+    The edit distance is only computed when the lengths allow such a match."""
+    fact, content = col(fact), col(content)
+    at = F.position(fact, content) - 1
+    a = F.array_join(F.array_sort(tokens(fact)), " ")
+    b = F.array_join(F.array_sort(tokens(content)), " ")
+    longest = F.greatest(F.length(a), F.length(b))
+    possible = (longest > 0) & (F.abs(F.length(a) - F.length(b)) <= longest * (1 - ratio_above / 100))
+    near = F.when(possible, 100 * (1 - F.levenshtein(a, b) / longest) > ratio_above).otherwise(False)
+    return F.when(at >= 0, around(content, at, at + F.length(fact))).when(near, content)
+
+
+def relevance(summary, body, default: float = 0.8) -> Column:
+    """Share of the distinct content words of a summary that occur in the text."""
+    own = F.array_distinct(content_tokens(summary))
+    return F.when(F.size(own) == 0, F.lit(default)).otherwise(
+        ratio(F.size(F.array_intersect(own, F.array_distinct(tokens(body)))), F.size(own)))

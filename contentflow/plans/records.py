@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contentflow.functions import dates, rules, text
 from contentflow.operators import normalize, ordering, storage
 from contentflow.plans.registry import query
-from contentflow.sources.views import AS_OF, ATTEMPTS_SQL, CONTENT_SQL, ERRORS_SQL, ITEMS_SQL, as_of
+from contentflow.sources.views import AS_OF, ATTEMPTS_SQL, CONTENT_SQL, ERRORS_SQL, ITEMS_SQL, as_of, small_table
 from contentflow.vocab import LOG_LEVELS, MIME_TYPES, NOTICE_COLOURS, RETRY_LIMITS, SENSITIVE_KEYS
 
 TS = "yyyy-MM-dd HH:mm:ss"
@@ -505,7 +505,7 @@ LEFT JOIN (VALUES ('inoreader','rate_limit_error',5),('inoreader','api_error',3)
  ('webhook','rate_limit_error',5),('webhook','delivery_error',3),('webhook','system_error',2),
  ('test_service','processing_error',1),('test_service','system_error',1)) l(s,c,n) ON l.s=e.system AND l.c=e.category""")
 def retry_limits(t):
-    limits = t.spark.createDataFrame(RETRY_LIMITS, "system string, category string, n int")
+    limits = small_table(t.spark, RETRY_LIMITS, "system string, category string, n int")
     system = (F.when(F.col("service") == "svc0", "inoreader").when(F.col("service") == "svc1", "webhook")
               .when(F.col("service") == "svc2", "test_service").otherwise(F.col("service")))
     return (t.errors().withColumn("system", system).join(F.broadcast(limits), ["system", "category"], "left")

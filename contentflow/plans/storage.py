@@ -88,11 +88,11 @@ def webhook_batches(t):
 
 @query("B8_stop_at_first_failure", "WITH " + ITEMS_SQL + """,
 b AS (SELECT CAST((row_number() OVER (ORDER BY published, id) - 1) // 50 AS BIGINT) AS batch_id, value FROM items),
-s AS (SELECT batch_id, count(*) AS n_items, max(value) < 250 AS ok FROM b GROUP BY 1)
+s AS (SELECT batch_id, count(*) AS n_items, max(value) < 400 AS ok FROM b GROUP BY 1)
 SELECT batch_id, n_items, ok FROM s WHERE batch_id <= coalesce((SELECT min(batch_id) FROM s WHERE NOT ok), 9223372036854775807)""")
 def stop_at_first_failure(t):
     b = queueing.assign_batches(t.items().select("published", "id", "value"), ["published", "id"], 50)
-    s = b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_items"), (F.max("value") < 250).alias("ok"))
+    s = b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_items"), (F.max("value") < 400).alias("ok"))
     return queueing.sent_until_failure(s, "ok")
 
 

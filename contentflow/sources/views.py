@@ -20,6 +20,13 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A fixed dimension as a local relation; its size is that of the literal list."""
+    names, kinds = zip(*[c.strip().split(" ") for c in schema.split(",")])
+    structs = [F.struct(*[F.lit(v).cast(k).alias(n) for v, n, k in zip(r, names, kinds)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 class Tables:
     """Lazily opened tables of one scale-factor folder plus the derived views."""
 
