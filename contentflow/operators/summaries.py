@@ -1,7 +1,9 @@
 """Extractive summaries, key points and summary records.
 
-Sentences are ranked by the mean in-text frequency of their content words. All
-groups are single texts, so their size is bounded by the text.
+Sentences are ranked by the mean frequency of their content words inside the
+text, or inside the group of texts when the key is a group. A word budget of n
+can hold at most n sentences, so a top-n per key is exact and keeps a hot group
+from travelling whole.
 """
 
 from __future__ import annotations
@@ -12,26 +14,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentflow.functions import text as x
+from contentflow.operators.ordering import top_per_key
 from contentflow.operators.quality import content_words
 
 
 def ranked_sentences(docs: DataFrame, key: list[str], body: str = "text") -> DataFrame:
     """(key, pos, sentence, n_words, score)."""
-    sents = docs.select(*key, F.posexplode(x.sentences(body)).alias("pos", "sentence"))
+    return scored_sentences(docs.select(*key, F.posexplode(x.sentences(body)).alias("pos", "sentence")), key)
+
+
+def scored_sentences(sents: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``n_words`` and ``score`` to (key, pos, sentence); ``pos`` is unique per key."""
     terms = sents.select(*key, "pos", F.explode(content_words(x.tokens("sentence"))).alias("term"))
     per = terms.groupBy(*key, "term", "pos").agg(F.count(F.lit(1)).alias("c"))
-    tf = per.withColumn("tf", F.sum("c").over(Window.partitionBy(*key, "term")))
-    scores = tf.groupBy(*key, "pos").agg((F.sum(F.col("c") * F.col("tf")) / F.sum("c")).alias("score"))
+    totals = per.groupBy(*key, "term").agg(F.sum("c").alias("tf"))
+    scores = per.join(totals, [*key, "term"]).groupBy(*key, "pos").agg((F.sum(F.col("c") * F.col("tf")) / F.sum("c")).alias("score"))
     return (sents.withColumn("n_words", x.word_count("sentence"))
             .join(scores, [*key, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
 
 
 def extractive_summary(docs: DataFrame, key: list[str], body: str = "text", max_words: int = 150) -> DataFrame:
     """Best sentences up to the word budget (the best one always), in original order."""
-    best = Window.partitionBy(*key).orderBy(F.col("score").desc(), "pos")
-    running = F.sum("n_words").over(best.rowsBetween(Window.unboundedPreceding, 0))
-    picked = (ranked_sentences(docs, key, body)
-              .withColumn("_total", running).withColumn("_rank", F.row_number().over(best))
+    return pick_sentences(ranked_sentences(docs, key, body), key, max_words)
+
+
+def pick_sentences(ranked: DataFrame, key: list[str], max_words: int = 150) -> DataFrame:
+    order = [F.round("score", 9).desc(), F.col("pos").asc()]
+    best = Window.partitionBy(*key).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    picked = (top_per_key(ranked, key, order, max(max_words, 1), out="_rank")
+              .withColumn("_total", F.sum("n_words").over(best))
               .filter((F.col("_total") <= max_words) | (F.col("_rank") == 1)))
     return picked.groupBy(*key).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda s: s["sentence"]), ". ").alias("summary"),
@@ -58,7 +69,7 @@ def abstractive_summary(docs: DataFrame, key: list[str], body: str = "text",
 def key_points(docs: DataFrame, key: list[str], body: str = "text", group: int = 5) -> DataFrame:
     """One sentence for every ``group`` consecutive sentences: the best scored."""
     s = ranked_sentences(docs, key, body).withColumn("point", F.floor(F.col("pos") / group))
-    best = F.max_by("sentence", F.struct("score", (-F.col("pos")).alias("first")))
+    best = F.max_by("sentence", F.struct(F.round("score", 9).alias("score"), (-F.col("pos")).alias("first")))
     return s.groupBy(*key, "point").agg(best.alias("sentence"))
 
 
