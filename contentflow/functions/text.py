@@ -162,6 +162,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, (F.size(a) + F.size(b)) / union - 1).otherwise(F.lit(0.0))
 
 
+def mean_of(arr) -> Column:
+    """Mean of an array of numbers, null when it is empty."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+    return F.aggregate(
+        col(arr), start, lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + v).alias("s")),
+        lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
+
+
 def word_sets(pieces: Column) -> Column:
     return F.transform(pieces, lambda s: F.array_distinct(words(F.lower(s))))
 
