@@ -23,37 +23,86 @@ def term_array(body, stop_words=ENGLISH_STOP_WORDS) -> Column:
     return F.filter(x.tokens(body), keep)
 
 
+def _terms(docs: DataFrame, keep: list, body: str, stop_words, bigrams: bool) -> DataFrame:
+    """``keep`` columns plus ``_t``: the term array of each text."""
+    toks = docs.select(*keep, term_array(body, stop_words).alias("_t"))
+    if not bigrams:
+        return toks
+    nexts = F.slice(F.col("_t"), 2, F.greatest(F.size("_t") - 1, F.lit(0)))
+    pairs = F.filter(F.zip_with("_t", nexts, lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b))),
+                     lambda p: p.isNotNull())
+    return toks.withColumn("_t", F.concat("_t", pairs))
+
+
 def term_counts(docs: DataFrame, group: list[str], doc: str, body: str = "text", stop_words=ENGLISH_STOP_WORDS,
                 bigrams: bool = False) -> DataFrame:
     """(group, doc, term, tf)."""
-    toks = docs.select(*group, doc, term_array(body, stop_words).alias("_t"))
-    if not bigrams:
-        rows = toks.select(*group, doc, F.explode("_t").alias("term"))
-    else:
-        nexts = F.slice(F.col("_t"), 2, F.greatest(F.size("_t") - 1, F.lit(0)))
-        pairs = F.filter(F.zip_with("_t", nexts, lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b))),
-                         lambda p: p.isNotNull())
-        rows = toks.select(*group, doc, F.explode(F.concat("_t", pairs)).alias("term"))
+    rows = _terms(docs, [*group, doc], body, stop_words, bigrams).select(*group, doc, F.explode("_t").alias("term"))
     return rows.groupBy(*group, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, sizes: DataFrame, group: list[str], max_features: int,
-               max_df: float | None = None) -> DataFrame:
-    """(group, term, df, idf): the most frequent terms of each group with smooth idf.
+def term_stats(docs: DataFrame, group: list[str], body: str = "text", stop_words=ENGLISH_STOP_WORDS,
+               bigrams: bool = False) -> DataFrame:
+    """(group, term, corpus_tf, df). Occurrences and first occurrences are summed in one
+    aggregate, so the shuffle carries partial sums per term and never (text, term) pairs."""
+    every = F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    first = F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    rows = _terms(docs, group, body, stop_words, bigrams).select(*group, F.inline(F.concat(every, first)))
+    return rows.groupBy(*group, "term").agg(F.sum("tf").alias("corpus_tf"), F.sum("df").alias("df"))
+
+
+def vocabulary(stats: DataFrame, sizes: DataFrame, group: list[str], max_features: int) -> DataFrame:
+    """(group, term, df, n_docs, idf): the most frequent terms of each group with smooth idf.
 
     ``sizes(group, n_docs)``. Ties in frequency are resolved by term."""
-    stats = counts.groupBy(*group, "term").agg(F.sum("tf").alias("corpus_tf"), F.count(F.lit(1)).alias("df")).join(sizes, group)
-    if max_df is not None:
-        stats = stats.filter(F.col("df") <= F.col("n_docs") * max_df)
-    kept = top_per_key(stats, group, [F.col("corpus_tf").desc(), F.col("term").asc()], max_features)
-    return kept.select(*group, "term", "df", "n_docs", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    kept = top_per_key(stats, group, [F.col("corpus_tf").desc(), F.col("term").asc()], max_features).join(sizes, group)
+    return kept.select(*group, "term", "df", "n_docs", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+
+
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.log((1 + n_docs) / (1 + df)) + 1
+
+
+def vocabulary_counts(docs: DataFrame, vocab: DataFrame, group: list[str], doc: str, body: str = "text",
+                      stop_words=ENGLISH_STOP_WORDS, bigrams: bool = False) -> DataFrame:
+    """Term counts restricted to the vocabulary before they are shuffled."""
+    rows = _terms(docs, [*group, doc], body, stop_words, bigrams).select(*group, doc, F.explode("_t").alias("term"))
+    return rows.join(vocab, [*group, "term"]).groupBy(*group, doc, "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"), F.first("n_docs").alias("n_docs"))
+
+
+# --- one corpus -------------------------------------------------------------------------
+
+def corpus_vocabulary(docs: DataFrame, body: str = "text", max_features: int = 100, max_df: float = 0.9,
+                      stop_words=ENGLISH_STOP_WORDS, bigrams: bool = True) -> DataFrame:
+    """Vocabulary of the whole corpus, at most ``max_features`` rows; terms in more than
+    ``max_df`` of the texts are left out."""
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    stats = term_stats(docs, [], body, stop_words, bigrams).withColumn("n_docs", n)
+    kept = stats.filter(F.col("df") <= F.col("n_docs") * max_df).orderBy(F.col("corpus_tf").desc(), F.col("term")).limit(max_features)
+    return kept.select("term", "df", "n_docs", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+
+
+def corpus_weights(docs: DataFrame, doc: str, vocab: DataFrame, body: str = "text", stop_words=ENGLISH_STOP_WORDS,
+                   bigrams: bool = True) -> DataFrame:
+    """(doc, term, w) normalised per text. The vocabulary has a fixed row limit, so it is broadcast."""
+    counts = vocabulary_counts(docs, F.broadcast(vocab), [], doc, body, stop_words, bigrams)
+    vec = counts.groupBy(doc).agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+    return vec.withColumn("_norm", norm).select(doc, F.inline("v"), "_norm").select(doc, "term", (F.col("w") / F.col("_norm")).alias("w"))
+
+
+# --- groups -------------------------------------------------------------------------------
 
+def weights(counts: DataFrame, group: list[str], doc: str) -> DataFrame:
+    """(group, doc, term, n_docs, w): L2-normalised rows over the vocabulary.
 
-def weights(counts: DataFrame, vocab: DataFrame, group: list[str], doc: str) -> DataFrame:
-    """(group, doc, term, w): L2-normalised rows over the vocabulary."""
-    raw = counts.join(vocab, [*group, "term"]).select(*group, doc, "term", "n_docs", (F.col("tf") * F.col("idf")).alias("_w"))
-    norms = raw.groupBy(*group, doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, [*group, doc]).select(*group, doc, "term", "n_docs", (F.col("_w") / F.col("_norm")).alias("w"))
+    A text has at most ``max_features`` terms here, so its vector fits one row."""
+    vec = counts.groupBy(*group, doc).agg(
+        F.collect_list(F.struct("term", "n_docs", (F.col("tf") * F.col("idf")).alias("w"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+    return vec.withColumn("_norm", norm).select(*group, doc, F.inline("v"), "_norm").select(
+        *group, doc, "term", "n_docs", (F.col("w") / F.col("_norm")).alias("w"))
 
 
 def group_sizes(docs: DataFrame, group: list[str]) -> DataFrame:
@@ -63,9 +112,9 @@ def group_sizes(docs: DataFrame, group: list[str]) -> DataFrame:
 def themes(docs: DataFrame, group: list[str], doc: str, body: str = "text", max_features: int = 10, top: int = 5,
            stop_words=ENGLISH_STOP_WORDS, bigrams: bool = True) -> DataFrame:
     """(group, term, mean_weight): the terms with the highest mean weight over the group's texts."""
-    counts = term_counts(docs, group, doc, body, stop_words, bigrams)
-    vocab = vocabulary(counts, group_sizes(docs, group), group, max_features)
-    w = weights(counts, vocab, group, doc)
+    stats = term_stats(docs, group, body, stop_words, bigrams)
+    vocab = vocabulary(stats, group_sizes(docs, group), group, max_features)
+    w = weights(vocabulary_counts(docs, vocab, group, doc, body, stop_words, bigrams), group, doc)
     means = w.groupBy(*group, "term").agg((F.sum("w") / F.max("n_docs")).alias("mean_weight"))
     # ranked on rounded weights, so float noise cannot decide between equal terms
     return top_per_key(means, group, [F.round("mean_weight", 9).desc(), F.col("term").asc()], top)
