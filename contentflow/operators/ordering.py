@@ -72,25 +72,31 @@ def with_frame(df: DataFrame, position: str, size: int, agg: Column, out: str, c
             .drop("_home", "_chunk"))
 
 
-def with_previous(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "prev_ts",
-                  slice_seconds: int = 86400) -> DataFrame:
-    """Time of the previous row of the same key (null for the first).
-
-    Rows of a key are cut into time slices, so a hot key spreads over tasks; the
-    last time of each slice (one row per key and slice) feeds the next slice."""
-    sliced = df.withColumn("_slice", F.floor(F.unix_seconds(ts) / slice_seconds))
-    lasts = sliced.groupBy(*keys, "_slice").agg(F.max(ts).alias("_last"))
-    before = Window.partitionBy(*keys).orderBy("_slice")
-    heads = lasts.select(*keys, "_slice", F.lag("_last").over(before).alias("_from_slice"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(ts, tie)
+def carry_max(df: DataFrame, keys: list[str], ts: str, tie: str, value: Column, out: str, inclusive: bool,
+              slice_seconds: int = 86400) -> DataFrame:
+    """Greatest ``value`` among the earlier rows of the same key (with ``inclusive``, this row too).
+
+    Rows of a key are cut into time slices, so a hot key spreads over tasks; the greatest
+    value of each slice (one row per key and slice) is carried into the later slices."""
+    sliced = df.withColumn("_slice", F.floor(F.unix_seconds(ts) / slice_seconds)).withColumn("_value", value)
+    tops = sliced.groupBy(*keys, "_slice").agg(F.max("_value").alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    heads = tops.select(*keys, "_slice", F.max("_top").over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return (
-        sliced.withColumn("_from_row", F.lag(ts).over(inside))
+        sliced.withColumn("_seen", F.max("_value").over(inside))
         .join(heads, [*keys, "_slice"])
-        .withColumn(out, F.coalesce("_from_row", "_from_slice"))
-        .drop("_slice", "_from_row", "_from_slice")
+        .withColumn(out, F.coalesce("_seen", "_carried"))
+        .drop("_slice", "_value", "_seen", "_carried")
     )
 
 
+def with_previous(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "prev_ts",
+                  slice_seconds: int = 86400) -> DataFrame:
+    """Time of the previous row of the same key (null for the first)."""
+    return carry_max(df, keys, ts, tie, F.col(ts), out, inclusive=False, slice_seconds=slice_seconds)
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str | None = None) -> DataFrame:
     """First ``n`` rows per key. Spark cuts each task's rows to ``n`` per key before
     the shuffle (window group limit), so a hot key does not travel whole."""
