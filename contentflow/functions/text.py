@@ -74,8 +74,15 @@ def strip_tags(c) -> Column:
 
 
 def ratio(a, b, empty: float = 0.0) -> Column:
-    a, b = col(a).cast("double"), col(b).cast("double")
-    return F.when(b > 0, a / b).otherwise(F.lit(empty))
+    """a / b with each side evaluated once; ``empty`` when b is zero."""
+    return F.coalesce(F.try_divide(col(a).cast("double"), col(b).cast("double")), F.lit(empty))
+
+
+def let(values: dict[str, Column], body) -> Column:
+    """``body(v)`` with each value evaluated once per row, however often ``v[name]`` occurs
+    and whatever branch it occurs in."""
+    row = F.struct(*[c.alias(n) for n, c in values.items()])
+    return F.get(F.transform(F.array(row), lambda v: body(v)), F.lit(0))
 
 
 def clamp(c, low: float, high: float) -> Column:
@@ -95,34 +102,28 @@ def terminal_sentence_count(c) -> Column:
 def syllables(c) -> Column:
     """Syllables of all words of an already cleaned text.
 
-    Per word: vowel groups, minus a final ``e``, plus a final consonant+``le``,
-    at least one. Summed over the text that is a difference of pattern counts:
-    the words left at zero (no vowel at all, or only a final ``e``) add one each.
-    """
-    low = F.lower(col(c))
-
-    def n(pattern):
+    Per word: vowel groups, minus a final ``e``, plus a final consonant+``le``, at least
+    one. Over the text that is three counts: groups that are not a final ``...e``, words
+    with the ``le`` ending, and words the first two rules leave without any."""
+    def n(low, pattern):
         return F.regexp_count(low, F.lit(pattern))
 
-    groups = n(r"[aeiouy]+")
-    final_e = n(r"e(?!\S)")
-    final_le = n(r"[^aeiouy\s]le(?!\S)")
-    no_vowel = n(r"(?<!\S)[^aeiouy\s]+(?!\S)")
-    lone_final_e = n(r"(?<!\S)[^aeiouy\s]*[aeiouy]*e(?!\S)") - n(r"(?<!\S)[^aeiouy\s]+le(?!\S)")
-    return groups - final_e + final_le + no_vowel + lone_final_e
+    return let({"low": F.lower(col(c))}, lambda v: (
+        n(v["low"], r"[aeiouy]++(?<!e(?!\S))")
+        + n(v["low"], r"[^aeiouy\s]le(?!\S)")
+        + n(v["low"], r"(?<!\S)(?=\S)[^aeiouy\s]*+(?:[aeiouy]*+(?<=e))?(?!\S)(?<![^aeiouy\s]le)")))
 
 
 def flesch(words_n, sentences_n, syllables_n) -> Column:
-    score = 206.835 - 1.015 * (words_n / sentences_n) - 84.6 * (syllables_n / words_n)
-    return F.when((words_n > 0) & (sentences_n > 0), clamp(score, 0.0, 100.0)).otherwise(F.lit(0.0))
+    """Arguments are cheap references; zero words or sentences give 0."""
+    w, s = F.nullif(words_n.cast("double"), F.lit(0.0)), F.nullif(sentences_n.cast("double"), F.lit(0.0))
+    score = 206.835 - 1.015 * (w / s) - 84.6 * (syllables_n / w)
+    return F.when(w.isNull() | s.isNull(), F.lit(0.0)).otherwise(clamp(score, 0.0, 100.0))
 
 
 def flesch_by_groups(c) -> Column:
-    cleaned = clean_for_reading(c)
-    w = word_count(cleaned).cast("double")
-    s = terminal_sentence_count(cleaned).cast("double")
-    w, s = F.nullif(w, F.lit(0.0)), F.nullif(s, F.lit(0.0))
-    return F.coalesce(flesch(w, s, syllables(cleaned)), F.lit(0.0))
+    counted = lambda t: {"w": word_count(t), "s": terminal_sentence_count(t), "v": syllables(t)}
+    return let({"t": clean_for_reading(c)}, lambda v: let(counted(v["t"]), lambda n: flesch(n["w"], n["s"], n["v"])))
 
 
 def token_count(c) -> Column:
@@ -131,25 +132,27 @@ def token_count(c) -> Column:
 
 def flesch_by_letters(c) -> Column:
     """Vowel letters stand in for syllables."""
-    w = F.nullif(token_count(c).cast("double"), F.lit(0.0))
-    s = F.nullif(F.size(sentences(c)).cast("double"), F.lit(0.0))
-    v = F.regexp_count(F.lower(col(c)), F.lit("[aeiou]"))
-    return F.coalesce(flesch(w, s, v), F.lit(0.0))
+    counted = {"w": token_count(c), "s": F.size(sentences(c)), "v": F.regexp_count(F.lower(col(c)), F.lit("[aeiou]"))}
+    return let(counted, lambda n: flesch(n["w"], n["s"], n["v"]))
 
 
 def readability_ideal_length(c) -> Column:
     """1 at 15 words per sentence, falling to 0 ten words away from it."""
-    w, s = word_count(c), F.size(period_pieces(c))
-    return F.when(w > 0, 1 - F.least(F.abs(w / s - 15) / 10, F.lit(1.0))).otherwise(F.lit(0.0))
+    return let({"w": word_count(c), "s": F.size(period_pieces(c))}, lambda n: F.when(
+        n["w"] > 0, 1 - F.least(F.abs(n["w"] / n["s"] - 15) / 10, F.lit(1.0))).otherwise(F.lit(0.0)))
 
 
 def readability_with_penalties(c) -> Column:
-    chars = F.length(F.regexp_replace(col(c), WS_RE, ""))
-    w, s = word_count(c), F.size(F.split(col(c), r"\."))
-    sentence_penalty = F.greatest(F.lit(0.0), (w / s - 20) / 20)
-    word_penalty = F.greatest(F.lit(0.0), (chars / F.nullif(w, F.lit(0)) - 6) / 4)
-    score = clamp(1 - (sentence_penalty + word_penalty) / 2, 0.0, 1.0)
-    return F.when(F.length(col(c)) == 0, F.lit(0.0)).when(w == 0, F.lit(0.8)).otherwise(score)
+    counted = {"n": F.length(col(c)), "chars": F.length(F.regexp_replace(col(c), WS_RE, "")), "w": word_count(c),
+               "s": F.size(F.split(col(c), r"\."))}
+
+    def score(v):
+        sentence_penalty = F.greatest(F.lit(0.0), (v["w"] / v["s"] - 20) / 20)
+        word_penalty = F.greatest(F.lit(0.0), (v["chars"] / F.nullif(v["w"], F.lit(0)) - 6) / 4)
+        return (F.when(v["n"] == 0, F.lit(0.0)).when(v["w"] == 0, F.lit(0.8))
+                .otherwise(clamp(1 - (sentence_penalty + word_penalty) / 2, 0.0, 1.0)))
+
+    return let(counted, score)
 
 
 # --- coherence, engagement, originality ---------------------------------------------
@@ -158,8 +161,7 @@ def readability_with_penalties(c) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 when both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, (F.size(a) + F.size(b)) / union - 1).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide((F.size(a) + F.size(b)).cast("double"), F.size(F.array_union(a, b)).cast("double")) - 1, F.lit(0.0))
 
 
 def mean_of(arr) -> Column:
@@ -178,15 +180,18 @@ def token_sets(pieces: Column) -> Column:
     return F.transform(pieces, lambda s: F.array_distinct(tokens(s)))
 
 
-def fold_neighbours(sets, finish, low_below: float = 0.3) -> Column:
-    """Fold of the Jaccard scores of neighbouring sets; pairs with an empty side are left out."""
+def fold_neighbours(sets, finish, low_below: float = 0.3, skip_empty: bool = True) -> Column:
+    """Fold of the Jaccard scores of neighbouring sets. A pair with an empty side is left
+    out, or counts as zero without ``skip_empty``."""
     start = F.struct(
         F.array().cast("array<string>").alias("prev"), F.lit(0).alias("size"), F.lit(0).alias("n"),
         F.lit(0).alias("low"), F.lit(0.0).alias("total"), F.lit(0.0).alias("last"))
 
     def score(acc, cur):
-        usable = (acc["size"] > 0) & (F.size(acc["prev"]) > 0) & (F.size(cur) > 0)
-        value = F.when(usable, (F.size(acc["prev"]) + F.size(cur)) / F.size(F.array_union(acc["prev"], cur)) - 1)
+        full = (F.size(acc["prev"]) > 0) & (F.size(cur) > 0)
+        value = F.when((acc["size"] > 0) & full, (F.size(acc["prev"]) + F.size(cur)) / F.size(F.array_union(acc["prev"], cur)) - 1)
+        if not skip_empty:
+            value = value.when(acc["size"] > 0, F.lit(0.0))
         return F.struct(acc.alias("acc"), cur.alias("cur"), value.alias("value"))
 
     def step(acc, cur):
@@ -211,7 +216,7 @@ def shift_coherence_of(sets, shift_below: float = 0.3) -> Column:
     """Mean neighbour similarity averaged with the share of steady transitions."""
     return fold_neighbours(
         sets, lambda a: F.when(a["size"] < 2, F.lit(1.0)).when(a["n"] == 0, F.lit(0.5))
-        .otherwise(clamp((a["total"] / a["n"] + 1 - a["low"] / a["n"]) / 2, 0.0, 1.0)), shift_below)
+        .otherwise(clamp((a["total"] / a["n"] + 1 - a["low"] / a["n"]) / 2, 0.0, 1.0)), shift_below, skip_empty=False)
 
 
 def coherence(c) -> Column:
@@ -310,23 +315,15 @@ def short_summary(c, limit: int = 200) -> Column:
         F.concat(F.substring(col(c), 1, limit), F.lit("...")))
 
 
-def agreement_confidence(original, first, second) -> Column:
+def agreement_confidence(first, second) -> Column:
     """0.4 word overlap + 0.3 length balance + 0.3 mean readability of two summaries."""
-    a = F.array_distinct(words(F.lower(col(first))))
-    b = F.array_distinct(words(F.lower(col(second))))
-    na, nb = word_count(first), word_count(second)
-    score = (
-        0.4 * jaccard(a, b)
-        + 0.3 * ratio(F.least(na, nb), F.greatest(na, nb))
-        + 0.3 * (readability_ideal_length(first) + readability_ideal_length(second)) / 2
-    )
-    return F.when(F.size(F.array_union(a, b)) == 0, F.lit(0.0)).otherwise(clamp(score, 0.0, 1.0))
-
-
-def lexicon_balance(c, positive, negative) -> Column:
-    """(positive - negative) / hits over the tokens; 0 without a hit."""
-    p, n = vocabulary_hits(c, positive), vocabulary_hits(c, negative)
-    return ratio(p - n, p + n)
+    parts = {
+        "a": F.array_distinct(words(F.lower(col(first)))), "b": F.array_distinct(words(F.lower(col(second)))),
+        "na": word_count(first), "nb": word_count(second),
+        "r": (readability_ideal_length(first) + readability_ideal_length(second)) / 2,
+    }
+    return let(parts, lambda v: F.when((v["na"] == 0) & (v["nb"] == 0), F.lit(0.0)).otherwise(clamp(
+        0.4 * jaccard(v["a"], v["b"]) + 0.3 * ratio(F.least(v["na"], v["nb"]), F.greatest(v["na"], v["nb"])) + 0.3 * v["r"], 0.0, 1.0)))
 
 
 def vocabulary_hits(c, vocabulary) -> Column:
@@ -357,12 +354,16 @@ def longest_first(arr, n: int) -> Column:
 
 def language_of(token_array, profiles: dict[str, list[str]], default: str = "en") -> Column:
     """Language whose function words occur most; ties go to the first name."""
-    scores = [(hits(token_array, words_), lang) for lang, words_ in sorted(profiles.items())]
-    best = F.greatest(*[s for s, _ in scores])
-    out = F.when(best == 0, default)
-    for s, lang in scores:
-        out = out.when(s == best, lang)
-    return out
+    names = sorted(profiles)
+
+    def pick(v):
+        best = F.greatest(*[v[n] for n in names])
+        out = F.when(best == 0, default)
+        for n in names:
+            out = out.when(v[n] == best, n)
+        return out
+
+    return let({n: hits(token_array, profiles[n]) for n in names}, pick)
 
 
 def mention_positions(text, entity: str) -> Column:
@@ -387,17 +388,21 @@ def source_context(fact, content, ratio_above: float = 80.0) -> Column:
 
     The edit distance is only computed when the lengths allow such a match."""
     fact, content = col(fact), col(content)
-    at = F.position(fact, content) - 1
-    a = F.array_join(F.array_sort(tokens(fact)), " ")
-    b = F.array_join(F.array_sort(tokens(content)), " ")
-    longest = F.greatest(F.length(a), F.length(b))
-    possible = (longest > 0) & (F.abs(F.length(a) - F.length(b)) <= longest * (1 - ratio_above / 100))
-    near = F.when(possible, 100 * (1 - F.levenshtein(a, b) / longest) > ratio_above).otherwise(False)
-    return F.when(at >= 0, around(content, at, at + F.length(fact))).when(near, content)
+
+    def near(v):
+        longest = F.greatest(F.length(v["a"]), F.length(v["b"]))
+        possible = (longest > 0) & (F.abs(F.length(v["a"]) - F.length(v["b"])) <= longest * (1 - ratio_above / 100))
+        return F.when(possible, 100 * (1 - F.levenshtein(v["a"], v["b"]) / longest) > ratio_above).otherwise(False)
+
+    def sorted_words(c):
+        return F.array_join(F.array_sort(tokens(c)), " ")
+
+    return let({"at": F.position(fact, content) - 1}, lambda p: F.when(
+        p["at"] >= 0, around(content, p["at"], p["at"] + F.length(fact))).when(
+        let({"a": sorted_words(fact), "b": sorted_words(content)}, near), content))
 
 
 def relevance(summary, body, default: float = 0.8) -> Column:
     """Share of the distinct content words of a summary that occur in the text."""
-    own = F.array_distinct(content_tokens(summary))
-    return F.when(F.size(own) == 0, F.lit(default)).otherwise(
-        ratio(F.size(F.array_intersect(own, F.array_distinct(tokens(body)))), F.size(own)))
+    return let({"own": F.array_distinct(content_tokens(summary)), "body": F.array_distinct(tokens(body))}, lambda v: ratio(
+        F.size(F.array_intersect(v["own"], v["body"])), F.size(v["own"]), default))

@@ -63,8 +63,9 @@ WITH a AS (SELECT doc_id, {CLEAN_SQL} AS c FROM documents), b AS (SELECT doc_id,
  len(list_filter(string_split_regex(c, '[.!?]+'), lambda s: trim(s, {WS}) <> '')) AS s, coalesce(list_sum({SYLL_SQL}),0) AS v FROM a)
 SELECT doc_id, CAST(v AS BIGINT) AS syllables, round({flesch_sql('w', 's', 'v')}, 6) AS flesch FROM b""")
 def flesch_groups(t):
-    c = x.clean_for_reading("text")
-    return t.documents().select("doc_id", x.syllables(c).cast("bigint").alias("syllables"), r6(x.flesch_by_groups("text"), "flesch"))
+    d = t.documents().select("doc_id", x.clean_for_reading("text").alias("c"))
+    d = d.select("doc_id", x.syllables("c").alias("v"), x.word_count("c").alias("w"), x.terminal_sentence_count("c").alias("s"))
+    return d.select("doc_id", F.col("v").cast("bigint").alias("syllables"), r6(x.flesch(F.col("w"), F.col("s"), F.col("v")), "flesch"))
 
 
 @query("H16_flesch_vowel_letters", f"""
@@ -149,7 +150,7 @@ w AS (SELECT *, list_distinct(regexp_extract_all(lower(first),'[^ \\t\\n\\r\\f]+
 SELECT group_id, pos, round(least(greatest(0.4*{jac_sql('a', 'b')} + 0.3*(CASE WHEN greatest({words_sql('first')},{words_sql('second')})>0 THEN least({words_sql('first')},{words_sql('second')})::DOUBLE/greatest({words_sql('first')},{words_sql('second')}) ELSE 0 END)
  + 0.3*({ideal_sql('first')}+{ideal_sql('second')})/2, 0), 1), 6) AS confidence FROM w""")
 def summary_agreement(t):
-    return turn_pairs(t).select("group_id", "pos", r6(x.agreement_confidence("first", "first", "second"), "confidence"))
+    return turn_pairs(t).select("group_id", "pos", r6(x.agreement_confidence("first", "second"), "confidence"))
 
 
 SUMMARY_SQL = "CASE WHEN length(text) <= 200 THEN text ELSE substring(text,1,200) || '...' END"
@@ -193,9 +194,8 @@ TOKSETS_SQL = f"list_transform({sents_sql('text')}, lambda s: list_distinct({tok
 
 
 def SHIFT_SQL(sets):
-    scores = f"""list_transform(list_filter(range(1, len({sets})), lambda i: len({sets}[i])>0 AND len({sets}[i+1])>0),
- lambda i: len(list_intersect({sets}[i],{sets}[i+1]))::DOUBLE/len(list_distinct(list_concat({sets}[i],{sets}[i+1]))))"""
-    return scores
+    return f"""list_transform(range(1, len({sets})), lambda i: CASE WHEN len({sets}[i])=0 OR len({sets}[i+1])=0 THEN 0
+ ELSE len(list_intersect({sets}[i],{sets}[i+1]))::DOUBLE/len(list_distinct(list_concat({sets}[i],{sets}[i+1]))) END)"""
 
 
 SHIFT_VALUE = """(CASE WHEN len(sets) < 2 THEN 1.0 ELSE coalesce(least(greatest((list_avg(sc) + 1 - len(list_filter(sc, lambda v: v < 0.3))::DOUBLE/len(sc))/2, 0), 1), 0.5) END)"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from contentflow.session import use_utc
 
 AS_OF = "2024-01-31 00:00:00"
+SPREAD_BELOW = 256 * 1024 * 1024  # bytes
 
 
 def as_of():
@@ -38,6 +39,17 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def read_text(self, name: str) -> DataFrame:
+        """A text table. A small one is spread over the cores: text work is heavy per byte
+        and a small file may be one row group, thus one task. A large one has enough splits
+        of its own and is never shuffled for this."""
+        df = self.read(name)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}.parquet")
+        conf = self.spark._jsc.hadoopConfiguration()
+        if path.getFileSystem(conf).getContentSummary(path).getLength() < SPREAD_BELOW:
+            df = df.repartition(self.spark.sparkContext.defaultParallelism)
+        return df
+
     def events(self) -> DataFrame:
         return self.read("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -66,7 +78,7 @@ class Tables:
         )
 
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return self.read_text("documents")
 
     def content(self) -> DataFrame:
         """Documents as stored feed entries; the title is the first sentence."""
@@ -80,11 +92,11 @@ class Tables:
         )
 
     def pages(self) -> DataFrame:
-        return self.read("pages")
+        return self.read_text("pages")
 
     def chat(self) -> DataFrame:
         """Small groups of related texts: one group per conversation."""
-        return self.read("conversations").select(
+        return self.read_text("conversations").select(
             F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), "role", "text"
         )
 
