@@ -112,13 +112,7 @@ def _chain_spaced(rows: DataFrame, keys: list[str], ts: str, tie: str, gap: int,
     # inside a piece no two neighbours are further apart than the gap, so the next cell has a row if any is left
     nexts = here.join(firsts.withColumn("cell", F.col("cell") - 1), [*key, "cell"], "left").select(
         *key, "t", F.coalesce("hit", "first").alias("nxt")).filter(F.col("nxt").isNotNull())
-    jump = cut_lineage(nexts)
-    path = cut_lineage(rows.select(*key, _micros("_start").alias("t")).distinct())
-    while not jump.isEmpty():
-        more = path.join(jump, [*key, "t"]).select(*key, F.col("nxt").alias("t"))
-        path = cut_lineage(path.unionByName(more).distinct())
-        hop = jump.select(*key, F.col("t").alias("nxt"), F.col("nxt").alias("nxt2"))
-        jump = cut_lineage(jump.join(hop, [*key, "nxt"]).select(*key, "t", F.col("nxt2").alias("nxt")))
+    path = mark_path(rows.select(*key, _micros("_start").alias("t")).distinct(), nexts, key, "t")
     chosen = path.select(*key, F.col("t").alias("_t"), F.lit(True).alias("_on_path"))
     marked = rows.withColumn("_t", _micros(ts)).join(chosen, [*key, "_t"], "left")
     # of several rows at an accepted time the first one is taken
@@ -128,6 +122,25 @@ def _chain_spaced(rows: DataFrame, keys: list[str], ts: str, tie: str, gap: int,
             .drop("_t", "_on_path", "_win"))
 
 
+def mark_path(starts: DataFrame, pointers: DataFrame, keys: list[str], node: str) -> DataFrame:
+    """Nodes reached from ``starts`` along ``pointers(keys, node, nxt)``, one successor per node.
+
+    Doubling: in each round the reached set follows the current pointers and the pointers
+    skip twice as far, so a path of n nodes takes about log2(n) equi-joins. Pointers that
+    loop are harmless: a round without a new node ends the search."""
+    jump, path = cut_lineage(pointers), cut_lineage(starts.distinct())
+    reached = path.count()
+    while True:
+        more = path.join(jump, [*keys, node]).select(*keys, F.col("nxt").alias(node))
+        path = cut_lineage(path.unionByName(more).distinct())
+        now = path.count()
+        if now == reached:
+            return path
+        reached = now
+        hop = jump.select(*keys, F.col(node).alias("nxt"), F.col("nxt").alias("_far"))
+        jump = cut_lineage(jump.join(hop, [*keys, "nxt"]).select(*keys, node, F.col("_far").alias("nxt")))
+
+
 def dedup_in_window(df: DataFrame, key: str, ts: str, tie: str, seconds: int = 3600, **kw) -> DataFrame:
     """A repeated key is refused up to ``seconds`` after the last accepted one."""
     return accept_spaced(df, [key], ts, tie, seconds, strict=True, **kw)
