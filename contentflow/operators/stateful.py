@@ -67,16 +67,25 @@ def accept_spaced(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds
     # only the first of several rows with the same time opens the piece
     pieces = carry_max(prev.withColumn("_opens", opens), keys, ts, tie, F.when(F.col("_opens"), F.col(ts)), "_start", True)
     pieces = pieces.drop("_prev")
+    # a frame that small cannot hold a long piece; otherwise the pieces are written once and looked at
+    all_short = df.count() <= fold_rows
+    if not all_short:
+        pieces = cut_lineage(pieces)
     later = far(_micros(ts) - _micros("_start"))
     settled = pieces.filter(F.col("_opens") | ~later).withColumn("accepted", F.col("_opens"))
     open_rows = pieces.filter(~F.col("_opens") & later)
+
+    def with_folded(short):
+        folded = _fold_spaced(short, keys, ts, tie, gap, strict)
+        return settled.select(*df.columns, "accepted").unionByName(folded.select(*df.columns, "accepted"))
+
+    if all_short:
+        return with_folded(open_rows)
     sizes = open_rows.groupBy(*keys, "_start").agg(F.count(F.lit(1)).alias("_rows"))
-    long_pieces = sizes.filter(F.col("_rows") > fold_rows).select(*keys, "_start")
-    short = open_rows.join(long_pieces, [*keys, "_start"], "left_anti")
-    folded = _fold_spaced(short, keys, ts, tie, gap, strict)
-    out = settled.select(*df.columns, "accepted").unionByName(folded.select(*df.columns, "accepted"))
+    long_pieces = cut_lineage(sizes.filter(F.col("_rows") > fold_rows).select(*keys, "_start"))
     if long_pieces.isEmpty():
-        return out
+        return with_folded(open_rows)
+    out = with_folded(open_rows.join(long_pieces, [*keys, "_start"], "left_anti"))
     chained = _chain_spaced(pieces.join(long_pieces, [*keys, "_start"], "left_semi"), keys, ts, tie, gap, strict)
     keep = F.col("_opens") | ~later
     return out.unionByName(chained.filter(~keep).select(*df.columns, "accepted"))

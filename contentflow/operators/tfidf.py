@@ -51,12 +51,12 @@ def term_stats(docs: DataFrame, group: list[str], body: str = "text", stop_words
     return rows.groupBy(*group, "term").agg(F.sum("tf").alias("corpus_tf"), F.sum("df").alias("df"))
 
 
-def vocabulary(stats: DataFrame, sizes: DataFrame, group: list[str], max_features: int) -> DataFrame:
-    """(group, term, df, n_docs, idf): the most frequent terms of each group with smooth idf.
-
-    ``sizes(group, n_docs)``. Ties in frequency are resolved by term."""
-    kept = top_per_key(stats, group, [F.col("corpus_tf").desc(), F.col("term").asc()], max_features).join(sizes, group)
-    return kept.select(*group, "term", "df", "n_docs", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+def vocabulary(docs: DataFrame, group: list[str], max_features: int, body: str = "text",
+               stop_words=ENGLISH_STOP_WORDS, bigrams: bool = False) -> DataFrame:
+    """(group, term): the most frequent terms of each group. Ties are resolved by term."""
+    rows = _terms(docs, group, body, stop_words, bigrams).select(*group, F.explode("_t").alias("term"))
+    totals = rows.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("corpus_tf"))
+    return top_per_key(totals, group, [F.col("corpus_tf").desc(), F.col("term").asc()], max_features).select(*group, "term")
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -67,8 +67,7 @@ def vocabulary_counts(docs: DataFrame, vocab: DataFrame, group: list[str], doc:
                       stop_words=ENGLISH_STOP_WORDS, bigrams: bool = False) -> DataFrame:
     """Term counts restricted to the vocabulary before they are shuffled."""
     rows = _terms(docs, [*group, doc], body, stop_words, bigrams).select(*group, doc, F.explode("_t").alias("term"))
-    return rows.join(vocab, [*group, "term"]).groupBy(*group, doc, "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"), F.first("n_docs").alias("n_docs"))
+    return rows.join(vocab, [*group, "term"]).groupBy(*group, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 # --- one corpus -------------------------------------------------------------------------
@@ -86,7 +85,8 @@ def corpus_vocabulary(docs: DataFrame, body: str = "text", max_features: int = 1
 def corpus_weights(docs: DataFrame, doc: str, vocab: DataFrame, body: str = "text", stop_words=ENGLISH_STOP_WORDS,
                    bigrams: bool = True) -> DataFrame:
     """(doc, term, w) normalised per text. The vocabulary has a fixed row limit, so it is broadcast."""
-    counts = vocabulary_counts(docs, F.broadcast(vocab), [], doc, body, stop_words, bigrams)
+    small = F.broadcast(vocab)
+    counts = vocabulary_counts(docs, small.select("term"), [], doc, body, stop_words, bigrams).join(small.select("term", "idf"), "term")
     vec = counts.groupBy(doc).agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
     return vec.withColumn("_norm", norm).select(doc, F.inline("v"), "_norm").select(doc, "term", (F.col("w") / F.col("_norm")).alias("w"))
@@ -94,11 +94,14 @@ def corpus_weights(docs: DataFrame, doc: str, vocab: DataFrame, body: str = "tex
 
 # --- groups -------------------------------------------------------------------------------
 
-def weights(counts: DataFrame, group: list[str], doc: str) -> DataFrame:
+def weights(counts: DataFrame, sizes: DataFrame, group: list[str], doc: str) -> DataFrame:
     """(group, doc, term, n_docs, w): L2-normalised rows over the vocabulary.
 
-    A text has at most ``max_features`` terms here, so its vector fits one row."""
-    vec = counts.groupBy(*group, doc).agg(
+    ``counts`` is restricted to the vocabulary, ``sizes(group, n_docs)``. A text has at most
+    ``max_features`` terms here, so its vector fits one row."""
+    df = counts.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df")).join(sizes, group)
+    table = df.select(*group, "term", "n_docs", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    vec = counts.join(table, [*group, "term"]).groupBy(*group, doc).agg(
         F.collect_list(F.struct("term", "n_docs", (F.col("tf") * F.col("idf")).alias("w"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
     return vec.withColumn("_norm", norm).select(*group, doc, F.inline("v"), "_norm").select(
@@ -112,9 +115,9 @@ def group_sizes(docs: DataFrame, group: list[str]) -> DataFrame:
 def themes(docs: DataFrame, group: list[str], doc: str, body: str = "text", max_features: int = 10, top: int = 5,
            stop_words=ENGLISH_STOP_WORDS, bigrams: bool = True) -> DataFrame:
     """(group, term, mean_weight): the terms with the highest mean weight over the group's texts."""
-    stats = term_stats(docs, group, body, stop_words, bigrams)
-    vocab = vocabulary(stats, group_sizes(docs, group), group, max_features)
-    w = weights(vocabulary_counts(docs, vocab, group, doc, body, stop_words, bigrams), group, doc)
+    vocab = vocabulary(docs, group, max_features, body, stop_words, bigrams)
+    counts = vocabulary_counts(docs, vocab, group, doc, body, stop_words, bigrams)
+    w = weights(counts, group_sizes(docs, group), group, doc)
     means = w.groupBy(*group, "term").agg((F.sum("w") / F.max("n_docs")).alias("mean_weight"))
     # ranked on rounded weights, so float noise cannot decide between equal terms
     return top_per_key(means, group, [F.round("mean_weight", 9).desc(), F.col("term").asc()], top)

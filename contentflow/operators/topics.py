@@ -168,6 +168,7 @@ MAX_PERIODS = 5  # three equal chunks of n texts plus what integer division leav
 
 def emerging_topics(scores: DataFrame, doc: str, at_least: float = 0.2, growth_above: float = 0.1) -> DataFrame:
     """(label, growth, first_count, last_count, emerging) over chunks of texts in id order."""
+    scores = cut_lineage(scores)  # counted, numbered and joined below
     docs = scores.select(doc).distinct()
     n = docs.count()
     size = max(1, n // min(3, n)) if n else 1
@@ -198,7 +199,7 @@ def ranked_topics(topics: DataFrame) -> DataFrame:
 def extract_topics(docs: DataFrame, doc: str, body: str = "text", max_features: int = 100) -> dict[str, DataFrame]:
     """Clusters, topics and scores of a corpus."""
     vocab = cut_lineage(tfidf.corpus_vocabulary(docs, body, max_features))
-    weights = tfidf.corpus_weights(docs, doc, vocab, body)
+    weights = cut_lineage(tfidf.corpus_weights(docs, doc, vocab, body))
     labels = leader_clusters(dense_vectors(weights, docs, vocab, doc), doc)
     pairs = labels.select(doc, "label")
     centres = topic_centres(weights, pairs, doc)
