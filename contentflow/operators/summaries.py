@@ -18,9 +18,27 @@ from contentflow.operators.ordering import top_per_key
 from contentflow.operators.quality import content_words
 
 
+def sentence_scores(docs: DataFrame, key: list[str], body: str = "text") -> DataFrame:
+    """(key, _s): the sentences of each text as array<struct<pos, sentence, n_words, score>>.
+
+    The texts are hashed by key once; every later step groups by the key or more, so no
+    exploded token is ever shuffled, and the ranking itself happens inside the row."""
+    placed = docs.select(*key, body).repartition(*key)
+    cut = F.transform(x.sentences(body), lambda s: content_words(x.tokens(s)))
+    terms = (placed.select(*key, F.posexplode(cut).alias("pos", "_t"))
+             .select(*key, "pos", F.explode_outer("_t").alias("term")))
+    per = terms.groupBy(*key, "pos", "term").agg(F.count("term").alias("c"))
+    tf = per.withColumn("tf", F.sum("c").over(Window.partitionBy(*key, "term")))
+    scores = tf.groupBy(*key, "pos").agg(x.ratio(F.sum(F.col("c") * F.col("tf")), F.sum("c")).alias("score"))
+    arrays = scores.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "score"))).alias("_p"))
+    whole = F.zip_with(x.sentences(body), "_p", lambda s, p: F.struct(
+        p["pos"].alias("pos"), s.alias("sentence"), x.word_count(s).alias("n_words"), p["score"].alias("score")))
+    return placed.join(arrays, key).select(*key, whole.alias("_s"))
+
+
 def ranked_sentences(docs: DataFrame, key: list[str], body: str = "text") -> DataFrame:
     """(key, pos, sentence, n_words, score)."""
-    return scored_sentences(docs.select(*key, F.posexplode(x.sentences(body)).alias("pos", "sentence")), key)
+    return sentence_scores(docs, key, body).select(*key, F.inline("_s"))
 
 
 def scored_sentences(sents: DataFrame, key: list[str]) -> DataFrame:
@@ -35,7 +53,21 @@ def scored_sentences(sents: DataFrame, key: list[str]) -> DataFrame:
 
 def extractive_summary(docs: DataFrame, key: list[str], body: str = "text", max_words: int = 150) -> DataFrame:
     """Best sentences up to the word budget (the best one always), in original order."""
-    return pick_sentences(ranked_sentences(docs, key, body), key, max_words)
+    best_first = F.array_sort(F.transform("_s", lambda s: F.struct(
+        (-F.round(s["score"], 9)).alias("k"), s["pos"].alias("pos"), s["sentence"].alias("sentence"), s["n_words"].alias("n"))))
+    picked_type = "array<struct<pos:int,sentence:string,n:int>>"
+    start = F.struct(F.lit(0).alias("total"), F.array().cast(picked_type).alias("picked"))
+
+    def step(acc, s):
+        total = acc["total"] + s["n"]
+        fits = (total <= max_words) | (F.size(acc["picked"]) == 0)
+        one = F.array(F.struct(s["pos"].alias("pos"), s["sentence"].alias("sentence"), s["n"].alias("n")))
+        return F.struct(total.alias("total"), F.when(fits, F.concat(acc["picked"], one)).otherwise(acc["picked"]).alias("picked"))
+
+    chosen = F.aggregate(best_first, start, step, lambda acc: F.array_sort(acc["picked"]))
+    return sentence_scores(docs, key, body).withColumn("_p", chosen).select(
+        *key, F.array_join(F.transform("_p", lambda s: s["sentence"]), ". ").alias("summary"),
+        F.aggregate("_p", F.lit(0), lambda acc, s: acc + s["n"]).alias("summary_words"))
 
 
 def pick_sentences(ranked: DataFrame, key: list[str], max_words: int = 150) -> DataFrame:
@@ -68,9 +100,15 @@ def abstractive_summary(docs: DataFrame, key: list[str], body: str = "text",
 
 def key_points(docs: DataFrame, key: list[str], body: str = "text", group: int = 5) -> DataFrame:
     """One sentence for every ``group`` consecutive sentences: the best scored."""
-    s = ranked_sentences(docs, key, body).withColumn("point", F.floor(F.col("pos") / group))
-    best = F.max_by("sentence", F.struct(F.round("score", 9).alias("score"), (-F.col("pos")).alias("first")))
-    return s.groupBy(*key, "point").agg(best.alias("sentence"))
+    def best(i):
+        part = F.slice("_s", i * group + 1, group)
+        return F.array_max(F.transform(part, lambda s: F.struct(
+            F.round(s["score"], 9).alias("score"), (-s["pos"]).alias("first"), s["sentence"].alias("sentence"))))["sentence"]
+
+    groups = F.sequence(F.lit(0), F.ceil(F.size("_s") / group).cast("int") - 1)
+    rows = sentence_scores(docs, key, body).filter(F.size("_s") > 0)
+    return rows.select(*key, F.posexplode(F.transform(groups, best)).alias("point", "sentence")).withColumn(
+        "point", F.col("point").cast("bigint"))
 
 
 def summary_record(df: DataFrame, body: str, summary: str) -> DataFrame:

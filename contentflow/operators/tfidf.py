@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from contentflow.functions import text as x
 from contentflow.operators.ordering import top_per_key
+from contentflow.session import cut_lineage
 from contentflow.vocab import ENGLISH_STOP_WORDS
 
 
@@ -116,7 +117,8 @@ def themes(docs: DataFrame, group: list[str], doc: str, body: str = "text", max_
            stop_words=ENGLISH_STOP_WORDS, bigrams: bool = True) -> DataFrame:
     """(group, term, mean_weight): the terms with the highest mean weight over the group's texts."""
     vocab = vocabulary(docs, group, max_features, body, stop_words, bigrams)
-    counts = vocabulary_counts(docs, vocab, group, doc, body, stop_words, bigrams)
+    # at most max_features rows per text, read twice below
+    counts = cut_lineage(vocabulary_counts(docs, vocab, group, doc, body, stop_words, bigrams))
     w = weights(counts, group_sizes(docs, group), group, doc)
     means = w.groupBy(*group, "term").agg((F.sum("w") / F.max("n_docs")).alias("mean_weight"))
     # ranked on rounded weights, so float noise cannot decide between equal terms
