@@ -147,3 +147,8 @@ def error_id(ts, *parts) -> Column:
     """Repeatable id: milliseconds and a four-digit number derived from the row."""
     return F.concat(F.lit("err_"), F.unix_millis(col(ts)).cast("string"), F.lit("_"),
                     (F.pmod(F.xxhash64(*[col(p) for p in parts]), F.lit(9000)) + 1000).cast("string"))
+
+
+def with_priority(items, rule, out: str = "priority"):
+    """Items with the priority a user rule gives them; ``rule(items) -> Column``."""
+    return items.withColumn(out, rule(items))

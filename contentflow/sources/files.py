@@ -58,13 +58,14 @@ def subscriptions(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("subscriptions").alias("s")).select("s.*")
 
 
-def pushed_items(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Parsed pushed items with ``errors``; batch or stream, ``value`` is the JSON text."""
+def pushed_items(raw: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Parsed pushed items with ``errors``; batch or stream, ``value`` is the JSON text,
+    ``keep`` names further columns to carry along."""
     parsed = raw.withColumn("_p", F.from_json(F.col(value).cast("string"), schemas.PUSHED_ITEM))
     blank = F.col(value).isNull() | (F.length(F.trim(F.col(value).cast("string"))) == 0)
     broken = F.try_parse_json(F.col(value).cast("string")).isNull()
     return parsed.select(
-        F.coalesce("_p.id", F.lit("unknown")).alias("id"), "_p.title", "_p.content", "_p.url", "_p.priority", value,
+        *(keep or []), F.coalesce("_p.id", F.lit("unknown")).alias("id"), "_p.title", "_p.content", "_p.url", "_p.priority", value,
         checks.errors(F.when(blank, "No data provided").when(broken, "Invalid JSON")).alias("errors"))
 
 
