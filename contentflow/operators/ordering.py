@@ -25,32 +25,59 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def range_bounds(df: DataFrame, order_col: str, ranges: int) -> list:
-    """Approximate quantiles of the order column: one small row, one narrow scan.
+def range_bounds(df: DataFrame, order: list[str], ranges: int) -> list[tuple]:
+    """Bounds that cut the order into about equal ranges: ``(x,)`` or ``(x, y)`` tuples.
 
-    The bounds only decide how evenly rows spread; numbering stays exact."""
+    Approximate quantiles of the first column, one small row from one narrow scan. A value
+    that fills several quantiles is hot; it is cut again by the second column. The bounds
+    only decide how evenly rows spread; numbering stays exact."""
+    x = _as_number(df, order[0])
     steps = [i / ranges for i in range(1, ranges)]
-    row = df.select(F.percentile_approx(_as_number(df, order_col), steps, 20 * ranges).alias("b")).first()
-    return sorted(set(row["b"] or [])) if row else []
+    row = df.select(F.percentile_approx(x, steps, 20 * ranges).alias("b")).first()
+    values = list(row["b"] or []) if row else []
+    hot = {v: values.count(v) for v in set(values) if values.count(v) > 1} if len(order) > 1 else {}
+    bounds = [(v,) for v in set(values)]
+    if hot:
+        y = _as_number(df, order[1])
+        cuts = (df.select(x.alias("x"), y.alias("y")).filter(F.col("x").isin(list(hot))).groupBy("x")
+                .agg(F.percentile_approx("y", steps, 20 * ranges).alias("b")).collect())  # at most ranges / 2 rows
+        for r in cuts:
+            keep = max(1, len(r["b"]) // (hot[r["x"]] + 1))
+            bounds += [(r["x"], c) for c in sorted(set(r["b"][keep - 1::keep]))]
+    return bounds
+
+
+def _range_of(df: DataFrame, order: list[str], bounds: list[tuple]) -> Column:
+    x = _as_number(df, order[0])
+    y = _as_number(df, order[1]) if len(order) > 1 else None
+
+    def past(bound):
+        if len(bound) == 1:
+            return x > F.lit(bound[0])
+        return (x > F.lit(bound[0])) | ((x == F.lit(bound[0])) & (y > F.lit(bound[1])))
+
+    return reduce(lambda a, b: a + b, [F.coalesce(past(b), F.lit(False)).cast("int") for b in bounds], F.lit(0))
 
 
 def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "n",
-             ranges: int | None = None) -> DataFrame:
-    """1-based position of every row in ``order`` (ascending), per ``by`` key if given."""
+             ranges: int | None = None, weight: str | None = None) -> DataFrame:
+    """1-based position of every row in ``order`` (ascending), per ``by`` key if given.
+
+    With ``weight`` a row counts that often, and its position is that of its last count."""
     by = by or []
     ranges = min(ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
-    bounds = range_bounds(df, order[0], ranges) if ranges > 1 else []
-    x = _as_number(df, order[0])
-    slot = reduce(lambda a, b: a + b, [(x > F.lit(b)).cast("int") for b in bounds], F.lit(0))
-    cut = df.withColumn("_range", F.coalesce(slot, F.lit(0)))
-    counts = cut.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    bounds = range_bounds(df, order, ranges) if ranges > 1 else []
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    cut = df.withColumn("_range", _range_of(df, order, bounds))
+    counts = cut.groupBy(*by, "_range").agg(size.alias("_rows"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     if not by:
-        offsets = F.broadcast(offsets)  # at most MAX_RANGES rows
+        offsets = F.broadcast(offsets)  # one row per range
     inside = Window.partitionBy(*by, "_range").orderBy(*order)
+    local = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(inside)
     return (
-        cut.withColumn("_local", F.row_number().over(inside))
+        cut.withColumn("_local", local)
         .join(offsets, [*by, "_range"])
         .withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint"))
         .drop("_range", "_local", "_before")
@@ -107,11 +134,12 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, out
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, share: float, out: str) -> DataFrame:
-    """The value at index floor(n * share) of the sorted values of each key, exactly."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    placed = numbered(df.select(*by, value), [value], by=by, out="_pos")
-    return (
-        placed.join(sizes, by)
-        .filter(F.col("_pos") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1) + 1)
-        .select(*by, F.col(value).alias(out))
-    )
+    """The value at index floor(n * share) of the sorted values of each key, exactly.
+
+    Equal values are counted first, so a frequent value is one row."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    placed = numbered(counts, [value], by=by, out="_pos", weight="_c").join(sizes, by)
+    target = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1) + 1
+    return (placed.filter((F.col("_pos") >= target) & (F.col("_pos") - F.col("_c") < target))
+            .select(*by, F.col(value).alias(out)))

@@ -83,6 +83,11 @@ def test_numbering_and_frames(spark):
     for k in p:
         v = sorted(r[0] for r in rows if r[1] == k)
         assert p[k] == v[int(len(v) * 0.95)]
+    same = spark.createDataFrame([(7, i) for i in range(300)] + [(i % 9, 1000 + i) for i in range(60)], "a int, b long").repartition(6)
+    cuts = ordering.range_bounds(same, ["a", "b"], 8)
+    assert sum(len(c) == 2 for c in cuts) >= 3
+    got = [(r.a, r.b) for r in ordering.numbered(same, ["a", "b"], ranges=8).orderBy("n").collect()]
+    assert got == sorted((r.a, r.b) for r in same.collect())
     names = spark.createDataFrame([("b",), ("á",), ("ab",), ("a",), ("abcdefgh2",), ("abcdefgh1",)], "name string")
     assert [r.name for r in ordering.numbered(names, ["name"], ranges=3).orderBy("n").collect()] == sorted(["b", "á", "ab", "a", "abcdefgh2", "abcdefgh1"])
 
