@@ -18,6 +18,7 @@ def local_session(app: str = "contentflow", cpus: int | None = None, partitions:
         .config("spark.driver.memory", os.environ.get("CONTENTFLOW_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -30,18 +31,27 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch folder
-    only when nothing is configured, which is the single-machine case."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names and that every executor sees.
+
+    Only a session that runs in one process (``local[...]``) may leave it unset; it then
+    gets a scratch folder of its own. A cluster without the setting is refused, because
+    a folder of the driver's machine would be invisible to the executors."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("contentflow.scratch", None)
     if configured is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        configured = tempfile.mkdtemp(prefix="contentflow-checkpoint-")
-    sc.setCheckpointDir(configured)
+        configured = "file://" + tempfile.mkdtemp(prefix="contentflow-scratch-")
+        spark.conf.set("contentflow.scratch", configured)
+    return configured.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
