@@ -1,9 +1,10 @@
 """One query for each operator over its whole table, and the SQL that some of them must equal."""
 
-from contentflow.llm import exact_dedup
+from contentflow.llm import exact_dedup, sharding
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5,
+    "op7_sampled_splitters": sharding.op7,
 }
 
 ORACLES = {
