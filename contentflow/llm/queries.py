@@ -1,8 +1,9 @@
 """One query for each operator over its whole table, and the SQL that some of them must equal."""
 
-from contentflow.llm import exact_dedup, sharding
+from contentflow.llm import exact_dedup, sharding, token_codes
 
 QUERIES = {
+    "op3_token_codes": token_codes.op3,
     "op5_exact_dedup": exact_dedup.op5,
     "op7_sampled_splitters": sharding.op7,
 }
