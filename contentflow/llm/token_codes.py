@@ -119,19 +119,20 @@ WORDS_KEPT = 400_000  # distinct pre-tokens whose ids a worker remembers
 _tokenizers: dict = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+def _tokenizer(definition: str):
+    key = zlib.crc32(definition.encode())
+    if key not in _tokenizers:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
+        model = Tokenizer.from_str(definition)
         model.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[path] = (model, {})
-    return _tokenizers[path]
+        _tokenizers[key] = (model, {})
+    return _tokenizers[key]
 
 
-def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_words(words: list[bytes], definition: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the pre-tokens end to end, and how many each has. A pre-token is encoded once while remembered."""
-    model, known = _tokenizer(path)
+    model, known = _tokenizer(definition)
     new = [w for w in words if w not in known]
     if len(known) + len(new) > WORDS_KEPT:
         known.clear()
@@ -144,12 +145,12 @@ def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(f) for f in found], np.int64)
 
 
-def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, definition: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and how many each has."""
     data, off = text_bytes(texts)
     cuts, before = pretokens(data, off)
     words, index = distinct(data, cuts)
-    lists, sizes = encode_words(words, path)
+    lists, sizes = encode_words(words, definition)
     reached = np.append(0, np.cumsum(sizes[index]))
     return spread(lists, sizes, index), np.diff(reached[before])
 
@@ -171,6 +172,8 @@ def write_codes(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     bounds, _ = splitters(sizes, ranges)
     folder = run_folder(spark, "token-codes")
+    with open(tokenizer, encoding="utf-8") as file:
+        shared = spark.sparkContext.broadcast(file.read())  # a few MB, whatever the documents
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_folder(folder)
@@ -194,7 +197,7 @@ def write_codes(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                 if numbers[a] != now:
                     now, part = int(numbers[a]), 0
                 run = batch.slice(a, b - a)
-                tokens, sizes_ = encode_texts(run.column("text"), tokenizer)
+                tokens, sizes_ = encode_texts(run.column("text"), shared.value)
                 stops = np.cumsum(sizes_)
                 ids.append(np.insert(tokens, stops, end_id).astype(np.uint32))
                 lengths.append(sizes_ + 1)
