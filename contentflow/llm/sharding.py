@@ -158,14 +158,13 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     return numbered.join(first, "shard").select("id", "uid", "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_shards(docs: DataFrame, shards: int = 16, text_col: str = "text") -> str:
     """Writes the documents as a table with one folder ``_shard=n`` for each shard and returns its path. Rows
     travel by (shard, block of slots), so a shard is written by many tasks."""
     spark, names = docs.sparkSession, [f"c{i}" for i in range(len(docs.columns))]
-    mine = save(docs.toDF(*names), "shard-input")  # saved, so that both scans number the rows alike
-    place = shard(mine, shards, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)])
-    placed = mine.withColumn("_uid", F.monotonically_increasing_id()).join(
-        place.select(F.col("uid").alias("_uid"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")), "_uid")
+    mine = save(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "shard-input")
+    place = shard(mine, shards, "row", names[docs.columns.index(text_col)])
+    placed = mine.join(place.select(F.col("id").alias("row"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")), "row")
     out = placed.repartition("_shard", F.floor(F.col("_slot") / RANGE_ROWS)).sortWithinPartitions("_shard", "_slot")
     path = run_folder(spark, "shards")
     out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], "_shard", "_slot").write.partitionBy("_shard").parquet(path)
