@@ -1,10 +1,11 @@
 """One query for each operator over its whole table, and the SQL that some of them must equal."""
 
-from contentflow.llm import bpe, decontaminate, exact_dedup, sharding, token_codes, warc
+from contentflow.llm import bpe, decontaminate, exact_dedup, license_rules, sharding, token_codes, warc
 
 QUERIES = {
     "op2_winnowing": decontaminate.op2,
     "op3_token_codes": token_codes.op3,
+    "op4_sentence_rules": license_rules.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_gzip_normaliser": warc.op6,
     "op7_sampled_splitters": sharding.op7,
@@ -13,6 +14,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_winnowing": decontaminate.OP2_SQL,
+    "op4_sentence_rules": license_rules.op4_sql(),
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_gzip_normaliser": warc.OP6_SQL,
 }
