@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from contentflow.llm.common import pieces, read, run_folder, save, text_bytes
 from contentflow.llm.files import new_name, open_folder
 from contentflow.llm.pretokens import distinct, pretokens, spread
 
-BLOCK_BYTES = 64 << 20  # text of a block; a longer text is a block of its own
+BLOCK_BYTES = 16 << 20  # text of a block; a longer text is a block of its own
 WORDS_KEPT = 1_000_000  # words whose ids a task remembers while it encodes a bucket
 
 WORDS = "block string, bucket int, words binary"
@@ -148,10 +149,9 @@ def encode_buckets(words: DataFrame, shared, pattern: str, buckets: int) -> Data
                     if ids is None:
                         if len(known) >= WORDS_KEPT:
                             known.clear()
-                        ids = known[word] = np.array(encoder.encode_ordinary(word.decode()), np.uint32)
+                        ids = known[word] = array("I", encoder.encode_ordinary(word.decode())).tobytes()
                     found.append(ids)
-                lists = np.concatenate(found).tobytes() if found else b""
-                out.append(_pack(lists, np.array([len(f) for f in found], np.uint32)))
+                out.append(_pack(b"".join(found), np.array([len(f) // 4 for f in found], np.uint32)))
             yield pa.record_batch([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "words"])
 
     return words.repartition(buckets, "bucket").mapInArrow(run, WORDS)
