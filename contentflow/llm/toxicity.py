@@ -224,7 +224,7 @@ def find_entries(texts: DataFrame, entries: int) -> np.ndarray:
     share = (F.col("k") / F.col("n"))
     ratio = F.col("k") * F.log(share / size) + F.when(share < 1, (F.col("n") - F.col("k")) * F.log((1 - share) / (1 - size))).otherwise(0.0)
     best = counts.filter((F.col("k") > 0) & (share > size)).withColumn("ratio", ratio)
-    need = float(np.log(max(counts.count(), 1) / CHANCE_ENTRIES))
+    need = float(np.log(max(counts.filter("n >= 3").count(), 1) / CHANCE_ENTRIES))  # rarer ones can never be telling
     top = best.filter(F.col("ratio") > need).orderBy(F.desc("ratio"), "entry").limit(CANDIDATES).collect()
     candidates = np.sort(np.array([r["entry"] for r in top], np.int64).view(np.uint64))
     if not len(candidates):
@@ -236,7 +236,8 @@ def find_entries(texts: DataFrame, entries: int) -> np.ndarray:
             yield pa.record_batch({"id": batch.column("id"), "toxic": batch.column("toxic"), "hits": pa.array([b.tobytes() for b in np.packbits(has, axis=1)], pa.binary())})
 
     got = texts.mapInArrow(hits, "id bigint, toxic int, hits binary").orderBy("id").collect()  # one row for each training row
-    chosen = cover(_unpack([bytes(r["hits"]) for r in got], len(candidates)), np.array([r["toxic"] for r in got]) > 0, size, need, entries)
+    chosen = cover(_unpack([bytes(r["hits"]) for r in got], len(candidates)), np.array([r["toxic"] for r in got]) > 0, size,
+                   float(np.log(max(len(candidates), 20) / CHANCE_ENTRIES)), entries)
     return np.sort(candidates[chosen])
 
 
