@@ -1,6 +1,6 @@
 """One query for each operator over its whole table, and the SQL that some of them must equal."""
 
-from contentflow.llm import bpe, decontaminate, exact_dedup, license_rules, sharding, token_codes, toxicity, warc
+from contentflow.llm import bag_minhash, bpe, decontaminate, exact_dedup, license_rules, sharding, token_codes, toxicity, warc
 
 QUERIES = {
     "op2_winnowing": decontaminate.op2,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5,
     "op6_gzip_normaliser": warc.op6,
     "op7_sampled_splitters": sharding.op7,
+    "op8_bag_minhash": bag_minhash.op8,
     "op9_distinct_words": bpe.op9,
     "op10_weak_supervision": toxicity.op10,
 }
