@@ -1,8 +1,9 @@
 """One query for each operator over its whole table, and the SQL that some of them must equal."""
 
-from contentflow.llm import bag_minhash, bpe, decontaminate, exact_dedup, license_rules, sharding, token_codes, toxicity, warc
+from contentflow.llm import bag_minhash, bpe, decontaminate, exact_dedup, license_rules, lm_score, sharding, token_codes, toxicity, warc
 
 QUERIES = {
+    "op1_masked_pseudo_likelihood": lm_score.op1,
     "op2_winnowing": decontaminate.op2,
     "op3_token_codes": token_codes.op3,
     "op4_sentence_rules": license_rules.op4,
