@@ -199,9 +199,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return fill_blocks(encode_buckets(words, _share_ranks(spark, ranks_path), pattern, buckets), folder, buckets)
 
 
+OUT_ROWS = 256  # rows of a decoded batch
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """Adds ``decoded``, the bytes of the ids of each row (id, ids): every id is looked up in the token-byte table."""
+    """Replaces ``ids`` by ``decoded``, the bytes of the ids: every id is looked up in the token-byte table. All other
+    columns are kept."""
     shared = _share_ranks(encoded.sparkSession, ranks_path)
+    kept = [c for c in encoded.columns if c != "ids"]
+    kinds = dict(encoded.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rank = sorted((rank, token) for token, rank in shared.value.items())
@@ -209,24 +215,25 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         sizes[[r for r, _ in by_rank]] = [len(t) for _, t in by_rank]
         flat = np.frombuffer(b"".join(t for _, t in by_rank), np.uint8)
         for batch in batches:
-            lists = batch.column("ids")
-            stops = np.asarray(lists.offsets)
-            values, texts = np.asarray(lists.values), []
-            for a, b in zip(stops[:-1].tolist(), stops[1:].tolist()):
-                texts.append(spread(flat, sizes, values[a:b]).tobytes())
-            yield pa.record_batch([batch.column("id"), lists, pa.array(texts, pa.binary())], names=["id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(at, OUT_ROWS)
+                lists = part.column("ids")
+                stops, values = np.asarray(lists.offsets), np.asarray(lists.values)
+                texts = [spread(flat, sizes, values[a:b]).tobytes() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(texts, pa.binary())], names=[*kept, "decoded"])
 
-    return encoded.mapInArrow(run, f"{IDS}, decoded binary")
+    return encoded.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["decoded binary"]))
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """Number and digest of the ids, and digest of what they decode to."""
     numbers = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
-                          F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    told = encoded.select("id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"))
+    return decode(told, ranks_path).select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_50k.tiktoken")
-    return digests(decode(encode(read(spark, sf_dir, "documents"), path, P.PATTERN), path))
+    return digests(encode(read(spark, sf_dir, "documents"), path, P.PATTERN), path)

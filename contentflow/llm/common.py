@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from contentflow.session import shared_folder
 
-PIECE_BYTES = 4 << 20  # text handled by numpy at a time; bounds a task's memory
+PIECE_BYTES = 1 << 20  # text handled by numpy at a time; bounds a task's memory
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
