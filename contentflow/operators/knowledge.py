@@ -34,25 +34,31 @@ def children(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.filter(F.lower("parent") == name.lower())
 
 
-def ancestors(nodes: DataFrame, start: DataFrame, max_depth: int = 100) -> DataFrame:
+def ancestors(nodes: DataFrame, start: DataFrame) -> DataFrame:
     """(category, ancestor, depth), nearest first, roots' missing parent excluded.
 
     One equi-join per level; a taxonomy has few levels whatever its width. Each level
-    is checkpointed, so neither plan nor lineage grows."""
+    is checkpointed, so neither plan nor lineage grows. A category that comes to
+    an ancestor it already has is on a cycle, which raises."""
     edges = nodes.filter(F.col("parent").isNotNull()).select(F.col("category").alias("_c"), "parent")
     level = start.select("category").join(edges, F.col("category") == F.col("_c")).select(
         "category", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    levels = []
-    for depth in range(2, max_depth + 2):
+    levels: list[DataFrame] = []
+    while True:
         level = cut_lineage(level)
         if level.isEmpty():
             break
-        if depth > max_depth:
-            raise ValueError(f"taxonomy deeper than {max_depth} levels or cyclic")
+        pair = ["category", "ancestor"]
+        if levels and not level.join(_all_levels(levels).select(*pair), pair, "left_semi").isEmpty():
+            raise ValueError("taxonomy is cyclic")
         levels.append(level)
         level = level.join(edges, F.col("ancestor") == F.col("_c")).select(
-            "category", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
-    out = levels[0] if levels else level
+            "category", F.col("parent").alias("ancestor"), F.lit(len(levels) + 1).alias("depth"))
+    return _all_levels(levels or [level])
+
+
+def _all_levels(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
     return out

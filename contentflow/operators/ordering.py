@@ -1,8 +1,9 @@
 """Numbering, previous-row and sliding-frame operators that have no single hot task.
 
-A plain window over everything (or over one hot key) sorts in one task. Here the
-rows are first cut into ranges of the order column; only the per-range counts,
-whose number is fixed by the number of ranges, are put in sequence.
+A plain window over everything (or over one hot key) sorts in one task. Here the rows are first dealt into ranges
+of the whole order by Spark's sampled range partitioning, on the values themselves, and written once; only one
+small row for each range is then put in sequence. There are as many ranges as shuffle partitions, so a range
+holds the same share of the rows at every size, and a hot first column is cut by the next one.
 """
 
 from __future__ import annotations
@@ -10,63 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 256
+from contentflow.session import cut_lineage
 
+LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row number in the partition below
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if kind == "string":  # the first seven bytes as a number keep the string order
-        lead = F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7))
-        return F.conv(F.rpad(lead, 14, "0"), 16, 10).cast("bigint")
-    return F.col(name)
 
-
-def range_bounds(df: DataFrame, order: list[str], ranges: int) -> list[tuple]:
-    """Bounds that cut the order into about equal ranges: ``(x,)`` or ``(x, y)`` tuples.
-
-    Approximate quantiles of the first column, one small row from one narrow scan. A value
-    that fills several quantiles is hot; it is cut again by the second column. The bounds
-    only decide how evenly rows spread; numbering stays exact."""
-    x = _as_number(df, order[0])
-    steps = [i / ranges for i in range(1, ranges)]
-    row = df.select(F.percentile_approx(x, steps, 20 * ranges).alias("b")).first()
-    values = list(row["b"] or []) if row else []
-    hot = {v: values.count(v) for v in set(values) if values.count(v) > 1} if len(order) > 1 else {}
-    bounds = [(v,) for v in set(values)]
-    if hot:
-        y = _as_number(df, order[1])
-        cuts = (df.select(x.alias("x"), y.alias("y")).filter(F.col("x").isin(list(hot))).groupBy("x")
-                .agg(F.percentile_approx("y", steps, 20 * ranges).alias("b")).collect())  # at most ranges / 2 rows
-        for r in cuts:
-            keep = max(1, len(r["b"]) // (hot[r["x"]] + 1))
-            bounds += [(r["x"], c) for c in sorted(set(r["b"][keep - 1::keep]))]
-    return bounds
-
-
-STEP = 16
-
-
-def _range_of(df: DataFrame, order: list[str], bounds: list[tuple]) -> Column:
-    """Number of bounds below the row, found in two steps of at most about ``STEP`` comparisons.
-
-    A bound ``(x,)`` lies behind every row with that x, a bound ``(x, y)`` inside them; the
-    middle field of the compared structs says which."""
-    if not bounds:
-        return F.lit(0)
-    x = _as_number(df, order[0])
-    y = _as_number(df, order[1]) if len(order) > 1 else F.lit(0)
-    kx, ky = (df.select(c.alias("c")).dtypes[0][1] for c in (x, y))
-    row = F.struct(x.alias("x"), F.lit(0).alias("f"), y.cast(ky).alias("y"))
-    ordered = sorted(((b[0], 1, 0) if len(b) == 1 else (b[0], 0, b[1])) for b in bounds)
-
-    def table(rows):
-        return F.array(*[F.struct(F.lit(v).cast(kx).alias("x"), F.lit(f).alias("f"), F.lit(c).cast(ky).alias("y")) for v, f, c in rows])
-
-    coarse = F.size(F.filter(table(ordered[::STEP]), lambda b: b < row))
-    chunk = F.slice(table(ordered), F.greatest(coarse - 1, F.lit(0)) * STEP + 1, STEP)
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * STEP + F.size(F.filter(chunk, lambda b: b < row)))
+def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` dealt into ranges of ``order`` with ``_range`` and ``_row`` (from 0, in order inside the range)."""
+    count = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    mark = F.monotonically_increasing_id()
+    return cut_lineage(placed.withColumn("_row", mark)).withColumn("_range", F.shiftright("_row", LOCAL_BITS)).withColumn(
+        "_row", F.col("_row") - F.shiftleft(F.col("_range"), LOCAL_BITS))
 
 
 def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "n",
@@ -75,30 +31,29 @@ def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, out:
 
     With ``weight`` a row counts that often, and its position is that of its last count."""
     by = by or []
-    ranges = min(ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
-    bounds = range_bounds(df, order, ranges) if ranges > 1 else []
-    size = F.sum(weight) if weight else F.count(F.lit(1))
-    cut = df.withColumn("_range", _range_of(df, order, bounds))
-    counts = cut.groupBy(*by, "_range").agg(size.alias("_rows"))
+    cut = in_ranges(df, [*by, *order], ranges)
+    keyed = [*by, "_range"]
+    if weight:
+        inside = Window.partitionBy(*keyed).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+        cut, size = cut.withColumn("_local", F.sum(weight).over(inside)), F.sum(weight)
+    else:
+        size = F.count(F.lit(1))
+    counts = cut.groupBy(*keyed).agg(size.alias("_size"), F.min("_row").alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    offsets = counts.select(*keyed, "_first", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     if not by:
         offsets = F.broadcast(offsets)  # one row per range
-    inside = Window.partitionBy(*by, "_range").orderBy(*order)
-    local = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(inside)
-    return (
-        cut.withColumn("_local", local)
-        .join(offsets, [*by, "_range"])
-        .withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint"))
-        .drop("_range", "_local", "_before")
-    )
+    placed = cut.join(offsets, keyed)
+    local = F.col("_local") if weight else F.col("_row") - F.col("_first") + 1
+    return placed.withColumn(out, (F.col("_before") + local).cast("bigint")).drop("_range", "_row", "_local", "_before", "_first")
 
 
 def with_frame(df: DataFrame, position: str, size: int, agg: Column, out: str, chunk: int = 100_000) -> DataFrame:
     """``agg`` over the last ``size`` rows of an already numbered frame.
 
-    Rows are cut into chunks; the last ``size - 1`` rows of a chunk are also
-    shown to the next one, so every frame is complete inside its chunk."""
+    Rows are cut into chunks, at least as long as a frame; the last ``size - 1`` rows of a
+    chunk are also shown to the next one, so every frame is complete inside its chunk."""
+    chunk = max(chunk, size)
     at = F.col(position) - 1
     home = F.floor(at / chunk)
     shared = (at % chunk) >= chunk - (size - 1)
@@ -110,28 +65,29 @@ def with_frame(df: DataFrame, position: str, size: int, agg: Column, out: str, c
 
 
 def carry_max(df: DataFrame, keys: list[str], ts: str, tie: str, value: Column, out: str, inclusive: bool,
-              slice_seconds: int = 86400) -> DataFrame:
+              ranges: int | None = None) -> DataFrame:
     """Greatest ``value`` among the earlier rows of the same key (with ``inclusive``, this row too).
 
-    Rows of a key are cut into time slices, so a hot key spreads over tasks; the greatest
-    value of each slice (one row per key and slice) is carried into the later slices."""
-    sliced = df.withColumn("_slice", F.floor(F.unix_seconds(ts) / slice_seconds)).withColumn("_value", value)
-    tops = sliced.groupBy(*keys, "_slice").agg(F.max("_value").alias("_top"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    heads = tops.select(*keys, "_slice", F.max("_top").over(before).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    The rows are dealt into ranges of (key, time), so a hot key spreads over as many tasks as
+    its share of the rows asks for; the greatest value of each part (one row per key and range)
+    is carried into the later parts."""
+    sliced = in_ranges(df.withColumn("_value", value), [*keys, ts, tie], ranges)
+    tops = sliced.groupBy(*keys, "_range").agg(F.max("_value").alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = tops.select(*keys, "_range", F.max("_top").over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return (
         sliced.withColumn("_seen", F.max("_value").over(inside))
-        .join(heads, [*keys, "_slice"])
+        .join(heads, [*keys, "_range"])
         .withColumn(out, F.coalesce("_seen", "_carried"))
-        .drop("_slice", "_value", "_seen", "_carried")
+        .drop("_range", "_row", "_value", "_seen", "_carried")
     )
 
 
 def with_previous(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "prev_ts",
-                  slice_seconds: int = 86400) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """Time of the previous row of the same key (null for the first)."""
-    return carry_max(df, keys, ts, tie, F.col(ts), out, inclusive=False, slice_seconds=slice_seconds)
+    return carry_max(df, keys, ts, tie, F.col(ts), out, inclusive=False, ranges=ranges)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str | None = None) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from contentflow.operators.ordering import numbered
 
-BROADCAST_ROWS = 100_000
-
 
 def take_next(queue: DataFrame, n: int, rank: str = "rank", arrival: list[str] | None = None) -> DataFrame:
     """The next ``n`` rows: highest priority first, oldest first inside a priority."""
@@ -16,15 +14,14 @@ def take_next(queue: DataFrame, n: int, rank: str = "rank", arrival: list[str] |
     return queue.orderBy(F.col(rank).desc(), *[F.col(a).asc() for a in arrival]).limit(n)
 
 
-def keep_within_capacity(arrivals: DataFrame, capacity: int, key: str = "id", rank: str = "rank",
+def keep_within_capacity(arrivals: DataFrame, capacity: int, rank: str = "rank",
                          arrival: list[str] | None = None) -> DataFrame:
     """Every arrival with ``kept``: a full queue evicts the newest row of the lowest
     level below the newcomer, else refuses the newcomer. For arrivals alone the
     survivors are the first ``capacity`` rows by priority, then arrival."""
-    kept = take_next(arrivals, capacity, rank, arrival).select(key, F.lit(True).alias("kept"))
-    if capacity <= BROADCAST_ROWS:
-        kept = F.broadcast(kept)
-    return arrivals.join(kept, key, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    arrival = arrival or ["published", "id"]
+    placed = numbered(arrivals.withColumn("_down", -F.col(rank)), ["_down", *arrival], out="_place")
+    return placed.withColumn("kept", F.col("_place") <= capacity).drop("_down", "_place")
 
 
 def overflow_counts(arrivals: DataFrame, by: list[str], capacity: int) -> DataFrame:

@@ -1,9 +1,10 @@
 """Ordered state machines over logs: window dedup, recheck gate, breaker, token bucket.
 
 Each of them is cut at points where the state does not depend on the past, found
-with sliced windows, so a hot key is worked on in many pieces. A piece is folded
-from sorted partitions as a stream of Arrow batches with constant memory; no
-group is ever collected. The same step functions drive the streaming forms.
+with windows over ranges, so a hot key is worked on in many pieces. The spaced
+forms mark a path of pointers; breaker and bucket fold a piece from sorted
+partitions as a stream of Arrow batches with constant memory. No group is ever
+collected. The same step functions drive the streaming forms.
 """
 
 from __future__ import annotations
@@ -51,55 +52,27 @@ def _micros(c):
     return F.unix_micros(c)
 
 
-def accept_spaced(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int, strict: bool,
-                  fold_rows: int = 1_000_000) -> DataFrame:
+def accept_spaced(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int, strict: bool) -> DataFrame:
     """Adds ``accepted``: the first row of a key, then every row whose distance to the last
     accepted one exceeds the gap (``strict``) or reaches it. Refused rows change nothing.
 
     A row whose distance to the row before it is already large enough is accepted whatever
     happened earlier, so it starts a piece. Inside a piece, rows close to its start are
-    refused at once; the rest is folded. Pieces with more than ``fold_rows`` rows are solved
-    by pointer doubling instead, so that a busy key is no single long task."""
+    refused at once; where others are left, the accepted ones are the path of a chain of
+    pointers, marked by doubling. No piece is stepped through row by row."""
     gap = gap_seconds * MICROS
     far = (lambda d: d > gap) if strict else (lambda d: d >= gap)
     prev = with_previous(df, keys, ts, tie, "_prev")
     opens = F.col("_prev").isNull() | far(_micros(ts) - _micros("_prev"))
     # only the first of several rows with the same time opens the piece
     pieces = carry_max(prev.withColumn("_opens", opens), keys, ts, tie, F.when(F.col("_opens"), F.col(ts)), "_start", True)
-    pieces = pieces.drop("_prev")
-    # a frame that small cannot hold a long piece; otherwise the pieces are written once and looked at
-    all_short = df.count() <= fold_rows
-    if not all_short:
-        pieces = cut_lineage(pieces)
+    pieces = cut_lineage(pieces.drop("_prev"))
     later = far(_micros(ts) - _micros("_start"))
-    settled = pieces.filter(F.col("_opens") | ~later).withColumn("accepted", F.col("_opens"))
-    open_rows = pieces.filter(~F.col("_opens") & later)
-
-    def with_folded(short):
-        folded = _fold_spaced(short, keys, ts, tie, gap, strict)
-        return settled.select(*df.columns, "accepted").unionByName(folded.select(*df.columns, "accepted"))
-
-    if all_short:
-        return with_folded(open_rows)
-    sizes = open_rows.groupBy(*keys, "_start").agg(F.count(F.lit(1)).alias("_rows"))
-    long_pieces = cut_lineage(sizes.filter(F.col("_rows") > fold_rows).select(*keys, "_start"))
-    if long_pieces.isEmpty():
-        return with_folded(open_rows)
-    out = with_folded(open_rows.join(long_pieces, [*keys, "_start"], "left_anti"))
-    chained = _chain_spaced(pieces.join(long_pieces, [*keys, "_start"], "left_semi"), keys, ts, tie, gap, strict)
-    keep = F.col("_opens") | ~later
-    return out.unionByName(chained.filter(~keep).select(*df.columns, "accepted"))
-
-
-def _fold_spaced(rows: DataFrame, keys: list[str], ts: str, tie: str, gap: int, strict: bool) -> DataFrame:
-    work = rows.withColumns({"_t": _micros(ts), "_s": _micros("_start")})
-    at_t, at_s = work.columns.index("_t"), work.columns.index("_s")
-
-    def step(last, row):
-        ok = (row[at_t] - last > gap) if strict else (row[at_t] - last >= gap)
-        return (row[at_t] if ok else last), (ok,)
-
-    return fold_sorted(work, [*keys, "_start"], ["_t", tie], lambda row: row[at_s], step, {"accepted": "boolean"})
+    settled = F.col("_opens") | ~later
+    open_pieces = pieces.filter(~settled).select(*keys, "_start").distinct()
+    chained = _chain_spaced(pieces.join(open_pieces, [*keys, "_start"], "left_semi"), keys, ts, tie, gap, strict)
+    done = pieces.filter(settled).withColumn("accepted", F.col("_opens")).select(*df.columns, "accepted")
+    return done.unionByName(chained.filter(~settled).select(*df.columns, "accepted"))
 
 
 def _chain_spaced(rows: DataFrame, keys: list[str], ts: str, tie: str, gap: int, strict: bool) -> DataFrame:
@@ -150,14 +123,14 @@ def mark_path(starts: DataFrame, pointers: DataFrame, keys: list[str], node: str
         jump = cut_lineage(jump.join(hop, [*keys, "nxt"]).select(*keys, node, F.col("_far").alias("nxt")))
 
 
-def dedup_in_window(df: DataFrame, key: str, ts: str, tie: str, seconds: int = 3600, **kw) -> DataFrame:
+def dedup_in_window(df: DataFrame, key: str, ts: str, tie: str, seconds: int = 3600) -> DataFrame:
     """A repeated key is refused up to ``seconds`` after the last accepted one."""
-    return accept_spaced(df, [key], ts, tie, seconds, strict=True, **kw)
+    return accept_spaced(df, [key], ts, tie, seconds, strict=True)
 
 
-def recheck_gate(df: DataFrame, feed: str, ts: str, tie: str, seconds: int = 300, **kw) -> DataFrame:
+def recheck_gate(df: DataFrame, feed: str, ts: str, tie: str, seconds: int = 300) -> DataFrame:
     """A feed may be checked again once ``seconds`` have passed since its last allowed check."""
-    return accept_spaced(df, [feed], ts, tie, seconds, strict=False, **kw)
+    return accept_spaced(df, [feed], ts, tie, seconds, strict=False)
 
 
 # --- failure streaks ------------------------------------------------------------------------

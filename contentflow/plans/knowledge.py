@@ -204,11 +204,11 @@ def linked_entities(t):
 
 def claim_table(t):
     return (t.documents().select("doc_id", F.posexplode(x.sentences("text")).alias("pos", "claim"))
-            .filter((x.word_count("claim") > 5) & (F.size(x.entities("claim")) > 0)))
+            .filter(x.word_count("claim") > 5))
 
 
 CLAIM_SQL = PAGE_ENT_SQL + f""",
-cl AS (SELECT * FROM (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS claim FROM (SELECT doc_id, {sents_sql('text')} AS s FROM documents)) WHERE {words_sql('claim')} > 5 AND len({ENT_SQL.replace('text', 'claim')}) > 0),
+cl AS (SELECT * FROM (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS claim FROM (SELECT doc_id, {sents_sql('text')} AS s FROM documents)) WHERE {words_sql('claim')} > 5),
 ce AS (SELECT doc_id, pos, claim, unnest(list_distinct({ENT_SQL.replace('text', 'claim')})) AS entity FROM cl),
 pg AS (SELECT * FROM (SELECT name, page_id, body, row_number() OVER (PARTITION BY name ORDER BY page_id) AS rn FROM (SELECT DISTINCT name, page_id, body FROM pe)) WHERE rn <= 2),
 evd AS (SELECT doc_id, pos, claim, entity, page_id AS source, substring(body,1,500) AS evidence FROM ce JOIN pg ON lower(pg.name)=lower(entity) WHERE {LABEL_SQL.format(e='entity')} IN ('ORG','PERSON','GPE','PRODUCT','EVENT'))"""

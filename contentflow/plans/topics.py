@@ -80,11 +80,11 @@ def topic_coherence(t):
 dt AS (SELECT conv_id, turn, list_distinct({tok_sql('text')}) AS t FROM conversations),
 ov AS (SELECT conv_id, turn, len(t) AS nd, label, count(*) AS overlap FROM dt JOIN kw ON list_contains(t, kw.term) GROUP BY 1, 2, 3, 4),
 nt AS (SELECT label, count(*) AS nt FROM kw GROUP BY 1)
-SELECT conv_id * 1000 + turn AS turn_id, label, overlap, round(overlap::DOUBLE/(nt+nd-overlap), 6) AS similarity FROM ov JOIN nt USING (label) WHERE overlap::DOUBLE/(nt+nd-overlap) >= 0.05""")
+SELECT conv_id || ':' || turn AS turn_id, label, overlap, round(overlap::DOUBLE/(nt+nd-overlap), 6) AS similarity FROM ov JOIN nt USING (label) WHERE overlap::DOUBLE/(nt+nd-overlap) >= 0.05""")
 def document_topic_match(t):
     w, c, labels = given_topics(t)
     words = words_of(topics.topic_summary(c, labels))
-    turns = t.chat().select((F.col("group_id") * 1000 + F.col("pos")).alias("turn_id"), "text")
+    turns = t.chat().select(F.concat_ws(":", "group_id", "pos").alias("turn_id"), "text")
     return topics.match_topics(turns, words, "turn_id", at_least=0.05).withColumn("similarity", F.round("similarity", 6))
 
 

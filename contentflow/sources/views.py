@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from contentflow.session import use_utc
 
 AS_OF = "2024-01-31 00:00:00"
-SPREAD_BELOW = 256 * 1024 * 1024  # bytes
 
 
 def as_of():
@@ -40,15 +39,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def read_text(self, name: str) -> DataFrame:
-        """A text table. A small one is spread over the cores: text work is heavy per byte
-        and a small file may be one row group, thus one task. A large one has enough splits
-        of its own and is never shuffled for this."""
+        """A text table as the scan gives it. Where ``contentflow.text.partitions`` is set, its rows are dealt over so
+        many tasks first: a setting for single machines with small files of one row group, not for clusters."""
         df = self.read(name)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}.parquet")
-        conf = self.spark._jsc.hadoopConfiguration()
-        if path.getFileSystem(conf).getContentSummary(path).getLength() < SPREAD_BELOW:
-            df = df.repartition(self.spark.sparkContext.defaultParallelism)
-        return df
+        spread = self.spark.conf.get("contentflow.text.partitions", None)
+        return df.repartition(int(spread)) if spread else df
 
     def events(self) -> DataFrame:
         return self.read("events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -93,3 +93,11 @@ def test_default_taxonomy(spark):
     kw = {r.keyword for r in knowledge.inherited_keywords(nodes, words, ai).collect()}
     assert {"deep learning", "software"} <= kw
     assert knowledge.ancestors(nodes, knowledge.find_category(nodes, "none")).count() == 0
+
+
+def test_cyclic_taxonomy(spark):
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "category string, parent string")
+    with pytest.raises(ValueError):
+        knowledge.ancestors(loop, loop.filter("category = 'a'"))
+    deep = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(12)], "category string, parent string")
+    assert knowledge.ancestors(deep, deep.filter("category = 'n11'")).count() == 11
