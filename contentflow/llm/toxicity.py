@@ -32,6 +32,7 @@ CANDIDATES = 4096  # entries among which those are chosen
 CHANCE_ENTRIES = 1.0  # entries that chance alone may bring
 BEGINNINGS = (4, 5, 6)  # bytes of a word beginning
 LEXICON_VOTERS = 8
+NOISE = 0.1  # correlations of votes below this count as none
 THRESHOLD = 0.3
 HELD_OUT = 2  # remainder of crc32(doc_id as text) by 4 whose labels are never read
 
@@ -144,7 +145,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray,
         return out / out.sum(axis=2, keepdims=True)
 
     start = np.zeros(n)
-    model = LabelModel(tables_of(start), np.full(v, 1 / 3), np.zeros((v, v)), prior)
+    model = LabelModel(tables_of(start), np.full(v, 1.0), np.zeros((v, v)), prior)
     for _ in range(rounds):
         share = model.posterior(patterns)
         total = np.zeros((v, v))
@@ -157,6 +158,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray,
         scale = np.sqrt(np.maximum(np.diag(total), 1e-9))
         correlations = total / np.outer(scale, scale)
         np.fill_diagonal(correlations, 0)
+        correlations[np.abs(correlations) < NOISE] = 0
         weights = 1 / (1 + np.abs(correlations).sum(axis=1))
         model = LabelModel(tables_of(share), weights, correlations, prior)
     return model
