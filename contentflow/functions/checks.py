@@ -115,6 +115,37 @@ def in_range(c, low: float, high: float) -> Column:
     return F.coalesce(col(c).between(low, high), F.lit(True))
 
 
+def _outside(c: Column, low: float, high: float, name: str) -> Column:
+    return F.when(~F.coalesce(c.between(low, high), F.lit(True)), f"{name} must be between {low:g} and {high:g}")
+
+
+def _told(*errors_: Column) -> Column:
+    return F.array_compact(F.array(*errors_))
+
+
+def enhancement_errors(summary, credibility, quality, facts) -> Column:
+    """Broken constraints of an enhancement result; ``facts`` is array<struct<fact, confidence>>."""
+    whole = F.forall(F.coalesce(col(facts), F.array().cast("array<struct<fact:string,confidence:double>>")),
+                     lambda f: f["fact"].isNotNull() & f["confidence"].isNotNull())
+    return _told(F.when(F.length(F.trim(F.coalesce(col(summary), F.lit("")))) == 0, "summary must not be empty"),
+                 _outside(col(credibility), 0, 1, "credibility"), _outside(col(quality), 0, 1, "quality"),
+                 F.when(~whole, "each fact needs fact and confidence"))
+
+
+def source_content_errors(quality, readability, sentiment, content) -> Column:
+    """Broken constraints of a stored source content; ``content`` is a map of its fields."""
+    return F.concat(
+        _told(_outside(col(quality), 0, 1, "quality"), _outside(col(readability), 0, 100, "readability"), _outside(col(sentiment), -1, 1, "sentiment")),
+        F.transform(missing(["title", "body", "url"], F.map_keys(col(content))), lambda f: F.concat(F.lit("content lacks "), f)))
+
+
+def generated_content_errors(temperature, review, content) -> Column:
+    """Broken constraints of a generated content."""
+    return F.concat(
+        _told(_outside(col(temperature), 0, 1, "temperature"), _outside(col(review), 0, 1, "review score")),
+        F.transform(missing(["title", "body"], F.map_keys(col(content))), lambda f: F.concat(F.lit("content lacks "), f)))
+
+
 def split_valid(df: DataFrame, errors_col: str = "errors") -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined rows): bad rows never stop the good ones."""
     good = df.filter(F.size(errors_col) == 0).drop(errors_col)

@@ -146,7 +146,7 @@ def delivery_outcome(status_code) -> Column:
 def error_id(ts, *parts) -> Column:
     """Repeatable id: milliseconds and a four-digit number derived from the row."""
     return F.concat(F.lit("err_"), F.unix_millis(col(ts)).cast("string"), F.lit("_"),
-                    (F.pmod(F.xxhash64(*[col(p) for p in parts]), F.lit(9000)) + 1000).cast("string"))
+                    (F.conv(F.substring(F.md5(F.concat_ws("|", *[col(p) for p in parts])), 1, 8), 16, 10).cast("bigint") % 9000 + 1000).cast("string"))
 
 
 def with_priority(items, rule, out: str = "priority"):

@@ -38,7 +38,7 @@ def _terms(docs: DataFrame, keep: list, body: str, stop_words, bigrams: bool) ->
 def term_counts(docs: DataFrame, group: list[str], doc: str, body: str = "text", stop_words=ENGLISH_STOP_WORDS,
                 bigrams: bool = False) -> DataFrame:
     """(group, doc, term, tf)."""
-    rows = _terms(docs, [*group, doc], body, stop_words, bigrams).select(*group, doc, F.explode("_t").alias("term"))
+    rows = _terms(docs, [*group, doc], body, stop_words, bigrams).select(*group, doc, F.explode_outer("_t").alias("term")).filter(F.col("term").isNotNull())
     return rows.groupBy(*group, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -48,14 +48,14 @@ def term_stats(docs: DataFrame, group: list[str], body: str = "text", stop_words
     aggregate, so the shuffle carries partial sums per term and never (text, term) pairs."""
     every = F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
     first = F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-    rows = _terms(docs, group, body, stop_words, bigrams).select(*group, F.inline(F.concat(every, first)))
+    rows = _terms(docs, group, body, stop_words, bigrams).select(*group, F.inline_outer(F.concat(every, first))).filter(F.col("term").isNotNull())
     return rows.groupBy(*group, "term").agg(F.sum("tf").alias("corpus_tf"), F.sum("df").alias("df"))
 
 
 def vocabulary(docs: DataFrame, group: list[str], max_features: int, body: str = "text",
                stop_words=ENGLISH_STOP_WORDS, bigrams: bool = False) -> DataFrame:
     """(group, term): the most frequent terms of each group. Ties are resolved by term."""
-    rows = _terms(docs, group, body, stop_words, bigrams).select(*group, F.explode("_t").alias("term"))
+    rows = _terms(docs, group, body, stop_words, bigrams).select(*group, F.explode_outer("_t").alias("term")).filter(F.col("term").isNotNull())
     totals = rows.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("corpus_tf"))
     return top_per_key(totals, group, [F.col("corpus_tf").desc(), F.col("term").asc()], max_features).select(*group, "term")
 
@@ -67,7 +67,7 @@ def idf(n_docs: Column, df: Column) -> Column:
 def vocabulary_counts(docs: DataFrame, vocab: DataFrame, group: list[str], doc: str, body: str = "text",
                       stop_words=ENGLISH_STOP_WORDS, bigrams: bool = False) -> DataFrame:
     """Term counts restricted to the vocabulary before they are shuffled."""
-    rows = _terms(docs, [*group, doc], body, stop_words, bigrams).select(*group, doc, F.explode("_t").alias("term"))
+    rows = _terms(docs, [*group, doc], body, stop_words, bigrams).select(*group, doc, F.explode_outer("_t").alias("term")).filter(F.col("term").isNotNull())
     return rows.join(vocab, [*group, "term"]).groupBy(*group, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -137,7 +137,7 @@ def theme_sentences(docs: DataFrame, themes_by_group: DataFrame, group: list[str
 
     The themes travel as one short array per group on an equi-join, so there is no
     pairing of all sentences with all themes."""
-    sents = docs.select(*group, doc, F.posexplode(x.sentences(body)).alias("pos", "sentence"))
+    sents = docs.select(*group, doc, F.posexplode_outer(x.sentences(body)).alias("pos", "sentence")).filter(F.col("pos").isNotNull())
     named = sents.join(themes_by_group, group, "left").withColumn(
         "hit", F.coalesce(F.exists("themes", lambda k: F.contains(F.lower("sentence"), F.lower(k))), F.lit(False)))
     any_hit = named.groupBy(*group).agg(F.bool_or("hit").alias("_any"))

@@ -163,9 +163,6 @@ def related_topics(topic_words: DataFrame, above: float = 0.1) -> DataFrame:
     return j.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") > above)
 
 
-MAX_PERIODS = 5  # three equal chunks of n texts plus what integer division leaves
-
-
 def emerging_topics(scores: DataFrame, doc: str, at_least: float = 0.2, growth_above: float = 0.1) -> DataFrame:
     """(label, growth, first_count, last_count, emerging) over chunks of texts in id order."""
     scores = cut_lineage(scores)  # counted, numbered and joined below

@@ -184,7 +184,9 @@ kb AS (SELECT lower(name) AS lname, {LABEL_SQL.format(e='name')} AS label, arg_m
 
 
 def page_entities(t):
-    return t.pages().select("page_id", "url", F.regexp_replace("html", "<[^>]+>", " ").alias("body"), F.explode(x.entities("html")).alias("name"))
+    """Names of each page with the part of its body that is ever shown; a name counts once for a page."""
+    body = F.substring(F.regexp_replace("html", "<[^>]+>", " "), 1, 500)
+    return t.pages().select("page_id", "url", body.alias("body"), F.explode_outer(F.array_distinct(x.entities("html"))).alias("name")).filter(F.col("name").isNotNull())
 
 
 def knowledge_base(t):

@@ -112,13 +112,21 @@ def processing_summary(t):
         stamp(F.max("p")).alias("last_processed"), stamp(F.max("d")).alias("last_delivered"))
 
 
+def attempts_reached(failures, count):
+    """(attempt, n): how many rows reached each attempt number. Rows are counted by their number of failures first,
+    so the sequences are as many as there are distinct numbers, whatever the rows."""
+    sizes = failures.groupBy(F.col(count).cast("bigint").alias("_most")).agg(F.count(F.lit(1)).alias("_rows"))
+    return sizes.select("_rows", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_most"))).alias("attempt")).groupBy(
+        "attempt").agg(F.sum("_rows").alias("n"))
+
+
 @query("F11_retries_by_attempt", "WITH " + ATTEMPTS_SQL + """,
 f AS (SELECT item_id, count(*) AS n FROM attempts WHERE NOT ok GROUP BY 1)
 SELECT CAST(a AS BIGINT) AS attempt, count(*) AS n FROM (SELECT unnest(range(1, n + 1)) AS a FROM f) GROUP BY 1""")
 def retries_by_attempt(t):
     """Attempt numbers follow from the failure count per item, so nothing is ranked."""
     f = t.attempts().filter(~F.col("ok")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return f.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("attempt")).groupBy("attempt").agg(F.count(F.lit(1)).alias("n"))
+    return attempts_reached(f, "n").select(F.col("attempt"), "n")
 
 
 W5 = "time_bucket(INTERVAL 5 MINUTE, ts)"

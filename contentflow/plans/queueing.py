@@ -61,12 +61,12 @@ def minimum_gap(t):
 
 
 @query("I4_retry_lifecycle", "WITH " + ATTEMPTS_SQL + """,
-f AS (SELECT item_id, count(*) AS retry_count, max(ts) AS last_failure FROM attempts WHERE NOT ok AND seconds > 4 GROUP BY 1)
+f AS (SELECT item_id, count(*) AS retry_count, max(ts) AS last_failure FROM attempts WHERE NOT ok GROUP BY 1)
 SELECT item_id, retry_count, CASE WHEN retry_count <= 3 THEN 'retrying' ELSE 'failed' END AS status,
  CASE WHEN retry_count <= 3 THEN 'low' ELSE '-' END AS queue_priority,
  CASE WHEN retry_count <= 3 THEN CAST(epoch_us(last_failure) + CAST(pow(2, retry_count) AS BIGINT) * 1000000 AS BIGINT) ELSE -1 END AS next_attempt_us FROM f""")
 def retry_lifecycle(t):
-    s = queueing.retry_state(t.attempts().filter("seconds > 4"))
+    s = queueing.retry_state(t.attempts())
     return s.select("item_id", "retry_count", "status", F.coalesce("queue_priority", F.lit("-")).alias("queue_priority"),
                     F.coalesce(F.unix_micros("next_attempt"), F.lit(-1)).alias("next_attempt_us"))
 

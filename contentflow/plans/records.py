@@ -408,23 +408,24 @@ def redacted_message(t):
     return both.select("error_no", rules.redact("message").alias("message"))
 
 
-@query("H45_backoff_schedule", """
-SELECT 'webhook' AS policy, a AS attempt, least(1*pow(2,a),8)::DOUBLE AS delay, count(*) AS n FROM events, (SELECT unnest(range(4)) AS a) WHERE event_type='error' GROUP BY 1,2,3
-UNION ALL SELECT 'delivery', a, 5*pow(2,a), count(*) FROM events, (SELECT unnest(range(4)) AS a) WHERE event_type='error' GROUP BY 1,2,3
-UNION ALL SELECT 'errors', a, least(pow(2,a),60), count(*) FROM events, (SELECT unnest(range(4)) AS a) WHERE event_type='error' GROUP BY 1,2,3
-UNION ALL SELECT 'fetch', a, least(pow(2,a),300), count(*) FROM events, (SELECT unnest(range(4)) AS a) WHERE event_type='error' GROUP BY 1,2,3
-UNION ALL SELECT 'api', a, least(0.2*pow(2,a),60), count(*) FROM events, (SELECT unnest(range(4)) AS a) WHERE event_type='error' GROUP BY 1,2,3""")
+# Fixed values: (policy, base seconds, cap seconds).
+BACKOFF = [("webhook", 1.0, 8.0), ("delivery", 5.0, None), ("errors", 1.0, 60.0), ("fetch", 1.0, 300.0), ("api", 0.2, 60.0)]
+BACKOFF_SQL = ", ".join(f"('{p}', {b}::DOUBLE, {'NULL' if c is None else c}::DOUBLE)" for p, b, c in BACKOFF)
+
+
+@query("H45_backoff_schedule", "WITH " + ATTEMPTS_SQL + f""",
+f AS (SELECT item_id, count(*) AS failures FROM attempts WHERE NOT ok GROUP BY 1),
+a AS (SELECT attempt, count(*) AS n FROM (SELECT unnest(range(0, failures)) AS attempt FROM f) GROUP BY 1)
+SELECT policy, attempt, least(base * pow(2, attempt), coalesce(cap, 1e300)) AS delay, n FROM a, (VALUES {BACKOFF_SQL}) p(policy, base, cap)""")
 def backoff_schedule(t):
-    """Planned delays of every failed event under each retry policy."""
-    # Fixed values: (policy, base seconds, cap seconds).
-    policies = [("webhook", 1.0, 8.0), ("delivery", 5.0, None), ("errors", 1.0, 60.0), ("fetch", 1.0, 300.0), ("api", 0.2, 60.0)]
-    plan = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(b).alias("base"), F.lit(c).cast("double").alias("cap"))
-                     for p, b, c in policies])
-    rows = (t.read("events").filter("event_type = 'error'").select(F.explode(plan).alias("p"))
-            .select("p.*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt")))
+    """Delay before each retry that took place, under each policy, and how many items waited for it."""
+    from contentflow.plans.metrics import attempts_reached
+
+    failures = t.attempts().filter(~F.col("ok")).groupBy("item_id").agg(F.count(F.lit(1)).alias("failures"))
+    plan = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(b).alias("base"), F.lit(c).cast("double").alias("cap")) for p, b, c in BACKOFF])
+    rows = attempts_reached(failures, "failures").select((F.col("attempt") - 1).alias("attempt"), "n", F.inline(plan))
     delay = F.col("base") * F.pow(F.lit(2.0), F.col("attempt"))
-    return (rows.withColumn("delay", F.when(F.col("cap").isNull(), delay).otherwise(F.least(delay, F.col("cap"))))
-            .groupBy("policy", F.col("attempt").cast("bigint").alias("attempt"), "delay").agg(F.count(F.lit(1)).alias("n")))
+    return rows.select("policy", "attempt", F.least(delay, F.coalesce("cap", F.lit(1e300))).alias("delay"), "n")
 
 
 @query("H48_severity_presentation", "WITH " + ERRORS_SQL + """
@@ -461,7 +462,8 @@ def payload_size(t):
     return t.documents().select("doc_id", F.octet_length(F.to_json(F.struct(F.col("doc_id").alias("id"), "text"))).cast("bigint").alias("payload_bytes"))
 
 
-@query("H52_error_id")
+@query("H52_error_id", "WITH " + ERRORS_SQL + """
+SELECT error_no, 'err_' || (epoch_us(ts) // 1000) || '_' || (1000 + CAST('0x' || substr(md5(error_no || '|' || service), 1, 8) AS BIGINT) % 9000) AS error_id FROM errors""")
 def error_ids(t):
     return t.errors().select("error_no", rules.error_id("ts", "error_no", "service").alias("error_id"))
 

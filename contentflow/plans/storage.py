@@ -33,10 +33,12 @@ def insert_if_new(t):
 
 
 @query("B2_upsert_by_id", "WITH " + ITEMS_SQL + """
-SELECT feed, id, title FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY id DESC) AS rn FROM items) WHERE rn = 1""")
+SELECT feed, id, title FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY published >= TIMESTAMP '2024-01-20 00:00:00' DESC, likes DESC, id DESC) AS rn FROM items) WHERE rn = 1""")
 def upsert_by_id(t):
-    i = t.items().select("feed", "id", "title")
-    return st.upsert(i.filter("title LIKE 'view%'"), i.filter("title NOT LIKE 'view%'").unionByName(i), ["feed"], ["id"])
+    """Rows from a date on replace what was stored before it; inside either part the most liked row is the last write."""
+    i = t.items().select("feed", "likes", "id", "title", "published")
+    new = F.col("published") >= F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return st.upsert(i.filter(~new).drop("published"), i.filter(new).drop("published"), ["feed"], ["likes", "id"]).drop("likes")
 
 
 @query("B3_tag_bridge", "WITH " + ITEMS_SQL + """,
@@ -132,9 +134,9 @@ SELECT CASE WHEN url IN (SELECT url FROM stored) THEN 'duplicate' ELSE 'new' END
 FROM items WHERE published >= TIMESTAMP '2024-01-02 00:00:00' GROUP BY 1""")
 def dedup_by_stored_url(t):
     batch, stored = new_and_stored(t)
-    fresh = batch.join(stored, "url", "left_anti").select(F.lit("new").alias("status"))
-    dup = batch.join(stored, "url", "left_semi").select(F.lit("duplicate").alias("status"))
-    return fresh.unionByName(dup).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    known = stored.select("url").distinct().withColumn("known", F.lit(True))
+    status = F.when(F.col("known"), "duplicate").otherwise("new").alias("status")
+    return batch.join(known, "url", "left").groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("E3_trusted_sources", "WITH " + ITEMS_SQL + """
@@ -166,10 +168,11 @@ def newest_per_feed(t):
 
 
 @query("I3_stored_once", "WITH " + ITEMS_SQL + """
-SELECT url, min(id) AS id FROM items GROUP BY 1""")
+SELECT url, arg_min(id, {'b': id % 3, 'i': id}) AS id FROM items GROUP BY 1""")
 def stored_once(t):
-    """The stored state after all batches: the first item of every link."""
+    """Three batches, one after the other, through the insert rule: the stored state is the first item of every link."""
     i = t.items().select("url", "id")
-    cut = i.filter("id % 2 = 0")
-    first = st.first_per_key(i, "url", ["id"])
-    return first.select("url", "id")
+    stored = i.limit(0)
+    for batch in range(3):
+        stored = stored.unionByName(st.insert_if_new(i.filter(F.col("id") % 3 == batch), stored, "url", ["id"]).select("url", "id"))
+    return stored

@@ -311,21 +311,21 @@ def enhancement_score(t):
 
 
 @query("H43_fact_source_context", "WITH " + PAIRS_SQL + f""",
-f AS (SELECT group_id, pos, which, fact, content FROM (
-  SELECT group_id, pos, 0 AS which, {sents_sql('first')}[1] AS fact, first AS content FROM pairs
-  UNION ALL SELECT group_id, pos, 1, {sents_sql('first')}[1], second FROM pairs
-  UNION ALL SELECT group_id, pos, 2, first || ' tail', first FROM pairs)),
+sp AS (SELECT group_id, pos, first, second, {sents_sql('first')} AS s FROM pairs),
+f AS (SELECT group_id, pos, i, which, fact, content FROM (
+  SELECT group_id, pos, i, 0 AS which, s[i] AS fact, first AS content FROM sp, unnest(range(1, len(s) + 1)) n(i)
+  UNION ALL SELECT group_id, pos, i, 1, s[i], second FROM sp, unnest(range(1, len(s) + 1)) n(i)
+  UNION ALL SELECT group_id, pos, 0, 2, first || ' tail', first FROM pairs)),
 s AS (SELECT *, strpos(content, fact) - 1 AS hit, array_to_string(list_sort({tok_sql('fact')}),' ') AS a, array_to_string(list_sort({tok_sql('content')}),' ') AS b FROM f)
-SELECT group_id, pos, CAST(which AS INTEGER) AS which, coalesce(CASE WHEN hit >= 0 THEN substring(content, greatest(0, hit-50)+1, least(length(content), hit+length(fact)+50)-greatest(0,hit-50))
+SELECT group_id, pos, CAST(i AS INTEGER) AS i, CAST(which AS INTEGER) AS which, coalesce(CASE WHEN hit >= 0 THEN substring(content, greatest(0, hit-50)+1, least(length(content), hit+length(fact)+50)-greatest(0,hit-50))
  WHEN greatest(length(a),length(b)) > 0 AND 100*(1-levenshtein(a,b)::DOUBLE/greatest(length(a),length(b))) > 80 THEN content END, '-') AS context FROM s""")
 def fact_source_context(t):
+    """Every sentence of a turn as a fact, looked for in the turn and in the next one."""
     p = turn_pairs(t)
-    lead = F.get(x.sentences("first"), F.lit(0))
-    rows = p.select("group_id", "pos", F.inline(F.array(
-        F.struct(F.lit(0).alias("which"), lead.alias("fact"), F.col("first").alias("content")),
-        F.struct(F.lit(1).alias("which"), lead.alias("fact"), F.col("second").alias("content")),
-        F.struct(F.lit(2).alias("which"), F.concat("first", F.lit(" tail")).alias("fact"), F.col("first").alias("content")))))
-    return rows.select("group_id", "pos", "which", F.coalesce(x.source_context("fact", "content"), F.lit("-")).alias("context"))
+    facts = p.select("group_id", "pos", "first", "second", F.posexplode_outer(x.sentences("first")).alias("i", "fact")).filter(F.col("fact").isNotNull())
+    rows = facts.select("group_id", "pos", (F.col("i") + 1).alias("i"), "fact", F.posexplode(F.array("first", "second")).alias("which", "content"))
+    tails = p.select("group_id", "pos", F.lit(0).alias("i"), F.concat("first", F.lit(" tail")).alias("fact"), F.lit(2).alias("which"), F.col("first").alias("content"))
+    return rows.unionByName(tails).select("group_id", "pos", "i", "which", F.coalesce(x.source_context("fact", "content"), F.lit("-")).alias("context"))
 
 
 @query("H44_claims", f"""

@@ -129,6 +129,44 @@ def item_constraints(t):
     return t.items().select("id", err.alias("outcome"))
 
 
+@query("D15_enhancement_constraints", """
+SELECT doc_id, concat_ws('; ', CASE WHEN length(trim(coalesce(text, ''))) = 0 OR n_chars < 40 THEN 'summary must not be empty' END,
+ CASE WHEN NOT n_chars / 4000.0 BETWEEN 0 AND 1 THEN 'credibility must be between 0 and 1' END,
+ CASE WHEN NOT n_chars / 8000.0 BETWEEN 0 AND 1 THEN 'quality must be between 0 and 1' END,
+ CASE WHEN quality IS NULL THEN 'each fact needs fact and confidence' END) AS errors FROM documents LEFT JOIN labels USING (doc_id)""")
+def enhancement_constraints(t):
+    """Documents as enhancement results: short ones have no summary, unlabelled ones a fact without confidence."""
+    d = t.documents().join(t.read("labels").select("doc_id", "quality"), "doc_id", "left")
+    row = d.select("doc_id", F.when(F.col("n_chars") >= 40, F.col("text")).alias("summary"), (F.col("n_chars") / 4000).alias("credibility"),
+                   (F.col("n_chars") / 8000).alias("score"), F.array(F.struct(F.lit("f").alias("fact"), F.col("quality").cast("double").alias("confidence"))).alias("facts"))
+    return row.select("doc_id", F.array_join(checks.enhancement_errors("summary", "credibility", "score", "facts"), "; ").alias("errors"))
+
+
+@query("D17_source_content_constraints", """
+SELECT doc_id, concat_ws('; ', CASE WHEN NOT n_chars / 8000.0 BETWEEN 0 AND 1 THEN 'quality must be between 0 and 1' END,
+ CASE WHEN NOT n_chars / 40.0 BETWEEN 0 AND 100 THEN 'readability must be between 0 and 100' END,
+ CASE WHEN NOT n_chars / 2000.0 - 1 BETWEEN -1 AND 1 THEN 'sentiment must be between -1 and 1' END,
+ CASE WHEN lang = 'de' THEN 'content lacks title' END, CASE WHEN source = 'src0' THEN 'content lacks url' END) AS errors FROM documents""")
+def source_content_constraints(t):
+    row = t.documents().select("doc_id", (F.col("n_chars") / 8000).alias("q"), (F.col("n_chars") / 40).alias("r"), (F.col("n_chars") / 2000 - 1).alias("s"), content_fields())
+    return row.select("doc_id", F.array_join(checks.source_content_errors("q", "r", "s", "content"), "; ").alias("errors"))
+
+
+@query("D18_generated_content_constraints", """
+SELECT doc_id, concat_ws('; ', CASE WHEN NOT n_chars / 3000.0 BETWEEN 0 AND 1 THEN 'temperature must be between 0 and 1' END,
+ CASE WHEN NOT n_chars / 8000.0 BETWEEN 0 AND 1 THEN 'review score must be between 0 and 1' END,
+ CASE WHEN lang = 'de' THEN 'content lacks title' END) AS errors FROM documents""")
+def generated_content_constraints(t):
+    row = t.documents().select("doc_id", (F.col("n_chars") / 3000).alias("t"), (F.col("n_chars") / 8000).alias("r"), content_fields())
+    return row.select("doc_id", F.array_join(checks.generated_content_errors("t", "r", "content"), "; ").alias("errors"))
+
+
+def content_fields():
+    """Fields of a stored content; German ones lack the title, those of one source the link."""
+    fields = F.create_map(F.lit("title"), F.when(F.col("lang") != "de", F.col("lang")), F.lit("body"), F.col("text"), F.lit("url"), F.when(F.col("source") != "src0", F.col("source")))
+    return F.map_filter(fields, lambda _, v: v.isNotNull()).alias("content")
+
+
 @query("D19_training_selection", """
 SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality >= 1 AND d.n_chars >= 500 AND d.lang IN ('en','fr')""")
 def training_selection(t):
@@ -159,10 +197,8 @@ SELECT CASE WHEN e1 IS NULL AND e2 IS NULL THEN 'good' ELSE 'quarantine' END AS
 def good_and_quarantined(t):
     checked = t.items().withColumn("errors", checks.errors(
         checks.url_error("url"), F.when(F.col("value") < 1, "Value too small")))
-    good, bad = checks.split_valid(checked)
-    parts = good.select(F.lit("good").alias("part"), F.lit("").alias("errors")).unionByName(
-        bad.select(F.lit("quarantine").alias("part"), F.array_join("errors", "; ").alias("errors")))
-    return parts.groupBy("part", "errors").agg(F.count(F.lit(1)).alias("n"))
+    part = F.when(F.size("errors") == 0, "good").otherwise("quarantine")  # one pass for both parts
+    return checked.groupBy(part.alias("part"), F.array_join("errors", "; ").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("G20_missing_fields", """

@@ -18,7 +18,7 @@ def local_session(app: str = "contentflow", cpus: int | None = None, partitions:
         .config("spark.driver.memory", os.environ.get("CONTENTFLOW_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("contentflow.text.partitions", str(cpus))
+        .config("spark.contentflow.text.partitions", str(cpus))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -39,10 +39,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def read_text(self, name: str) -> DataFrame:
-        """A text table as the scan gives it. Where ``contentflow.text.partitions`` is set, its rows are dealt over so
+        """A text table as the scan gives it. Where ``spark.contentflow.text.partitions`` is set, its rows are dealt over so
         many tasks first: a setting for single machines with small files of one row group, not for clusters."""
         df = self.read(name)
-        spread = self.spark.conf.get("contentflow.text.partitions", None)
+        spread = self.spark.conf.get("spark.contentflow.text.partitions", None)
         return df.repartition(int(spread)) if spread else df
 
     def events(self) -> DataFrame:

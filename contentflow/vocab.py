@@ -76,8 +76,6 @@ RETRY_LIMITS = [
     ("webhook", "rate_limit_error", 5), ("webhook", "delivery_error", 3), ("webhook", "system_error", 2),
     ("test_service", "processing_error", 1), ("test_service", "system_error", 1),
 ]
-BREAKER_LIMITS = {"inoreader": (3, 120), "webhook": (3, 60), "test_service": (3, 60)}
-BREAKER_DEFAULT = (5, 60)
 
 # Presentation maps.
 LOG_LEVELS = {"critical": "CRITICAL", "high": "ERROR", "medium": "WARNING", "low": "INFO"}
@@ -97,4 +95,3 @@ IDEA_AREAS = ["research", "drafts", "media", "reviews", "final", "archive"]
 # Histogram bounds.
 DURATION_BOUNDS = [0.1, 0.5, 1.0, 2.0, 5.0]
 SIZE_BOUNDS = [1000.0, 10000.0, 100000.0, 1000000.0]
-QUALITY_BOUNDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
