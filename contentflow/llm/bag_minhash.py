@@ -10,11 +10,11 @@ is the time of its first point, so two texts agree on it with exactly their weig
 order of time only up to the time at which a text's components are all taken, which is about (ln m + 2) m points
 a text whatever its length.
 
-Texts with the same words are one class from the start. Classes are banded, and a band's bucket is linked in
-rounds, each verified on the bags themselves: first every class with its closest bucket leader; then the nearest
-pair of any two groups that still share a bucket; then all pairs of a bucket that are not yet in one group and
-whose signatures allow the similarity. So no pair is skipped but those whose link would change nothing, and the
-pairs within a large group of near copies are never made.
+Texts with the same words are one class from the start. Classes are banded, and each class is first compared with
+its closest bucket leader. Buckets that then still hold members of several groups are compared within tasks: all
+pairs that are not yet in one group and whose signatures allow the similarity, each in the first bucket it has,
+exactly on the bags; only links that join groups come out. So no pair is skipped but those whose link would change
+nothing, and no list of pairs of a large group is ever written.
 """
 
 from __future__ import annotations
@@ -33,9 +33,8 @@ from contentflow.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 64, 8  # a pair at 0.8 shares no band with a chance of 8e-6
 COMPONENTS = BANDS * ROWS
-SKETCH = 256  # components of which one byte is kept for comparing members of a bucket
-SKETCH_FLOOR = 0.66  # 5.5 standard deviations below 0.8 for SKETCH components
-TILE = 1024  # members of a bucket in one task; larger buckets are compared tile by tile
+SKETCH_FLOOR = 0.70  # 5.5 standard deviations below 0.8; a sketch keeps one byte of each component
+TILE = 512  # members of a bucket in one task; larger buckets are compared tile by tile
 SIMILARITY = (4, 5)
 
 
@@ -79,14 +78,6 @@ def counted(of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return of[first], hashes[first], np.diff(np.append(first, len(of)))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Sum of the smaller counts of two bags of hashes."""
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    return int(np.minimum(ca[i], cb[j]).sum())
-
-
 # ---- signatures ----------------------------------------------------------------------------
 
 
@@ -144,12 +135,12 @@ def band_keys(times: np.ndarray) -> np.ndarray:
 
 
 def sketch(times: np.ndarray) -> np.ndarray:
-    return (mix(times.view(np.uint64)[:, :SKETCH]) & np.uint64(255)).astype(np.uint8)
+    return (mix(times.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
 
 
 # ---- jobs ----------------------------------------------------------------------------------
 
-SIGNED = f"id bigint, uid bigint, {ROW_KEY} string, words binary, n bigint, bands array<bigint>, sketch binary"
+SIGNED = f"id bigint, uid bigint, {ROW_KEY} string, words binary, n bigint, bands binary, sketch binary"
 
 
 def sign(rows: DataFrame) -> DataFrame:
@@ -165,13 +156,24 @@ def sign(rows: DataFrame) -> DataFrame:
             yield pa.record_batch([
                 batch.column("id"), batch.column("uid"), batch.column(ROW_KEY),
                 pa.array([x.tobytes() if s else None for x, s in zip(names, some)], pa.binary()), pa.array(n),
-                pa.array([x if s else None for x, s in zip(keys, some)], pa.list_(pa.int64())),
+                pa.array([x.tobytes() if s else None for x, s in zip(keys, some)], pa.binary()),
                 pa.array([x.tobytes() if s else None for x, s in zip(brief, some)], pa.binary())],
                 names=["id", "uid", ROW_KEY, "words", "n", "bands", "sketch"])
 
     return save(rows.select("id", "uid", ROW_KEY, "text").mapInArrow(run, SIGNED), "near-signatures")
 
 
+def band_rows(facts: DataFrame) -> DataFrame:
+    """(uid, key) of every band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+            yield pa.record_batch({"uid": pa.array(np.repeat(batch.column("uid").to_numpy(), BANDS)), "key": pa.array(keys)})
+
+    return facts.select("uid", "bands").mapInArrow(run, "uid bigint, key bigint")
+
+
 PAIRS = "a bigint, b bigint"
 
 
@@ -183,57 +185,94 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(pieces(batches, "ta"), "tb"):
-            left, right = (bags(*text_bytes(batch.column(c)))[:2] for c in ("ta", "tb"))
-            edges = np.arange(batch.num_rows + 1)
-            la, lb = np.searchsorted(left[0], edges), np.searchsorted(right[0], edges)
+            left, right = (elements(*bags(*text_bytes(batch.column(c)))[:2], batch.num_rows) for c in ("ta", "tb"))
             good = []
-            for i in range(batch.num_rows):
-                x, y = left[1][la[i]: la[i + 1]], right[1][lb[i]: lb[i + 1]]
-                common = overlap(x, y)
-                good.append(whole * common >= part * (len(x) + len(y) - common) > 0)
+            for x, y in zip(left, right):
+                common = shared(x, y)
+                good.append(whole * common >= part * (len(x) + len(y) - common))
             keep = pa.array(good, pa.bool_())
             yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return save(both.mapInArrow(run, PAIRS), "near-links")
 
 
-def bucket_pairs(members: DataFrame, facts: DataFrame, groups: DataFrame, nearest_only: bool) -> DataFrame:
-    """Pairs of members of one bucket (key, uid) that are in different groups and whose sketches and bag sizes allow
-    the similarity; with ``nearest_only`` the pair with the closest sketches for any two groups of a tile pair."""
+def elements(of: np.ndarray, hashes: np.ndarray, texts: int) -> list[np.ndarray]:
+    """Each bag as a sorted set: the n-th occurrence of a shingle is an element of its own, so that two bags share as
+    many elements as the sum of their smaller counts."""
+    order = np.lexsort((hashes, of))
+    of, hashes = of[order], hashes[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    nth = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+    named = mix(hashes + nth.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+    edges = np.searchsorted(of, np.arange(texts + 1))
+    return [np.sort(named[edges[i]: edges[i + 1]]) for i in range(texts)]
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of elements in both of two sorted sets."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def links_of_bucket(table: pa.Table) -> pa.Table:
+    """Links that join groups of a bucket's members (uid, root, n, tile, bands, sketch, text).
+
+    A pair counts if its groups differ, its bag sizes and sketches allow the similarity, and this is the first band
+    that it shares. It is compared exactly, the likeliest first, unless links found before already join its groups."""
+    uid, root, n, tile = (table[c].to_numpy() for c in ("uid", "root", "n", "tile"))
+    apart = table["t0"][0].as_py() != table["t1"][0].as_py()
+    bands = np.frombuffer(b"".join(table["bands"].to_pylist()), np.int64).reshape(len(uid), BANDS)
+    marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(uid), COMPONENTS)
+    earlier = bands[:, : int(np.flatnonzero(bands[0] == table["key"][0].as_py())[0])]
+    part, whole = SIMILARITY
+    sets = elements(*bags(*text_bytes(table["text"]))[:2], len(uid))
+    parent = {int(r): int(r) for r in root}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for i in range(len(uid)):
+        other = (uid > uid[i]) & (root != root[i]) & (whole * np.minimum(n, n[i]) >= part * np.maximum(n, n[i]))
+        if apart:
+            other &= tile != tile[i]
+        at = np.flatnonzero(other)
+        at = at[~(earlier[at] == earlier[i]).any(axis=1)]
+        if not len(at):
+            continue
+        alike = (marks[at] == marks[i]).mean(axis=1)
+        for k in np.argsort(-alike, kind="stable").tolist():
+            if alike[k] < SKETCH_FLOOR:
+                break
+            j = int(at[k])
+            x, y = find(int(root[i])), find(int(root[j]))
+            if x == y:
+                continue
+            common = shared(sets[i], sets[j])
+            if whole * common >= part * (len(sets[i]) + len(sets[j]) - common):
+                parent[max(x, y)] = min(x, y)
+                found.append((int(uid[i]), int(uid[j])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def bucket_links(members: DataFrame, facts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Verified links (a, b) between the groups that share a bucket; members (key, uid), facts by uid.
+
+    Buckets whose members are all in one group are left out. A bucket of t tiles is compared as t (t + 1) / 2 pairs of
+    tiles, each a task's group of at most 2 TILE texts, and only links that join groups leave the task."""
     known = members.join(groups.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     mixed = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
     mixed = save(mixed.filter("r0 != r1").select("key", "size", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "near-mixed")
-    # a bucket of t tiles is compared as t (t + 1) / 2 pairs of tiles, each a task's group of at most 2 TILE rows
     open_ = join_by_count(known, mixed, "key", "size", members.count()).withColumn("tile", F.pmod(F.hash("uid"), F.col("tiles")))
-    met = open_.join(facts, "uid").select(
-        "key", "uid", "root", "n", "sketch", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    met = met.withColumn("t0", F.least("tile", "other")).withColumn("t1", F.greatest("tile", "other"))
-    part, whole = SIMILARITY
-
-    def run(table: pa.Table) -> pa.Table:
-        uid, root, n, tile = (table[c].to_numpy() for c in ("uid", "root", "n", "tile"))
-        t0, t1 = table["t0"][0].as_py(), table["t1"][0].as_py()
-        marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(uid), SKETCH)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        found = []
-        for i in range(len(uid)):
-            other = (uid > uid[i]) & (root != root[i]) & (whole * np.minimum(n, n[i]) >= part * np.maximum(n, n[i]))
-            if t0 != t1:
-                other &= tile != tile[i]
-            at = np.flatnonzero(other)
-            if not len(at):
-                continue
-            alike = (marks[at] == marks[i]).mean(axis=1)
-            for j, s in zip(at[alike >= SKETCH_FLOOR].tolist(), alike[alike >= SKETCH_FLOOR].tolist()):
-                if nearest_only:
-                    pair = (min(root[i], root[j]), max(root[i], root[j]))
-                    best[pair] = max(best.get(pair, (-1.0, 0, 0)), (s, int(uid[i]), int(uid[j])))
-                else:
-                    found.append((int(uid[i]), int(uid[j])))
-        found = found or [(a, b) for _, a, b in best.values()]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return save(met.groupBy("key", "t0", "t1").applyInArrow(run, PAIRS).distinct(), "near-pairs")
+    met = open_.select("key", "uid", "root", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    met = met.withColumn("t0", F.least("tile", "other")).withColumn("t1", F.greatest("tile", "other")).drop("other")
+    return save(met.join(facts, "uid").groupBy("key", "t0", "t1").applyInArrow(links_of_bucket, PAIRS).distinct(), "near-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = save(copies.select("words", "copies", F.col("w.uid").alias("rep"), F.col("w.id").alias("rep_id")), "near-copies")
     facts = signed.join(copies.select(F.col("rep").alias("uid")), "uid", "left_semi")
 
-    banded = facts.select("uid", F.explode("bands").alias("key"))
+    banded = band_rows(facts)
     buckets = banded.groupBy("key").agg(F.min("uid").alias("leader"), F.count(F.lit(1)).alias("size"))
     buckets = save(buckets.filter("size > 1"), "near-buckets")
     total = copies.count() * BANDS
@@ -257,15 +296,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     needed = facts.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", ROW_KEY)
     texts = save(rows.select(ROW_KEY, "text").join(needed, ROW_KEY).dropDuplicates(["uid"]).select("uid", "text"), "near-texts")
-    facts = save(facts.join(texts.select("uid"), "uid", "left_semi").select("uid", "n", "sketch"), "near-facts")
+    facts = facts.select("uid", "n", "bands", "sketch").join(texts, "uid")
 
     led = members.filter("uid != leader").groupBy("uid", "leader").agg(F.count(F.lit(1)).alias("shared"))
     closest = led.groupBy("uid").agg(F.max(F.struct("shared", F.col("leader"))).alias("best"))
     links = verified(closest.select(F.col("best.leader").alias("a"), F.col("uid").alias("b")), texts)
+    links = links.unionByName(bucket_links(members.select("key", "uid"), facts, components(links)))
     groups = components(links)
-    for nearest_only in (True, False):
-        links = links.unionByName(verified(bucket_pairs(members.select("key", "uid"), facts, groups, nearest_only), texts))
-        groups = components(links)
 
     linked = copies.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     linked = save(linked, "near-linked")
