@@ -1,9 +1,10 @@
 """Extractive summaries, key points and summary records.
 
 Sentences are ranked by the mean frequency of their content words inside the
-text, or inside the group of texts when the key is a group. A word budget of n
-can hold at most n sentences, so a top-n per key is exact and keeps a hot group
-from travelling whole.
+text. Where a key stands for a group of texts, name the column that orders them
+(``order``): the group is then summed up as one text, over exploded sentences. A
+word budget of n can hold at most n sentences, so a top-n per key is exact and
+keeps a hot group from travelling whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from contentflow.operators.quality import content_words
 
 
 def sentence_scores(docs: DataFrame, key: list[str], body: str = "text") -> DataFrame:
-    """(key, _s): the sentences of each text as array<struct<pos, sentence, n_words, score>>.
+    """(key, _s): the sentences of each text as array<struct<pos, sentence, n_words, score>>; a key is one text.
 
     The texts are hashed by key once; every later step groups by the key or more, so no
     exploded token is ever shuffled, and the ranking itself happens inside the row."""
@@ -36,8 +37,16 @@ def sentence_scores(docs: DataFrame, key: list[str], body: str = "text") -> Data
     return placed.join(arrays, key).select(*key, whole.alias("_s"))
 
 
-def ranked_sentences(docs: DataFrame, key: list[str], body: str = "text") -> DataFrame:
+def group_sentences(docs: DataFrame, key: list[str], order: str, body: str = "text") -> DataFrame:
+    """(key, pos, sentence) of groups of texts; ``pos`` is (text, place in the text)."""
+    rows = docs.select(*key, F.col(order).alias("_text"), F.posexplode_outer(x.sentences(body)).alias("_at", "sentence"))
+    return rows.filter(F.col("_at").isNotNull()).select(*key, F.struct("_text", "_at").alias("pos"), "sentence")
+
+
+def ranked_sentences(docs: DataFrame, key: list[str], body: str = "text", order: str | None = None) -> DataFrame:
     """(key, pos, sentence, n_words, score)."""
+    if order is not None:
+        return scored_sentences(group_sentences(docs, key, order, body), key)
     return sentence_scores(docs, key, body).select(*key, F.inline("_s"))
 
 
@@ -51,8 +60,11 @@ def scored_sentences(sents: DataFrame, key: list[str]) -> DataFrame:
             .join(scores, [*key, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
 
 
-def extractive_summary(docs: DataFrame, key: list[str], body: str = "text", max_words: int = 150) -> DataFrame:
+def extractive_summary(docs: DataFrame, key: list[str], body: str = "text", max_words: int = 150,
+                       order: str | None = None) -> DataFrame:
     """Best sentences up to the word budget (the best one always), in original order."""
+    if order is not None:
+        return pick_sentences(ranked_sentences(docs, key, body, order), key, max_words)
     best_first = F.array_sort(F.transform("_s", lambda s: F.struct(
         (-F.round(s["score"], 9)).alias("k"), s["pos"].alias("pos"), s["sentence"].alias("sentence"), s["n_words"].alias("n"))))
     picked_type = "array<struct<pos:int,sentence:string,n:int>>"

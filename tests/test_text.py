@@ -101,3 +101,14 @@ def test_cyclic_taxonomy(spark):
         knowledge.ancestors(loop, loop.filter("category = 'a'"))
     deep = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(12)], "category string, parent string")
     assert knowledge.ancestors(deep, deep.filter("category = 'n11'")).count() == 11
+
+
+def test_summary_of_a_group_of_texts(spark):
+    docs = spark.createDataFrame([("g", 1, "Cats chase mice. Dogs sleep."), ("g", 2, "Cats like cats. Birds sing."), ("h", 1, "Only one here.")],
+                                 "k string, n int, text string")
+    rows = summaries.ranked_sentences(docs, ["k"], order="n").collect()
+    assert len(rows) == 5 and len({(r.k, r.pos) for r in rows}) == 5
+    score = {r.sentence.rstrip("."): r.score for r in rows}
+    assert score["Cats like cats"] > score["Cats chase mice"] > score["Dogs sleep"]
+    out = {r.k: r.summary for r in summaries.extractive_summary(docs, ["k"], max_words=6, order="n").collect()}
+    assert set(out) == {"g", "h"} and out["g"].startswith("Cats chase mice") and "Cats like cats" in out["g"]
