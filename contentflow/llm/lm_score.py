@@ -31,7 +31,7 @@ SIDE = 3  # words on either side
 WIDTH = 24
 ROUNDS = 2
 STRIDE = 4  # a round trains on every STRIDE-th position of every document, another one each round
-STEP_POSITIONS = 8192
+STEP_POSITIONS = 16_384
 RATE = 0.08
 SCORE_POSITIONS = 32_768
 CHUNK = 4096  # weights of a row on their way to the average
@@ -78,56 +78,72 @@ def new_network(counts: np.ndarray, seed: int = 11) -> Network:
 
 def hidden(net: Network, context: np.ndarray) -> np.ndarray:
     """(positions, WIDTH) from the words around, (2 SIDE, positions)."""
-    out = np.tile(net.bias, (context.shape[1], 1))
-    for o in range(2 * SIDE):
+    out = (net.embed * net.place[0] + net.bias)[context[0]]
+    for o in range(1, 2 * SIDE):
         out += (net.embed * net.place[o])[context[o]]
     return np.tanh(out, out=out)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_totals(x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Logarithm of the sum of exp(x) of each row and, with ``keep``, the softmax. ``x`` is used up."""
+    top = x.max()
+    shift = top if top - x.min() < 60 else x.max(axis=1, keepdims=True)  # one shift for all rows if none can vanish
+    x -= shift
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    if keep:
+        x /= total[:, None]
+    return np.log(total) + np.squeeze(shift), x if keep else None
 
 
-def by_class(words: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Positions of the words of each class; word w is member w // CLASSES of class w % CLASSES."""
-    kinds = words % CLASSES
+def by_class(words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order that brings the words of a class together, and the run of each class in it; word w is member
+    w // CLASSES of class w % CLASSES."""
+    kinds = (words % CLASSES).astype(np.uint8)
     order = np.argsort(kinds, kind="stable")
     edges = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-    return [(c, order[edges[c]: edges[c + 1]]) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+    return order, [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
 
 
 def log_chances(net: Network, words: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Logarithm of each word's chance given the words around it."""
-    h = hidden(net, context)
-    out = _log_softmax(h @ net.to_class + net.class_bias)[np.arange(len(words)), words % CLASSES].astype(np.float64)
-    for c, at in by_class(words):
-        out[at] += _log_softmax(h[at] @ net.to_member[c] + net.member_bias[c])[np.arange(len(at)), words[at] // CLASSES]
+    order, runs = by_class(words)
+    h, w = hidden(net, context[:, order]), words[order]
+    x = h @ net.to_class + net.class_bias
+    found = x[np.arange(len(w)), w % CLASSES].astype(np.float64)
+    found -= _log_totals(x)[0]
+    for c, run in runs:
+        x = h[run] @ net.to_member[c] + net.member_bias[c]
+        found[run] += x[np.arange(len(x)), w[run] // CLASSES]
+        found[run] -= _log_totals(x)[0]
+    out = np.empty(len(w))
+    out[order] = found
     return out
 
 
 def gradient(net: Network, words: np.ndarray, context: np.ndarray) -> Network:
     """Gradient of the mean negative log chance."""
-    n = len(words)
-    h = hidden(net, context)
-    d = np.exp(_log_softmax(h @ net.to_class + net.class_bias))
-    d[np.arange(n), words % CLASSES] -= 1
+    order, runs = by_class(words)
+    w, around, n = words[order], context[:, order], len(words)
+    h = hidden(net, around)
+    d = _log_totals(h @ net.to_class + net.class_bias, keep=True)[1]
+    d[np.arange(n), w % CLASSES] -= 1
     d /= n
     to_class, class_bias, dh = h.T @ d, d.sum(axis=0), d @ net.to_class.T
     to_member, member_bias = np.zeros_like(net.to_member), np.zeros_like(net.member_bias)
-    for c, at in by_class(words):
-        d = np.exp(_log_softmax(h[at] @ net.to_member[c] + net.member_bias[c]))
-        d[np.arange(len(at)), words[at] // CLASSES] -= 1
+    for c, run in runs:
+        d = _log_totals(h[run] @ net.to_member[c] + net.member_bias[c], keep=True)[1]
+        d[np.arange(len(d)), w[run] // CLASSES] -= 1
         d /= n
-        to_member[c], member_bias[c] = h[at].T @ d, d.sum(axis=0)
-        dh[at] += d @ net.to_member[c].T
+        to_member[c], member_bias[c] = h[run].T @ d, d.sum(axis=0)
+        dh[run] += d @ net.to_member[c].T
     dh *= 1 - h * h
-    embed, place = np.zeros_like(net.embed), np.zeros_like(net.place)
-    for o in range(2 * SIDE):
-        place[o] = (net.embed[context[o]] * dh).sum(axis=0)
-        part = dh * net.place[o]
-        for k in range(WIDTH):
-            embed[:, k] += np.bincount(context[o], weights=part[:, k], minlength=PAD + 1)
+    place = np.stack([(net.embed[around[o]] * dh).sum(axis=0) for o in range(2 * SIDE)])
+    embed = np.zeros_like(net.embed)
+    seen = around.ravel().astype(np.uint16)
+    sort = np.argsort(seen, kind="stable")
+    which, first = np.unique(seen[sort], return_index=True)
+    embed[which] = np.add.reduceat((dh[None] * net.place[:, None]).reshape(-1, WIDTH)[sort], first, axis=0)
     return Network(embed, place, dh.sum(axis=0), to_class, class_bias, to_member, member_bias)
 
 
