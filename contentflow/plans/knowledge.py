@@ -237,6 +237,14 @@ def fact_verdicts(t):
     return v.withColumn("pos", F.col("pos").cast("bigint")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("J3_custom_entities")
+@query("J3_custom_entities", f"""
+WITH e AS (SELECT doc_id, text, {ENT_SQL} AS names FROM documents),
+w AS (SELECT doc_id, text, names, list_transform(range(1, len(names) + 1), lambda i: names[i]) AS n FROM e),
+walk AS (SELECT doc_id, text, list_reduce(list_prepend({{'at': 1::BIGINT, 's': []::STRUCT(a BIGINT, b BIGINT)[], 'x': ''}}, list_transform(n, lambda v: {{'at': 0::BIGINT, 's': []::STRUCT(a BIGINT, b BIGINT)[], 'x': v}})),
+ lambda p, q: {{'at': p.at + strpos(substring(text, p.at), q.x) - 1 + length(q.x), 's': list_append(p.s, {{'a': p.at + strpos(substring(text, p.at), q.x) - 2, 'b': p.at + strpos(substring(text, p.at), q.x) - 2 + length(q.x)}}), 'x': ''}}).s AS spans FROM w),
+m AS (SELECT doc_id, 'ORG' AS label, 'license' AS phrase, unnest({starts_sql('license')}) AS start, spans FROM walk
+ UNION ALL SELECT doc_id, 'INSULT', 'idiot', unnest({starts_sql('idiot')}), spans FROM walk)
+SELECT doc_id, label, phrase, CAST(start AS BIGINT) AS start FROM m WHERE len(list_filter(spans, lambda s: start < s.b AND start + length(phrase) > s.a)) = 0""")
 def custom_entities(t):
-    return kn.with_custom_entities(t.documents(), [("ORG", "license"), ("INSULT", "idiot")], ["doc_id"])
+    found = kn.with_custom_entities(t.documents(), [("ORG", "license"), ("INSULT", "idiot")], ["doc_id"])
+    return found.withColumn("start", F.col("start").cast("bigint"))

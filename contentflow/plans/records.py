@@ -177,6 +177,52 @@ def migrated_source(t):
         F.col("metrics.read_time").alias("read_time"), "metrics.engagement_score", "processing.status")
 
 
+GENERATED_SQL = """
+SELECT 'g' || doc_id AS content_id, 'd' || doc_id AS source_id, coalesce(nullif(source, 'src3'), '') AS title, text AS body,
+ coalesce(quality, 0)::DOUBLE AS coherence_score, CASE WHEN toxic = 1 THEN 'rejected' ELSE 'pending' END AS review_status
+FROM documents LEFT JOIN labels USING (doc_id)"""
+
+
+def old_contents(t):
+    """Documents in the columns of both old record forms; every third one is a generated content."""
+    text_null, d = F.lit(None).cast("string"), t.documents().join(t.read("labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    return d.select(
+        "doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, "g").otherwise("d"), F.col("doc_id").cast("string")).alias("id"),
+        F.when(F.col("doc_id") % 3 == 0, "generated").otherwise("source").alias("kind"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.nullif("source", F.lit("src3")).alias("gen_title"),
+        F.col("text").alias("gen_content"), text_null.alias("gen_summary"), text_null.alias("model_version"), text_null.alias("prompt_id"),
+        F.struct(F.col("quality").cast("double").alias("coherence"), F.lit(None).cast("double").alias("relevance"), F.lit(None).cast("double").alias("creativity")).alias("quality"),
+        F.when(F.col("toxic") == 1, "rejected").alias("status"), F.lit(None).cast("boolean").alias("published"),
+        F.nullif("source", F.lit("src3")).alias("source"), text_null.alias("title"), F.col("text").alias("content"), text_null.alias("summary"),
+        text_null.alias("url"), text_null.alias("author"), F.lit(None).cast("timestamp").alias("pub_date"), F.nullif("lang", F.lit("de")).alias("lang"),
+        F.lit(None).cast("array<string>").alias("categories"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("double").alias("engagement"))
+
+
+@query("C6_migrated_generated", GENERATED_SQL)
+def migrated_generated(t):
+    out = normalize.migrated_generated(old_contents(t).withColumn("id", F.concat(F.lit("g"), F.col("doc_id").cast("string"))), as_of())
+    return out.select("content_id", "source_id", "content.title", "content.body", "quality_metrics.coherence_score", "status.review_status")
+
+
+@query("C7_migrated_batch", """
+SELECT CASE WHEN doc_id % 3 = 0 THEN 'generated' ELSE 'source' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'g' ELSE 'd' END || doc_id AS content_id,
+ text AS body, CASE WHEN doc_id % 3 <> 0 THEN coalesce(nullif(lang, 'de'), 'en') ELSE '-' END AS language FROM documents""")
+def migrated_batch(t):
+    out = normalize.migrate_mixed(old_contents(t), as_of())
+    return out.select("kind", "content_id", F.get_json_object("record", "$.content.body").alias("body"),
+                      F.coalesce(F.get_json_object("record", "$.metadata.language"), F.lit("-")).alias("language"))
+
+
+@query("D16_migration_check", """
+SELECT 'd' || doc_id AS content_id, source <> 'src0' AND lang <> 'de' AS complete FROM documents""")
+def migration_check(t):
+    """Migrated records of which some lack the content or the metadata."""
+    rows = t.documents().select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("content_id"),
+                                F.when(F.col("source") != "src0", F.struct("text")).alias("content"),
+                                F.when(F.col("lang") != "de", F.struct("lang")).alias("metadata"))
+    return rows.select("content_id", normalize.migration_complete(rows).alias("complete"))
+
+
 @query("C8_database_record", "WITH " + RAW_SQL + f"""
 SELECT title, {CTYPE_SQL} AS content_type, substring(content,1,2000) AS brief, id AS feed_id, url AS original_url,
        strftime(to_timestamp(published) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS publish_date,

@@ -3,6 +3,7 @@ documents and the feed registry. Fetching over the network is a landing job outs
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +13,19 @@ from contentflow.operators.ordering import top_per_key
 from contentflow.operators.stateful import mark_path
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
+    """What ``read()`` gives, or an empty frame where its path doesn't exist; any other fault is raised."""
+    try:
+        return read()
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
     """Declared-schema JSON; a missing path is an empty frame."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    return or_empty(spark, lambda: spark.read.schema(schema).option("multiLine", multiline).json(path), schema)
 
 
 def reading_list_pages(spark: SparkSession, path: str) -> DataFrame:
