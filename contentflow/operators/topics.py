@@ -33,14 +33,15 @@ def _new_leaders(head: list, threshold: float, room: int):
 
 
 def leader_clusters(vectors: DataFrame, doc: str, threshold: float = 0.5, max_leaders: int | None = None,
-                    batch: int = 64) -> DataFrame:
+                    batch: int = 64, max_batch: int = 4096) -> DataFrame:
     """(doc, label, leader, similarity), equal to going through the texts in id order.
 
     A text joins the most similar earlier leader when that reaches the threshold, else it
-    becomes a leader while there is room (default max(2, n/2)). Each round settles the next
-    ``batch`` undecided texts on the driver (a fixed number of fixed-width rows) and shows the
-    new leaders to all texts in one narrow pass; no pair of texts is ever shuffled. State is
-    checkpointed every round."""
+    becomes a leader while there is room (default max(2, n/2)). Each round settles
+    the next undecided texts on the driver, ``batch`` at first and four times as many each
+    round up to ``max_batch`` fixed-width rows, and shows the new leaders to all texts in one
+    narrow pass; no pair of texts is ever shuffled. State is checkpointed every round; there
+    are a few rounds and one more for each ``max_batch`` leaders."""
     room = max_leaders if max_leaders is not None else max(2, vectors.count() // 2)
     schema = f"{doc} bigint, vec array<double>, label int, leader bigint, similarity double, settled boolean"
     state = cut_lineage(vectors.select(
@@ -54,7 +55,7 @@ def leader_clusters(vectors: DataFrame, doc: str, threshold: float = 0.5, max_le
         ids, mat = _new_leaders([(r[0], r[1]) for r in head], threshold, room - found)
         first = ids[0] if first is None else first
         state = cut_lineage(state.mapInPandas(_show_leaders(doc, np.array(ids), mat, found, threshold), schema))
-        found += len(ids)
+        found, batch = found + len(ids), min(4 * batch, max_batch)
     # texts without any vocabulary term go to the first leader
     return state.select(
         doc, F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("leader", F.lit(first)).alias("leader"),
@@ -64,6 +65,7 @@ def leader_clusters(vectors: DataFrame, doc: str, threshold: float = 0.5, max_le
 def _show_leaders(doc: str, ids: np.ndarray, mat: np.ndarray, offset: int, threshold: float):
     def run(batches):
         for pdf in batches:
+            pdf["label"], pdf["leader"] = pdf["label"].astype("Int32"), pdf["leader"].astype("Int64")
             rows = pdf["vec"].notna().to_numpy()
             if rows.any():
                 key = pdf.loc[rows, doc].to_numpy()
@@ -80,8 +82,6 @@ def _show_leaders(doc: str, ids: np.ndarray, mat: np.ndarray, offset: int, thres
                 pdf.loc[pdf.index[at], "leader"] = ids[best[better]]
                 pdf.loc[pdf.index[at], "similarity"] = np.minimum(score[better], 1.0)
                 pdf["settled"] = pdf["settled"] | (pdf["similarity"] >= threshold)
-            pdf["label"] = pdf["label"].astype("Int32")
-            pdf["leader"] = pdf["leader"].astype("Int64")
             yield pdf
     return run
 

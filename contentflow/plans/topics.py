@@ -38,15 +38,37 @@ def words_of(topic_rows):
     return topic_rows.select("label", F.explode("keywords").alias("term"))
 
 
-@query("F21_topic_extraction")
+# The leader rule as a walk through the texts in id order; w.leaders holds the leaders so far.
+LEADER_SQL = CORPUS_SQL.replace("lab AS (SELECT doc_id, source AS label FROM documents),", """
+vk AS (SELECT term, row_number() OVER (ORDER BY term) AS k FROM vo),
+vc AS (SELECT d.doc_id, list(coalesce(ww.w, 0) ORDER BY k) AS v FROM (SELECT DISTINCT doc_id FROM ww) d CROSS JOIN vk LEFT JOIN ww ON ww.doc_id = d.doc_id AND ww.term = vk.term GROUP BY 1),
+sq AS (SELECT doc_id, v, row_number() OVER (ORDER BY doc_id) AS rn FROM vc),
+walk(rn, leaders) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, v DOUBLE[])[]
+ UNION ALL SELECT sq.rn, CASE WHEN len(w.leaders) < (SELECT greatest(2, count(*) // 2) FROM documents)
+   AND coalesce(list_max(list_transform(w.leaders, lambda l: list_dot_product(l.v, sq.v))), -1) < 0.5 THEN list_append(w.leaders, {'id': sq.doc_id, 'v': sq.v}) ELSE w.leaders END
+  FROM walk w JOIN sq ON sq.rn = w.rn + 1),
+ld AS (SELECT l.id AS leader, l.v AS v, i - 1 AS label FROM (SELECT leaders FROM walk ORDER BY rn DESC LIMIT 1), unnest(range(1, len(leaders) + 1)) t(i), LATERAL (SELECT leaders[i] AS l)),
+pick AS (SELECT sq.doc_id, ld.label, ld.leader, CASE WHEN ld.leader = sq.doc_id THEN 1.0 ELSE least(list_dot_product(ld.v, sq.v), 1.0) END AS similarity,
+  row_number() OVER (PARTITION BY sq.doc_id ORDER BY ld.leader = sq.doc_id DESC, list_dot_product(ld.v, sq.v) DESC, ld.label) AS place FROM sq JOIN ld ON ld.leader <= sq.doc_id),
+led AS (SELECT d.doc_id, CAST(coalesce(label, 0) AS INTEGER) AS label, coalesce(leader, (SELECT min(leader) FROM ld)) AS leader, round(greatest(coalesce(similarity, 0), 0), 6) AS similarity
+  FROM documents d LEFT JOIN (SELECT * FROM pick WHERE place = 1) p USING (doc_id)),
+lab AS (SELECT doc_id, label FROM led),""")
+SUMMARY_SQL = """
+SELECT ts.label, string_agg(term, ' + ' ORDER BY place) FILTER (WHERE rn <= 3) AS name, string_agg(term, ',' ORDER BY place) AS keywords, document_count, round(confidence, 6) AS confidence
+FROM ts LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY place) AS rn FROM kw) USING (label) GROUP BY ALL"""
+
+
+@query("F21_topic_extraction", "WITH RECURSIVE " + LEADER_SQL + SUMMARY_SQL)
 def topic_extraction(t):
     """Topics of the leader clusters of all documents."""
-    return topics.extract_topics(t.documents().select("doc_id", "text"), "doc_id")["topics"]
+    s = topics.extract_topics(t.documents().select("doc_id", "text"), "doc_id")["topics"]
+    return s.select("label", F.nullif("name", F.lit("")).alias("name"), F.nullif(F.array_join("keywords", ","), F.lit("")).alias("keywords"), "document_count", F.round("confidence", 6).alias("confidence"))
 
 
-@query("E10_leader_assignment")
+@query("E10_leader_assignment", "WITH RECURSIVE " + LEADER_SQL + " SELECT doc_id, label, leader, similarity FROM led")
 def leader_assignment(t):
-    return topics.extract_topics(t.documents().select("doc_id", "text"), "doc_id")["labels"]
+    labels = topics.extract_topics(t.documents().select("doc_id", "text"), "doc_id")["labels"]
+    return labels.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("F22_topic_summary", "WITH " + CORPUS_SQL + """
