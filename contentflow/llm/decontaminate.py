@@ -140,9 +140,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     ([start, stop) word runs of the hits) and items (ids as strings, sorted).
 
     One row for each row: repeated rows and null ids are kept apart. A null text or one without words has n_words
-    0 and no hits; items without words match nothing; an empty benchmark hits nothing. Extra columns are kept."""
+    0 and no hits; items without words match nothing; an empty benchmark hits nothing. Extra columns are kept, but
+    for those that have the name of a result, which takes their place."""
     contexts, plan = item_contexts(benchmark, item_col, item_text_col, window)
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, "n_words", "n_hit", "spans", "items")]
     inner = {c: f"kept_{i}" for i, c in enumerate(kept)}
     rows = docs.select(*[F.col(f"`{c}`").alias(inner[c]) for c in kept], F.monotonically_increasing_id().alias("uid"), F.col(f"`{text_col}`").alias("text"))
     prints = fingerprints(rows, "text", plan, _bitmap(contexts), window)

@@ -168,7 +168,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     licences (licence, start and stop sentence of each match, in order; sentences count from 1).
 
     Null, empty and other texts without known sentences have empty lists. Every row is kept, repeated ones too;
-    extra columns are kept. A known sentence that no rule takes appears in sentence_ids alone."""
+    extra columns are kept, but for those that have the name of a result. A known sentence that no rule takes appears in sentence_ids alone."""
     pairs = [F.lit(x) for pair in known().items() for x in pair]
     table = F.create_map(*pairs)
     low = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), UPPER, LOWER)
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     none = F.struct(F.array().cast("array<string>").alias("sentence_ids"), F.array().cast(MATCHES).alias("licences"))
     out = _let(low, lambda t: F.when(t.rlike(KEYWORDS), _let(_units(t), lambda u: _let(_identified(u, table), lambda f: F.when(
         F.size(f) > 0, result(f)).otherwise(none)))).otherwise(none))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "sentence_ids", "licences")]
     return docs.select(*kept, out.alias("_scan")).select(*kept, "_scan.sentence_ids", "_scan.licences")
 
 

@@ -76,6 +76,8 @@ def test_decontamination(spark, monkeypatch, broadcast):
         n, h, names = brute_hits(t, [x for x in named if x[0] is not None])
         _, every, _ = brute_hits(t, named)  # an item without an id hits words but is never named
         assert (rows[i].n_words, rows[i].n_hit, rows[i]["items"]) == (n, every if every != h else h, names), t
+    clash = decontaminate.hits(docs_frame(spark, texts).selectExpr("*", "'x' as items", "1 as spans"), bench)
+    assert clash.columns == ["doc_id", "uid", "shard", "n_words", "n_hit", "spans", "items"]
     empty = decontaminate.hits(docs_frame(spark, texts[:3]), bench.limit(0), "text").collect()
     assert [(r.n_hit, r["items"]) for r in empty] == [(0, [])] * 3
     assert decontaminate.hits(docs_frame(spark, []), bench).count() == 0
@@ -214,6 +216,8 @@ def test_licence_rules(spark):
     assert told(2) == [] and got[2].sentence_ids == ["mit-grant", "bsd-source", "mit-notice"]  # a known sentence stands between
     assert [told(i) for i in (3, 4, 5)] == [[], [], []]
     assert told(6) == [("MIT", 1, 1)] and told(7) == [] and told(8) == [("All-rights-reserved", 20001, 20001)]
+    clash = docs_frame(spark, texts[6:7]).selectExpr("*", "'x' as licences")
+    assert [m.licence for m in license_rules.scan(clash).first().licences] == ["MIT"]
     assert license_rules.scan(docs_frame(spark, [])).count() == 0
 
 
