@@ -152,6 +152,14 @@ def test_similar_pairs_are_exact(spark, threshold):
     assert got == {p: s for p, s in want.items() if s > threshold + 1e-9}
 
 
+def test_tiles_of_hot_terms_lose_no_pair(spark):
+    texts = ["same rare words here " + f"x{i % 5}" for i in range(60)]
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "g int, d long, text string")
+    counts = similarity.term_counts(df, ["g"], "d", "text", ())
+    pairs = [{(r.a, r.b) for r in similarity.candidate_pairs(counts, ["g"], "d", 0.5, tile).collect()} for tile in (7, 1000)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) == 60 * 59 // 2
+
+
 @pytest.mark.parametrize("cap,batch", [(None, 3), (4, 64), (None, 64)])
 def test_leader_clusters_follow_id_order(spark, cap, batch):
     import numpy as np
