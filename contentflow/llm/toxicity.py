@@ -295,10 +295,6 @@ class Model:
     def score(self, has: np.ndarray, measures: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(classifier_input(has, measures) @ self.weights, -30, 30)))
 
-    def score_texts(self, texts: pa.Array) -> np.ndarray:
-        batch = pa.record_batch([texts], names=["text"])
-        return np.concatenate([self.score(*text_features(b.column("text"), self.entries)) for b in pieces(iter([batch]), "text")] or [np.zeros(0)])
-
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         fit_rows: int = FIT_ROWS, entries: int = ENTRIES) -> tuple[Model, DataFrame]:
@@ -339,20 +335,18 @@ def score_features(model: Model, every: DataFrame) -> DataFrame:
     return every.select("id", score("hits", "measures").alias("score"))
 
 
-def score_column(model: Model, text_col: str) -> Column:
-    """The score of a text column; null and empty texts get one too."""
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score_texts(pa.array(texts, pa.string(), from_pandas=True)))
-
-    return score(F.col(f"`{text_col}`"))
-
-
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score THRESHOLD or more; all columns kept, nothing is shuffled."""
+    """``docs`` without the rows that score THRESHOLD or more; all columns kept, nothing is shuffled. Null and empty
+    texts get a score too."""
     model, _ = fit(docs, labels, id_col, text_col)
-    return docs.filter(score_column(model, text_col) < THRESHOLD)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col):
+            keep = model.score(*text_features(batch.column(at), model.entries)) < THRESHOLD
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
