@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentflow.llm.common import pieces, read, run_folder, save, text_bytes
+from contentflow.llm.common import give_back, pieces, read, run_folder, save, text_bytes
 from contentflow.llm.files import new_name, open_folder
 from contentflow.llm.pretokens import distinct, pretokens, spread
 
 BLOCK_BYTES = 16 << 20  # text of a block; a longer text is a block of its own
-WORDS_KEPT = 1_000_000  # words whose ids a task remembers while it encodes a bucket
+WORDS_KEPT = 200_000  # words whose ids a task remembers while it encodes a bucket
 
 WORDS = "block string, bucket int, words binary"
 IDS = "id bigint, ids array<int>"
@@ -153,6 +153,8 @@ def encode_buckets(words: DataFrame, shared, pattern: str, buckets: int) -> Data
                     found.append(ids)
                 out.append(_pack(b"".join(found), np.array([len(f) // 4 for f in found], np.uint32)))
             yield pa.record_batch([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "words"])
+        del encoder, known
+        give_back()
 
     return words.repartition(buckets, "bucket").mapInArrow(run, WORDS)
 
@@ -180,6 +182,8 @@ def fill_blocks(ids: DataFrame, folder: str, buckets: int) -> DataFrame:
                 tokens = spread(flat, sizes, index)
                 reached = np.append(0, np.cumsum(sizes[index]))[np.append(0, np.cumsum([len(x) for x in raw]))]
                 out.append(pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(pa.array(reached.astype(np.int32)), pa.array(tokens))], names=["id", "ids"]))
+        del lists, flat, sizes
+        give_back()
         return pa.Table.from_batches(out)
 
     return ids.groupBy("block").applyInArrow(run, IDS)
@@ -221,6 +225,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 stops, values = np.asarray(lists.offsets), np.asarray(lists.values)
                 texts = [spread(flat, sizes, values[a:b]).tobytes() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(texts, pa.binary())], names=[*kept, "decoded"])
+        give_back()
 
     return encoded.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["decoded binary"]))
 
