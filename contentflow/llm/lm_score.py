@@ -8,7 +8,8 @@ these conditional chances over all of its words.
 The vocabulary is counted over all documents. Words outside it fall into hashed buckets, which are words of the
 model too. Training goes over all documents in parallel: each worker starts from the common weights, takes Adagrad
 steps on its part, and the weights are averaged, by positions, in a shuffle of fixed size for each worker; only
-the average comes to the driver. The documents' word numbers are written once and read by every round.
+the average comes to the driver. Every word of every document is a target once, a quarter of them in each round. The
+documents' word numbers are written once and read by every round.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ VOCABULARY = CLASSES * MEMBERS - BUCKETS
 PAD = CLASSES * MEMBERS
 SIDE = 3  # words on either side
 WIDTH = 24
-ROUNDS = 2
 STRIDE = 4  # a round trains on every STRIDE-th position of every document, another one each round
+ROUNDS = STRIDE  # every position is a target once
 STEP_POSITIONS = 16_384
 RATE = 0.08
 SCORE_POSITIONS = 32_768
@@ -184,6 +185,12 @@ def windows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return joined, np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), np.repeat(np.arange(len(lists)), sizes)
 
 
+def targets(at: np.ndarray, text: np.ndarray, turn: int) -> np.ndarray:
+    """Places that a round predicts; any STRIDE rounds in a row have each place once."""
+    first = np.searchsorted(text, np.arange(text[-1] + 1), "left") if len(text) else text
+    return at[(np.arange(len(at)) - first[text]) % STRIDE == turn % STRIDE]
+
+
 def context_of(joined: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([joined[at + o] for o in OFFSETS])
 
@@ -256,9 +263,7 @@ def train_round(numbered: DataFrame, net: Network, turn: int) -> Network:
             joined, at, text = windows(_lists(batch.column("words")))
             if not len(at):
                 continue
-            first = np.searchsorted(text, text, "left")
-            at = at[(np.arange(len(at)) - first) % STRIDE == turn % STRIDE]
-            at = np.random.default_rng(turn).permutation(at)
+            at = np.random.default_rng(turn).permutation(targets(at, text, turn))
             for k in range(0, len(at), STEP_POSITIONS):
                 some = at[k: k + STEP_POSITIONS]
                 trainer.step(joined[some], context_of(joined, some))

@@ -279,6 +279,23 @@ def test_training_beats_word_shares(spark):
     assert lm_score.log_chances(trainer.net, joined[held], lm_score.context_of(joined, held)).mean() > mean[0] + 1
 
 
+def test_every_position_is_trained_once(spark):
+    lists = [np.arange(n, dtype=np.uint16) for n in (0, 1, 2, 7, 0, 8, 13)]
+    _, at, text = lm_score.windows(lists)
+    seen = np.concatenate([lm_score.targets(at, text, turn) for turn in range(lm_score.ROUNDS)])
+    assert sorted(seen) == sorted(at)
+    rnd = random.Random(4)
+    body = lambda: " ".join(f"a b k{i} v{i}" for i in (rnd.randrange(30) for _ in range(40)))
+    docs = docs_frame(spark, [body() for _ in range(300)]).selectExpr("doc_id as id", "text")
+    mean = []
+    for rounds in ((0,), ()):  # none, and as many as score() has
+        net, numbered = lm_score.train(docs, *rounds)
+        joined, at, _ = lm_score.windows([np.frombuffer(bytes(r.words), np.uint16) for r in numbered.collect()])
+        late = np.concatenate([at[2::4], at[3::4]])  # all texts have a multiple of four words
+        mean.append(lm_score.log_chances(net, joined[late], lm_score.context_of(joined, late)).mean())
+    assert mean[1] > mean[0] + 0.1
+
+
 # ---- pipeline ----------------------------------------------------------------------------------
 
 
