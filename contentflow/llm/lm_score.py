@@ -5,8 +5,9 @@ h = tanh(b + sum over the places o of the window of E[word at o] * P[o]), and th
 class times that within the class, both by a softmax over h. A document's score is the sum of the logarithms of
 these conditional chances over all of its words.
 
-The vocabulary is counted over all documents. Words outside it fall into hashed buckets, which are words of the
-model too. Training goes over all documents in parallel: each worker starts from the common weights, takes Adagrad
+The words are counted over all documents. Those outside the vocabulary fall into hashed buckets, which are words of the
+model too; the chance of such a word is that of its bucket times its share of the bucket's count. Counts of frequent
+words are at hand in every task, all others are joined from the count table. Training goes over all documents in parallel: each worker starts from the common weights, takes Adagrad
 steps on its part, and the weights are averaged, by positions, in a shuffle of fixed size for each worker; only
 the average comes to the driver. Every word of every document is a target once, a quarter of them in each round. The
 documents' word numbers are written once and read by every round.
@@ -26,6 +27,7 @@ from contentflow.llm.common import pieces, read, save, span_hashes, text_bytes,
 
 CLASSES, MEMBERS = 64, 64
 BUCKETS = 512  # hashed words outside the vocabulary
+NEAR_SHARE = 1_000_000  # words with over 1 / NEAR_SHARE of the corpus, so fewer than NEAR_SHARE, are at hand in every task
 VOCABULARY = CLASSES * MEMBERS - BUCKETS
 PAD = CLASSES * MEMBERS
 SIDE = 3  # words on either side
@@ -220,20 +222,44 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-NUMBERED = "id bigint, words binary"
+@dataclass
+class Counts:
+    """What a task needs of the counts: vocabulary and near words sorted by hash, logarithms of their counts."""
+
+    vocabulary: np.ndarray
+    numbers: np.ndarray  # model words of the vocabulary
+    near: np.ndarray
+    near_logs: np.ndarray
+    bucket_logs: np.ndarray  # of the words outside the vocabulary together
+
+
+NUMBERED = "key bigint, id bigint, words binary, within double, far array<bigint>"
 
 
-def number_words(docs: DataFrame, vocabulary: np.ndarray, numbers: np.ndarray) -> DataFrame:
-    """Each text (id, text) as 16-bit word numbers, written once."""
+def number_words(docs: DataFrame, counts: Counts) -> DataFrame:
+    """Each text (id, text) as 16-bit word numbers, written once, with a key of its own. For the words outside the
+    vocabulary, within sums the logarithms of their shares of their buckets, but without the counts of the words in far."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
         for batch in pieces(batches, "text"):
+            n = batch.num_rows
             low, starts, ends, before = word_spans(*text_bytes(batch.column("text")))
-            w = word_numbers(span_hashes(low, starts, ends), vocabulary, numbers)
-            yield pa.record_batch([batch.column("id"), pa.array([w[a:b].tobytes() for a, b in zip(before[:-1].tolist(), before[1:].tolist())], pa.binary())],
-                                  names=["id", "words"])
-
-    return save(docs.select("id", "text").mapInArrow(run, NUMBERED), "lm-words")
+            hashes = span_hashes(low, starts, ends)
+            w = word_numbers(hashes, c.vocabulary, c.numbers)
+            outside = np.flatnonzero(w >= VOCABULARY)
+            text, rare = np.searchsorted(before, outside, "right") - 1, hashes[outside]
+            logs, is_far = -c.bucket_logs[w[outside] - VOCABULARY], np.ones(len(rare), bool)
+            if len(c.near):
+                k = np.minimum(np.searchsorted(c.near, rare), len(c.near) - 1)
+                is_far = c.near[k] != rare
+                logs += np.where(is_far, 0, c.near_logs[k])
+            far = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[is_far], np.arange(n + 1)), pa.int32()), pa.array(rare[is_far].view(np.int64)))
+            yield pa.record_batch([batch.column("key"), batch.column("id"), pa.array([w[a:b].tobytes() for a, b in zip(before[:-1].tolist(), before[1:].tolist())], pa.binary()),
+                                   pa.array(np.bincount(text, weights=logs, minlength=n).astype(np.float64)), far], names=["key", "id", "words", "within", "far"])
+
+    return save(docs.select(F.monotonically_increasing_id().alias("key"), "id", "text").mapInArrow(run, NUMBERED), "lm-words")
 
 
 def _lists(column) -> list[np.ndarray]:
@@ -281,16 +307,15 @@ def train_round(numbered: DataFrame, net: Network, turn: int) -> Network:
     kind = "chunk int, positions bigint, weights binary"
     net_shape = Network(*[np.zeros(p.shape, np.float32) for p in net.parts()])
     workers = max(1, spark.sparkContext.defaultParallelism)
-    got = numbered.coalesce(workers).mapInArrow(run, kind).groupBy("chunk").applyInArrow(average, kind).collect()  # one network
+    got = numbered.select("words").coalesce(workers).mapInArrow(run, kind).groupBy("chunk").applyInArrow(average, kind).collect()  # one network
     if not got:
         return net
     return net.filled(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(got, key=lambda r: r["chunk"])]))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Network, DataFrame]:
-    """The network, and the documents (id, text) as word numbers."""
-    counts = count_words(docs)
-    counts = save(counts, "lm-counts")
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Network, DataFrame, DataFrame]:
+    """The network, the documents (id, text) as word numbers, and the counts of all words (word hash, n)."""
+    counts = save(count_words(docs), "lm-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     rest = counts.groupBy(F.pmod(F.col("word"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect()
     size = np.zeros(PAD)
@@ -300,15 +325,24 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Network, DataFrame]:
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     size[VOCABULARY:] -= np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), weights=size[: len(top)], minlength=BUCKETS)
     order = np.argsort(hashes)
-    numbered = number_words(docs, hashes[order], order)
+    near = counts.filter(F.col("n") > sum(r["n"] for r in rest) / NEAR_SHARE).toArrow()
+    near_hashes, near_counts = near["word"].to_numpy().view(np.uint64), near["n"].to_numpy()
+    by_hash = np.argsort(near_hashes)
+    numbered = number_words(docs, Counts(hashes[order], order, near_hashes[by_hash], np.log(near_counts[by_hash]), np.log(np.maximum(size[VOCABULARY:], 1))))
     net = new_network(size)
     for turn in range(rounds):
         net = train_round(numbered, net, turn)
-    return net, numbered
+    return net, numbered, counts
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Network, DataFrame]:
+    """The network, and the documents (id, text) as word numbers."""
+    return fit(docs, rounds)[:2]
 
 
 def score_words(numbered: DataFrame, net: Network) -> DataFrame:
-    """(id, n_words, log_likelihood) of each document."""
+    """(key, id, n_words, log_likelihood) of each document as words of the model: one outside the vocabulary has the
+    chance of its bucket. within is passed on."""
     shared = numbered.sparkSession.sparkContext.broadcast(net.flat())
     shape = Network(*[np.zeros(p.shape, np.float32) for p in net.parts()])
 
@@ -320,9 +354,17 @@ def score_words(numbered: DataFrame, net: Network) -> DataFrame:
             for k in range(0, len(at), SCORE_POSITIONS):
                 some = at[k: k + SCORE_POSITIONS]
                 total += np.bincount(text[k: k + SCORE_POSITIONS], weights=log_chances(mine, joined[some], context_of(joined, some)), minlength=batch.num_rows)
-            yield pa.record_batch([batch.column("id"), pa.array(np.bincount(text, minlength=batch.num_rows)), pa.array(total)], names=["id", "n_words", "log_likelihood"])
+            yield pa.record_batch([batch.column("key"), batch.column("id"), pa.array(np.bincount(text, minlength=batch.num_rows)), pa.array(total), batch.column("within")],
+                                  names=["key", "id", "n_words", "log_likelihood", "within"])
+
+    return numbered.drop("far").mapInArrow(run, "key bigint, id bigint, n_words bigint, log_likelihood double, within double")
+
 
-    return numbered.mapInArrow(run, "id bigint, n_words bigint, log_likelihood double")
+def far_logs(numbered: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, far_log): sum of the logarithms of the counts of the words in far. No such word has over 1 / NEAR_SHARE of
+    all words, so none is hot; a word that isn't in the join has a count of 1."""
+    words = numbered.select("key", F.explode("far").alias("word"))
+    return words.join(counts.filter("n > 1"), "word").groupBy("key").agg(F.sum(F.log("n")).alias("far_log"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,9 +373,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A null text or one without words has 0 words, log_likelihood 0 and a null mean. Repeated rows are scored each,
     null ids are kept, other columns aren't read. Without any words no training takes place."""
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    net, numbered = train(rows)
+    net, numbered, counts = fit(rows)
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
-    return score_words(numbered, net).withColumn("mean_log_likelihood", mean)
+    of_words = F.col("log_likelihood") + F.col("within") + F.coalesce(F.col("far_log"), F.lit(0.0))
+    return score_words(numbered, net).join(far_logs(numbered, counts), "key", "left").select(
+        "id", "n_words", of_words.alias("log_likelihood")).withColumn("mean_log_likelihood", mean)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

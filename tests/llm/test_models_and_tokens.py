@@ -296,6 +296,32 @@ def test_every_position_is_trained_once(spark):
     assert mean[1] > mean[0] + 0.1
 
 
+@pytest.mark.parametrize("near_share", [1, 11_000, 10**6])  # all words joined, some, none
+def test_rare_words_count_by_their_share_of_the_bucket(spark, monkeypatch, near_share):
+    monkeypatch.setattr(lm_score, "NEAR_SHARE", near_share)
+    counts = collections.Counter({f"w{i}": 6 for i in range(lm_score.VOCABULARY)} | {f"r{i}": 1 + i % 5 for i in range(2000)})
+    every = sorted(counts.elements())
+    random.Random(2).shuffle(every)
+    texts = [" ".join(every[k: k + 100]) for k in range(0, len(every), 100)] + ["", None]
+    docs = docs_frame(spark, texts, [7] * len(texts))  # equal ids
+    low, starts, ends, _ = lm_score.word_spans(*lm_score.text_bytes(pa.array([" ".join(counts)])))
+    bucket = {w: int(h % lm_score.BUCKETS) for w, h in zip(counts, lm_score.span_hashes(low, starts, ends).tolist()) if w[0] == "r"}
+    total = collections.Counter()
+    for w, b in bucket.items():
+        total[b] += counts[w]
+    net, numbered, table = lm_score.fit(docs.selectExpr("doc_id as id", "text"), rounds=0)
+    plain = sorted(r.log_likelihood for r in lm_score.score_words(numbered, net).collect())
+    share = [sum(np.log(counts[w] / total[bucket[w]]) for w in (t or "").split() if w in bucket) for t in texts]
+    got = {r.key: r.within for r in numbered.collect()}
+    for r in lm_score.far_logs(numbered, table).collect():
+        got[r.key] += r.far_log
+    assert np.allclose(sorted(got.values()), sorted(share))
+    monkeypatch.setattr(lm_score.fit, "__defaults__", (0,))  # score() trains no round, so the network is the same
+    rows = lm_score.score(docs).collect()
+    assert len(rows) == len(texts) and abs(sum(r.log_likelihood for r in rows) - sum(plain) - sum(share)) < 1e-3
+    assert sum(share) < -1000
+
+
 # ---- pipeline ----------------------------------------------------------------------------------
 
 
