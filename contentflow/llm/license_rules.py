@@ -96,6 +96,8 @@ KEYWORDS = "licen[cs]e|permission|warrant|liable|redistribut|copyright|mozilla p
 
 STOP = "([.!?;])[ \\t\\r]+"  # ends a sentence inside a line
 CLOSED = "[.!?;:][ \\t\\r]*$"  # a line that ends so isn't carried on by the next
+#: What the GPL-3.0 notice says in the line of its known sentence, before it; no known sentence has "software you".
+LEAD = "(?s)^.*software:[ \\t\\r]+(?=you([^a-z0-9]|$))"
 MARK = "\x01"
 
 
@@ -124,7 +126,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _units(low: Column) -> Column:
     """Normalised sentences (t) of a lowered text, and whether the next line carries each on (open)."""
     parts = F.flatten(F.transform(F.split(low, "\n"), lambda line: F.split(F.regexp_replace(line, STOP, f"$1{MARK}"), MARK)))
-    return F.transform(parts, lambda p: _let(F.trim(F.regexp_replace(p, "[^a-z0-9]+", " ")), lambda t: F.struct(
+    return F.transform(parts, lambda p: _let(F.trim(F.regexp_replace(F.regexp_replace(p, LEAD, ""), "[^a-z0-9]+", " ")), lambda t: F.struct(
         t.alias("t"), ((t != "") & ~p.rlike(CLOSED)).alias("open"))))
 
 

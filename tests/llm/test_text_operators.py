@@ -221,6 +221,93 @@ def test_licence_rules(spark):
     assert license_rules.scan(docs_frame(spark, [])).count() == 0
 
 
+NOTICES = {  # as published, with their line breaks
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "Apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "GPL-2.0-or-later": """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+""",
+    "MPL-2.0": """  This Source Code Form is subject to the terms of the Mozilla Public
+  License, v. 2.0. If a copy of the MPL was not distributed with this
+  file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "GPL-2.0": """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; version 2.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "All-rights-reserved": "Copyright (c) 2020 A. All rights reserved.",
+}
+NOTICES["BSD-3-Clause"] = NOTICES["BSD-2-Clause"] + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+NO_WARRANTY = """
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
+
+def test_published_notices(spark):
+    assert set(NOTICES) == {licence for licence, _ in license_rules.RULES}
+    gpl = NOTICES["GPL-3.0-or-later"]
+    every = list(NOTICES.items()) + [(n, NOTICES[n] + NO_WARRANTY) for n in ("GPL-2.0-or-later", "GPL-3.0-or-later")]
+    every += [("GPL-3.0-or-later", x) for x in (
+        gpl.replace("This program", "Some Tool"), gpl.replace("software: you", "software:\n    you"), gpl.replace("free software", "free\n# software"),
+        " ".join(gpl.split()), "Note: free software: " + gpl)]
+    got = licences(spark, [x for _, x in every])
+    assert [[m.licence for m in got[k].licences] for k in range(len(every))] == [[n] for n, _ in every]
+    first = {licence: ids for licence, ids in reversed(license_rules.RULES)}
+    assert all(got[k].sentence_ids == first[n] for k, (n, _) in enumerate(every) if n not in ("GPL-2.0-or-later", "GPL-3.0-or-later"))
+    assert [got[k].sentence_ids for k in (len(NOTICES), len(NOTICES) + 1)] == [first["GPL-2.0-or-later"], first["GPL-3.0-or-later"]]
+
+
 # ---- WARC --------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, sha string, target string, key int"
