@@ -308,6 +308,17 @@ def test_published_notices(spark):
     assert [got[k].sentence_ids for k in (len(NOTICES), len(NOTICES) + 1)] == [first["GPL-2.0-or-later"], first["GPL-3.0-or-later"]]
 
 
+def test_filter_passes_every_known_sentence(spark):
+    known = list(license_rules.known())
+    for between in (" ", "\n", " ** ", "\n# "):
+        assert all(re.search(license_rules.keywords(), between.join(s.split())) for s in known)
+    texts = {"Released under\nMIT.": "ref MIT", "Distributed under **MIT**": "ref MIT", "Released under `ISC`": "ref ISC", "Released under\nthe GPLv2.": "ref GPL-2.0",
+             "This is free and unencumbered software released into the public\ndomain.": "unlicense-head", "All rights\nreserved.": "reserved",
+             license_rules.SENTENCES["mpl-copy"]: "mpl-copy"}
+    got = licences(spark, list(texts))
+    assert [got[k].sentence_ids for k in range(len(texts))] == [[i] for i in texts.values()]
+
+
 # ---- WARC --------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, sha string, target string, key int"
