@@ -12,6 +12,7 @@ known sentences, at least one from each, are passed on at once.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from contentflow.llm.common import read
 
-JOINED_LINES = 12  # lines over which a known sentence may be wrapped; the longest is about 700 characters
+JOINED_LINES = 12  # lines over which the SQL joins a known sentence; the operator has no such limit
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Sentences of public licences and their usual notices. {name} is any name of NAMES.
@@ -143,19 +144,36 @@ def _units(low: Column) -> Column:
         t.alias("t"), ((t != "") & ~p.rlike(CLOSED)).alias("open"))))
 
 
+def _openings() -> str:
+    """Pattern of the sentences that a known sentence can start with: its first word alone, or its first two."""
+    second = defaultdict(set)
+    for words in (s.split(" ") for s in known()):
+        second[words[0]].add(words[1])
+    return "^(" + "|".join(f"{w}($| ({'|'.join(sorted(n))})($| ))" for w, n in sorted(second.items())) + ")"
+
+
 def _identified(units: Column, table: Column) -> Column:
-    """(start, stop, id) of the known sentences, over up to JOINED_LINES lines that carry one on."""
+    """(start, stop, id) of the known sentences, over as many lines as carry one on. Each line of a run has a word, so
+    one of n words is on n lines at most; a run longer than all known sentences ends."""
+    words, size = max(len(s.split(" ")) for s in known()), max(map(len, known()))
+
     def at(i: Column) -> Column:
-        runs = F.sequence(F.lit(1), F.least(F.lit(JOINED_LINES), F.size(units) - i + 1))
-        found = F.transform(runs, lambda m: F.when(
-            F.forall(F.slice(units, i, m - 1), lambda u: u["open"]),
-            F.struct(i.alias("start"), (i + m - 1).alias("stop"),
-                     F.element_at(table, F.array_join(F.transform(F.slice(units, i, m), lambda u: u["t"]), " ")).alias("id"))))
-        return F.filter(found, lambda s: s["id"].isNotNull())
+        zero = F.struct(F.lit("").alias("t"), F.lit(True).alias("open"), (i - 1).alias("stop"), F.array().cast(FOUND).alias("found"))
+
+        def longer(run: Column, u: Column) -> Column:
+            text, stop = F.concat(run["t"], F.when(run["t"] == "", "").otherwise(" "), u["t"]), run["stop"] + 1
+            return F.when(run["open"], _let(text, lambda t: F.struct(
+                t.alias("t"), (u["open"] & (F.length(t) < size)).alias("open"), stop.alias("stop"),
+                _let(F.element_at(table, t), lambda id: F.when(id.isNull(), run["found"]).otherwise(
+                    F.concat(run["found"], F.array(F.struct(i.alias("start"), stop.alias("stop"), id.alias("id")))))).alias("found")))).otherwise(run)
+
+        return F.aggregate(F.slice(units, i, words), zero, longer, lambda run: run["found"])
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(units)), at))
+    starts = F.filter(F.sequence(F.lit(1), F.size(units)), lambda i: F.element_at(units, i)["t"].rlike(_openings()))
+    return F.flatten(F.transform(starts, at))
 
 
+FOUND = "array<struct<start:int,stop:int,id:string>>"
 MATCHES = "array<struct<licence:string,start:int,stop:int>>"
 
 

@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import textwrap
 import zlib
 
 import pyarrow as pa
@@ -319,6 +320,15 @@ def test_filter_passes_every_known_sentence(spark):
     assert [got[k].sentence_ids for k in range(len(texts))] == [[i] for i in texts.values()]
 
 
+def test_sentences_on_any_number_of_lines(spark):
+    texts = ["\n".join(textwrap.wrap(license_rules.SENTENCES["mit-grant"] + "\n" + license_rules.SENTENCES["mit-notice"], width, break_long_words=False)).replace(
+        "conditions: ", "conditions:\n") for width in (1, 10, 20, 36, 60)]
+    known = license_rules.known()
+    got = licences(spark, texts + ["\n".join(s.split()) for s in known])
+    assert [[m.licence for m in got[k].licences] for k in range(len(texts))] == [["MIT"]] * len(texts)
+    assert all(i in got[k].sentence_ids for k, i in enumerate(known.values(), len(texts)))
+
+
 # ---- WARC --------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, sha string, target string, key int"
