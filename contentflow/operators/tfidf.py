@@ -7,12 +7,14 @@ frequent terms by a grouped top-k, so the weight table has at most
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentflow.functions import text as x
 from contentflow.operators.ordering import top_per_key
-from contentflow.session import cut_lineage
+from contentflow.session import cut_lineage, shared_table
 from contentflow.vocab import ENGLISH_STOP_WORDS
 
 
@@ -24,15 +26,31 @@ def term_array(body, stop_words=ENGLISH_STOP_WORDS) -> Column:
     return F.filter(x.tokens(body), keep)
 
 
+HASHES = 1 << 16
+
+
+def _hashed(t: Column) -> Column:
+    """A word as one of ``HASHES`` numbers: sets of frequent words have a bounded size, and a collision only keeps a
+    pair that is counted in vain."""
+    return F.pmod(F.xxhash64(t), F.lit(HASHES)).cast("int")
+
+
+def _nexts(toks) -> Column:
+    return F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0)))
+
+
 def _terms(docs: DataFrame, keep: list, body: str, stop_words, bigrams: bool) -> DataFrame:
     """``keep`` columns plus ``_t``: the term array of each text."""
     toks = docs.select(*keep, term_array(body, stop_words).alias("_t"))
-    if not bigrams:
-        return toks
-    nexts = F.slice(F.col("_t"), 2, F.greatest(F.size("_t") - 1, F.lit(0)))
-    pairs = F.filter(F.zip_with("_t", nexts, lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b))),
-                     lambda p: p.isNotNull())
-    return toks.withColumn("_t", F.concat("_t", pairs))
+    pairs = F.filter(F.zip_with("_t", _nexts("_t"), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
+    return toks.withColumn("_t", F.concat("_t", pairs)) if bigrams else toks
+
+
+def pair_rows(toks: DataFrame, keep: list[str], chosen: Callable[[Column], Column]) -> DataFrame:
+    """(keep, term) of consecutive words that are both ``chosen``; only those are written out as terms."""
+    two = F.inline(F.arrays_zip(F.col("_t").alias("_a"), _nexts(F.col("_t")).alias("_b"))).alias("_a", "_b")
+    rows = toks.select(*keep, two).filter(F.col("_b").isNotNull() & chosen(F.col("_a")) & chosen(F.col("_b")))
+    return rows.withColumn("term", F.concat("_a", F.lit(" "), "_b")).drop("_a", "_b")
 
 
 def term_counts(docs: DataFrame, group: list[str], doc: str, body: str = "text", stop_words=ENGLISH_STOP_WORDS,
@@ -52,14 +70,37 @@ def term_stats(docs: DataFrame, group: list[str], body: str = "text", stop_words
     return rows.groupBy(*group, "term").agg(F.sum("tf").alias("corpus_tf"), F.sum("df").alias("df"))
 
 
-def vocabulary(docs: DataFrame, group: list[str], max_features: int, body: str = "text",
-               stop_words=ENGLISH_STOP_WORDS, bigrams: bool = False) -> DataFrame:
-    """(group, term): the most frequent terms of each group. Ties are resolved by term."""
-    rows = _terms(docs, group, body, stop_words, bigrams).select(*group, F.explode_outer("_t").alias("term")).filter(F.col("term").isNotNull())
-    totals = rows.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("corpus_tf"))
+def vocabulary(toks: DataFrame, group: list[str], max_features: int, bigrams: bool = False) -> DataFrame:
+    """(group, term): the most frequent terms of each group of word arrays ``_t``. Ties are resolved by term.
+
+    A pair is at most as frequent as each of its words, so only pairs of words that are as frequent as the last word
+    of the vocabulary are counted; these words go to the rows as one short array for each group."""
+    count = F.count(F.lit(1)).alias("corpus_tf")
+    totals = toks.select(*group, F.explode("_t").alias("term")).groupBy(*group, "term").agg(count)
+    if bigrams:
+        place = F.rank().over(Window.partitionBy(*group).orderBy(F.col("corpus_tf").desc()))
+        totals = cut_lineage(totals.withColumn("_place", place).filter(F.col("_place") <= max_features).drop("_place"))
+        often = totals.groupBy(*group).agg(F.collect_set(_hashed(F.col("term"))).alias("_often"))
+        pairs = pair_rows(toks.join(often, group), [*group, "_often"], lambda w: F.array_contains("_often", _hashed(w)))
+        totals = totals.unionByName(pairs.groupBy(*group, "term").agg(count))
     return top_per_key(totals, group, [F.col("corpus_tf").desc(), F.col("term").asc()], max_features).select(*group, "term")
 
 
+def restricted(toks: DataFrame, group: list[str], vocab: DataFrame, doc: str, bigrams: bool) -> DataFrame:
+    """(group, doc, term, tf) of the terms in the vocabulary, a short array for each group that its rows carry."""
+    words = vocab.groupBy(*group).agg(F.array_sort(F.collect_list("term")).alias("_v"))
+    keep = [*group, doc]
+    held = toks.join(words, group)
+    found = held.select(*keep, "_t", F.explode(F.array_intersect("_t", "_v")).alias("term")).select(
+        *keep, "term", (F.size("_t") - F.size(F.array_remove("_t", F.col("term")))).cast("bigint").alias("tf"))
+    if not bigrams:
+        return found
+    parts = F.array_distinct(F.flatten(F.transform(F.filter("_v", lambda v: F.contains(v, F.lit(" "))), lambda v: F.split(v, " "))))
+    pairs = pair_rows(held.withColumn("_parts", parts).filter(F.size("_parts") > 0), [*keep, "_v", "_parts"], lambda w: F.array_contains("_parts", w))
+    pairs = pairs.filter(F.array_contains("_v", F.col("term"))).groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return found.unionByName(pairs)
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log((1 + n_docs) / (1 + df)) + 1
 
@@ -116,9 +157,11 @@ def group_sizes(docs: DataFrame, group: list[str]) -> DataFrame:
 def themes(docs: DataFrame, group: list[str], doc: str, body: str = "text", max_features: int = 10, top: int = 5,
            stop_words=ENGLISH_STOP_WORDS, bigrams: bool = True) -> DataFrame:
     """(group, term, mean_weight): the terms with the highest mean weight over the group's texts."""
-    vocab = vocabulary(docs, group, max_features, body, stop_words, bigrams)
+    # texts are cut into words once; counts, pairs and weights read the arrays
+    toks, _ = shared_table(docs.select(*group, doc, term_array(body, stop_words).alias("_t")).filter("_t is not null"), "words")
+    vocab = vocabulary(toks, group, max_features, bigrams)
     # at most max_features rows per text, read twice below
-    counts = cut_lineage(vocabulary_counts(docs, vocab, group, doc, body, stop_words, bigrams))
+    counts = cut_lineage(restricted(toks, group, vocab, doc, bigrams))
     w = weights(counts, group_sizes(docs, group), group, doc)
     means = w.groupBy(*group, "term").agg((F.sum("w") / F.max("n_docs")).alias("mean_weight"))
     # ranked on rounded weights, so float noise cannot decide between equal terms

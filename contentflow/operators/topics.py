@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentflow.functions import text as x
 from contentflow.operators import tfidf
 from contentflow.operators.ordering import numbered, top_per_key
-from contentflow.session import cut_lineage
+from contentflow.session import cut_lineage, shared_table
 
 
 def dense_vectors(weights: DataFrame, docs: DataFrame, vocab: DataFrame, doc: str) -> DataFrame:
@@ -21,71 +22,134 @@ def dense_vectors(weights: DataFrame, docs: DataFrame, vocab: DataFrame, doc: st
     return docs.select(doc).join(maps, doc, "left").select(doc, F.when(F.col("_m").isNotNull(), vec).alias("vec"))
 
 
-def _new_leaders(head: list, threshold: float, room: int):
-    """Leaders among the first undecided rows, in id order. ``head`` is one batch."""
-    chosen, vecs = [], []
-    for doc_id, vec in head:
-        v = np.asarray(vec)
-        if len(chosen) < room and (not vecs or max(float(v @ o) for o in vecs) < threshold):
-            chosen.append(doc_id)
-            vecs.append(v)
-    return chosen, np.array(vecs)
+BLOCK = 4096  # rows of fixed width that a task compares at a time, and that one task settles in order
+GROWTH = 8  # every round looks at so many times the texts of the one before
 
 
-def leader_clusters(vectors: DataFrame, doc: str, threshold: float = 0.5, max_leaders: int | None = None,
-                    batch: int = 64, max_batch: int = 4096) -> DataFrame:
-    """(doc, label, leader, similarity), equal to going through the texts in id order.
+def _blocks(path: str, doc: str):
+    """(ids, matrix) of the rows of a written table, a block at a time."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
 
-    A text joins the most similar earlier leader when that reaches the threshold, else it
-    becomes a leader while there is room (default max(2, n/2)). Each round settles
-    the next undecided texts on the driver, ``batch`` at first and four times as many each
-    round up to ``max_batch`` fixed-width rows, and shows the new leaders to all texts in one
-    narrow pass; no pair of texts is ever shuffled. State is checkpointed every round; there
-    are a few rounds and one more for each ``max_batch`` leaders."""
-    room = max_leaders if max_leaders is not None else max(2, vectors.count() // 2)
-    schema = f"{doc} bigint, vec array<double>, label int, leader bigint, similarity double, settled boolean"
-    state = cut_lineage(vectors.select(
-        F.col(doc).cast("bigint").alias(doc), "vec", F.lit(None).cast("int").alias("label"), F.lit(None).cast("bigint").alias("leader"),
-        F.lit(-1.0).alias("similarity"), F.col("vec").isNull().alias("settled")))
-    found, first = 0, None
-    while found < room:
-        head = state.filter(~F.col("settled")).orderBy(doc).limit(batch).select(doc, "vec").collect()
-        if not head:
-            break
-        ids, mat = _new_leaders([(r[0], r[1]) for r in head], threshold, room - found)
-        first = ids[0] if first is None else first
-        state = cut_lineage(state.mapInPandas(_show_leaders(doc, np.array(ids), mat, found, threshold), schema))
-        found, batch = found + len(ids), min(4 * batch, max_batch)
-    # texts without any vocabulary term go to the first leader
-    return state.select(
-        doc, F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("leader", F.lit(first)).alias("leader"),
-        F.greatest("similarity", F.lit(0.0)).alias("similarity"))
+    system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    for info in sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda f: f.path):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(BLOCK, columns=[doc, "vec"]):
+                    if batch.num_rows:
+                        yield batch.column(doc).to_numpy(), batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _in_order(doc: str, threshold: float):
+    """Leaders among the rows of one block, in id order."""
+    def run(batches):
+        rows = pd.concat(list(batches)).sort_values(doc)
+        ids, vecs, kept = rows[doc].to_numpy(), np.stack(rows["vec"].to_numpy()) if len(rows) else None, []
+        for i in range(len(rows)):
+            if not kept or (vecs[kept] @ vecs[i]).max() < threshold:
+                kept.append(i)
+        yield pd.DataFrame({doc: ids[kept], "vec": [vecs[i] for i in kept]})
+    return run
+
+
+def _without_earlier(doc: str, path: str, threshold: float):
+    """The rows to which no row of the table at ``path`` with a smaller id is similar."""
+    def run(batches):
+        for pdf in batches:
+            left = pdf
+            for ids, mat in _blocks(path, doc):
+                if not len(left):
+                    break
+                sims = np.stack(left["vec"].to_numpy()) @ mat.T
+                sims[ids[None, :] >= left[doc].to_numpy()[:, None]] = -1.0
+                left = left[sims.max(axis=1) < threshold]
+            yield left
+    return run
 
 
-def _show_leaders(doc: str, ids: np.ndarray, mat: np.ndarray, offset: int, threshold: float):
+def _show_leaders(doc: str, path: str):
+    """Keeps the most similar of the leaders seen so far that come before a text; of equally similar ones the first."""
     def run(batches):
         for pdf in batches:
-            pdf["label"], pdf["leader"] = pdf["label"].astype("Int32"), pdf["leader"].astype("Int64")
-            rows = pdf["vec"].notna().to_numpy()
-            if rows.any():
-                key = pdf.loc[rows, doc].to_numpy()
-                sims = np.stack(pdf.loc[rows, "vec"].to_numpy()) @ mat.T
-                sims[ids[None, :] > key[:, None]] = -1.0  # only leaders that came before
-                own = ids[None, :] == key[:, None]
-                sims[own] = 2.0  # a leader belongs to itself
-                best = sims.argmax(axis=1)
-                score = sims[np.arange(len(best)), best]
-                old = pdf.loc[rows, "similarity"].to_numpy()
-                better = score > old
-                at = np.flatnonzero(rows)[better]
-                pdf.loc[pdf.index[at], "label"] = best[better] + offset
-                pdf.loc[pdf.index[at], "leader"] = ids[best[better]]
-                pdf.loc[pdf.index[at], "similarity"] = np.minimum(score[better], 1.0)
-                pdf["settled"] = pdf["settled"] | (pdf["similarity"] >= threshold)
+            rows = np.flatnonzero(pdf["vec"].notna().to_numpy())
+            if len(rows):
+                key, vecs = pdf[doc].to_numpy()[rows], np.stack(pdf["vec"].to_numpy()[rows])
+                best, leader = pdf["similarity"].to_numpy()[rows].copy(), pdf["leader"].to_numpy()[rows].copy()
+                for ids, mat in _blocks(path, doc):
+                    sims = vecs @ mat.T
+                    sims[ids[None, :] > key[:, None]] = -1.0
+                    sims[ids[None, :] == key[:, None]] = 2.0  # a leader belongs to itself
+                    score = sims.max(axis=1)
+                    first = np.where(sims == score[:, None], ids[None, :], np.iinfo(np.int64).max).min(axis=1)
+                    better = (score > best) | ((score == best) & (score >= 0) & (first < leader))
+                    best[better], leader[better] = score[better], first[better]
+                out_best, out_leader = pdf["similarity"].to_numpy().copy(), pdf["leader"].to_numpy().copy()
+                out_best[rows], out_leader[rows] = best, leader
+                pdf = pdf.assign(similarity=out_best, leader=out_leader)
             yield pdf
     return run
 
 
+def _independent(undecided: DataFrame, doc: str, threshold: float) -> DataFrame:
+    """Leaders among ``undecided`` (doc, vec): those that no earlier leader is similar to.
+
+    Each round settles the first block in order, accepts every later text without a similar undecided text before it,
+    and drops what is similar to those accepted. Only the question whether there is a similar text is asked, so no
+    pair is ever written, however dense a cluster is."""
+    schema, found = undecided.schema, None
+    while True:
+        left, path = shared_table(undecided, "topic-undecided")
+        block, _ = shared_table(left.orderBy(doc).limit(BLOCK), "topic-block")
+        edge = block.agg(F.max(doc).alias("m"), F.count(F.lit(1)).alias("n")).first()
+        if not edge["n"]:
+            return found if found is not None else left
+        new = block.coalesce(1).mapInPandas(_in_order(doc, threshold), schema)
+        if edge["n"] == BLOCK:
+            later = left.filter(F.col(doc) > edge["m"])
+            new = new.unionByName(later.mapInPandas(_without_earlier(doc, path, threshold), schema))
+        new, accepted = shared_table(new, "topic-accepted")
+        found = new if found is None else found.unionByName(new)
+        if edge["n"] < BLOCK:
+            return found
+        undecided = later.join(new.select(doc), doc, "left_anti").mapInPandas(_without_earlier(doc, accepted, threshold), schema)
+
+
+def leader_clusters(vectors: DataFrame, doc: str, threshold: float = 0.5, max_leaders: int | None = None) -> DataFrame:
+    """(doc, label, leader, similarity), equal to going through the texts in id order.
+
+    A text joins the most similar earlier leader when that reaches the threshold, else it becomes a leader while there
+    is room (default max(2, n/2)). The leaders are the first independent set, in id order, of the texts that are
+    similar to each other. Rounds take the texts up to the ``BLOCK * GROWTH ** r``-th id, drop those similar to a known
+    leader and find the leaders among the rest; then all texts are shown the new ones. So the number of rounds follows the
+    logarithm of the number of texts, vectors stay in tables of the shared folder that tasks read in blocks, and the driver
+    sees counts alone."""
+    vectors, _ = shared_table(vectors.select(F.col(doc).cast("bigint").alias(doc), "vec"), "topic-vectors")
+    total = vectors.count()
+    room = max_leaders if max_leaders is not None else max(2, total // 2)
+    with_terms = vectors.filter("vec is not null").select(doc)
+    cuts, at = [], BLOCK
+    while at < total:
+        cuts, at = [*cuts, at], at * GROWTH
+    ends = sorted(r[0] for r in numbered(with_terms, [doc], out="_n").filter(F.col("_n").isin(cuts)).select(doc).collect()) if cuts else []
+    state = vectors.select(doc, "vec", F.lit(1 << 62).cast("bigint").alias("leader"), F.lit(-1.0).alias("similarity"))
+    schema, leaders, count = state.schema, None, 0
+    for end in [*ends, None]:
+        rows = state.filter(F.col("vec").isNotNull() & (F.col("similarity") < threshold))
+        new = _independent((rows if end is None else rows.filter(F.col(doc) <= end)).select(doc, "vec"), doc, threshold)
+        new, _ = shared_table(numbered(new, [doc], out="_n").withColumn("label", (F.col("_n") + count - 1).cast("int")).drop("_n"), "topic-numbered")
+        new, path = shared_table(new.filter(F.col("label") < room), "topic-leaders")
+        leaders = new.select(doc, "label") if leaders is None else leaders.unionByName(new.select(doc, "label"))
+        count = leaders.count()
+        state, _ = shared_table(state.mapInPandas(_show_leaders(doc, path), schema), "topic-state")
+        if count >= room:
+            break
+    leaders = leaders.withColumnRenamed(doc, "leader")
+    first = leaders.agg(F.min("leader")).scalar()
+    # texts without any vocabulary term go to the first leader
+    return state.withColumn("leader", F.when(F.col("similarity") < 0, first).otherwise(F.col("leader"))).join(leaders, "leader", "left").select(
+        doc, F.coalesce("label", F.lit(0)).alias("label"), "leader", F.greatest(F.least("similarity", F.lit(1.0)), F.lit(0.0)).alias("similarity"))
+
+
 def topic_centres(weights: DataFrame, labels: DataFrame, doc: str) -> DataFrame:
     """(label, term, c): mean vector of the texts of each label, as a sparse table.
 

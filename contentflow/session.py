@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +61,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     shared folder, and stops plans of iterative operators from growing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet under a new name in the shared folder, and the folder it lies in, for tasks that
+    read it block by block. Lineage ends there as with a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path

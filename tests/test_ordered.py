@@ -160,9 +160,11 @@ def test_tiles_of_hot_terms_lose_no_pair(spark):
     assert pairs[0] == pairs[1] and len(pairs[0]) == 60 * 59 // 2
 
 
-@pytest.mark.parametrize("cap,batch", [(None, 3), (4, 64), (None, 64)])
-def test_leader_clusters_follow_id_order(spark, cap, batch):
+@pytest.mark.parametrize("cap,block", [(None, 3), (4, 7), (None, 64)])
+def test_leader_clusters_follow_id_order(spark, cap, block, monkeypatch):
     import numpy as np
+    monkeypatch.setattr(topics, "BLOCK", block)
+    monkeypatch.setattr(topics, "GROWTH", 4)
     rng = np.random.default_rng(5)
     vecs = rng.random((60, 6)) ** 3
     vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
@@ -177,7 +179,7 @@ def test_leader_clusters_follow_id_order(spark, cap, batch):
         else:
             want[i] = leaders[int(np.argmax(sims))]
     want[60] = 0
-    got = {r.d: r.leader for r in topics.leader_clusters(df, "d", 0.9, cap, batch).collect()}
+    got = {r.d: r.leader for r in topics.leader_clusters(df, "d", 0.9, cap).collect()}
     assert got == want
 
 
