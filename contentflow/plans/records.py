@@ -365,6 +365,15 @@ def utc_date(t):
 MENTION_SQL = dates.MENTION_RE.replace("'", "''")
 CONF_SQL = dates.CONFIDENCE_RE.replace("'", "''")
 SENT_SQL = f"list_filter(list_transform(string_split_regex(text,'[.!?]+'), lambda s: trim(s, {WS_TRIM})), lambda s: s <> '')"
+RESOLVED_SQL = f"""resolved AS (SELECT *, CASE lower(mention) WHEN 'yesterday' THEN {ASOF_SQL} - INTERVAL 1 DAY WHEN 'today' THEN {ASOF_SQL}
+  WHEN 'tomorrow' THEN {ASOF_SQL} + INTERVAL 1 DAY WHEN 'last week' THEN {ASOF_SQL} - INTERVAL 7 DAY
+  WHEN 'this week' THEN {ASOF_SQL} WHEN 'next week' THEN {ASOF_SQL} + INTERVAL 7 DAY
+  WHEN 'last month' THEN {ASOF_SQL} - INTERVAL 30 DAY WHEN 'this month' THEN {ASOF_SQL} WHEN 'next month' THEN {ASOF_SQL} + INTERVAL 30 DAY
+  WHEN 'last year' THEN {ASOF_SQL} - INTERVAL 365 DAY WHEN 'this year' THEN {ASOF_SQL} WHEN 'next year' THEN {ASOF_SQL} + INTERVAL 365 DAY
+  ELSE coalesce(try_strptime(mention, '%Y-%m-%d'), try_strptime(mention, '%Y/%m/%d'), try_strptime(mention, '%m/%d/%Y'),
+    try_strptime(mention, '%d/%m/%Y'), try_strptime(mention, '%B %d, %Y'), try_strptime(mention, '%b %d, %Y'),
+    try_strptime(mention, '%Y'), TIMESTAMP '9999-12-31 23:59:59') END AS when_ts FROM mentions)"""
+
 DATED_SQL = f"""
 dated AS (SELECT 'doc' || doc_id AS key, text FROM documents
           UNION ALL SELECT 'ord' || o_orderkey, 'Order placed on ' || strftime(o_orderdate, '%Y-%m-%d') || ' and due '
@@ -374,14 +383,7 @@ dated AS (SELECT 'doc' || doc_id AS key, text FROM documents
 sents AS (SELECT key, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM (SELECT key, {SENT_SQL} AS s FROM dated)),
 mentions AS (SELECT key, pos, sentence, unnest(m) AS mention, unnest(range(len(m))) AS nth
              FROM (SELECT *, regexp_extract_all(sentence, '{MENTION_SQL}') AS m FROM sents)),
-resolved AS (SELECT *, CASE lower(mention) WHEN 'yesterday' THEN {ASOF_SQL} - INTERVAL 1 DAY WHEN 'today' THEN {ASOF_SQL}
-  WHEN 'tomorrow' THEN {ASOF_SQL} + INTERVAL 1 DAY WHEN 'last week' THEN {ASOF_SQL} - INTERVAL 7 DAY
-  WHEN 'this week' THEN {ASOF_SQL} WHEN 'next week' THEN {ASOF_SQL} + INTERVAL 7 DAY
-  WHEN 'last month' THEN {ASOF_SQL} - INTERVAL 30 DAY WHEN 'this month' THEN {ASOF_SQL} WHEN 'next month' THEN {ASOF_SQL} + INTERVAL 30 DAY
-  WHEN 'last year' THEN {ASOF_SQL} - INTERVAL 365 DAY WHEN 'this year' THEN {ASOF_SQL} WHEN 'next year' THEN {ASOF_SQL} + INTERVAL 365 DAY
-  ELSE coalesce(try_strptime(mention, '%Y-%m-%d'), try_strptime(mention, '%Y/%m/%d'), try_strptime(mention, '%m/%d/%Y'),
-    try_strptime(mention, '%d/%m/%Y'), try_strptime(mention, '%B %d, %Y'), try_strptime(mention, '%b %d, %Y'),
-    try_strptime(mention, '%Y'), TIMESTAMP '9999-12-31 23:59:59') END AS when_ts FROM mentions)"""
+{RESOLVED_SQL}"""
 
 
 def dated_sentences(t):
