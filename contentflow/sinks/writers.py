@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentflow.functions import rules
-from contentflow.operators.storage import insert_if_new
-from contentflow.sources.files import or_empty
 from contentflow.vocab import IDEA_AREAS, NOTICE_COLOURS
 
 
@@ -16,24 +14,6 @@ def append_errors(errors: DataFrame, path: str, ts: str = "ts") -> None:
     errors.withColumn("day", F.date_format(ts, "yyyy-MM-dd")).write.mode("append").partitionBy("day").parquet(path)
 
 
-STORE_BUCKETS = 64
-
-
-def store_batch(batch: DataFrame, path: str, batch_id: int, key: str, order: list[str]) -> None:
-    """Insert-if-new of one micro-batch into ``path/batch=<id>``, in folders by a hash of the key: only the buckets
-    that the batch has keys of are read.
-
-    A replay after a failure compares with the other batches only and overwrites its own
-    folder, so every key is stored exactly once."""
-    spark = batch.sparkSession
-    bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(STORE_BUCKETS)).cast("int"))
-    schema = f"`{key}` {dict(batch.dtypes)[key]}, batch BIGINT, bucket INT"
-    stored = or_empty(spark, lambda: spark.read.schema(schema).parquet(path), schema)
-    wanted = [r["bucket"] for r in bucketed.select("bucket").distinct().collect()]  # at most STORE_BUCKETS rows
-    stored = stored.filter((F.col("batch") != batch_id) & F.col("bucket").isin(wanted)).select(key)
-    insert_if_new(bucketed, stored, key, order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
-
-
 def idea_manifest(ideas: DataFrame, idea: str = "idea_id") -> DataFrame:
     """(idea, area, path): the sub-areas kept for every idea."""
     return ideas.select(idea, F.explode(F.array(*[F.lit(a) for a in IDEA_AREAS])).alias("area")).withColumn(

@@ -3,10 +3,13 @@
 import datetime as dt
 import json
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from contentflow.operators import metrics, stateful
+from contentflow.sources.files import page_items, reading_list_pages
 from contentflow.streaming import ingest
 from contentflow.streaming import stateful as live
 
@@ -79,22 +82,74 @@ def test_ingest_stores_every_link_once(spark, tmp_path):
     inbox = tmp_path / "pages"
     inbox.mkdir()
     (inbox / "1.json").write_text(page("", "p", range(3), broken=[0]))
-    seen = []
+    seen, sizes = [], []
 
     def run(i):
         q = ingest.ingest(ingest.page_stream(spark, str(inbox), 1), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "chk"),
-                          on_batch=lambda b, r: seen.append(r))
+                          on_batch=lambda b, r: seen.append((b, r)), name=f"ingest{i}")
         q.awaitTermination(120)
         assert q.exception() is None
+        sizes.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
 
     run(0)
     (inbox / "2.json").write_text(page("p", None, range(2, 8)))
     run(1)
     stored = spark.read.parquet(str(tmp_path / "store"))
-    assert sorted(r.original_url for r in stored.collect()) == [f"https://example.com/{i}" for i in range(4)]
-    assert spark.read.json(str(tmp_path / "bad")).count() == 1
-    assert sum(r["seen"] for r in seen) == 10 and sum(r["quarantined"] for r in seen) == 1
-    q = ingest.live_counts(ingest.page_stream(spark, str(inbox)).withColumn("status", F.when(F.size("errors") > 0, "error").otherwise("success")),
-                           "status", "live", str(tmp_path / "lc"))
-    q.awaitTermination(120)
-    assert {r.status: r.n for r in spark.table("live").collect()} == {"success": 9, "error": 1}
+    rows = {r.original_url: r.publish_date for r in stored.collect()}
+    assert stored.count() == 4 and sorted(rows) == [f"https://example.com/{i}" for i in range(4)]
+    assert min(rows.values()) == rows["https://example.com/0"]  # the first of a link by date
+    assert spark.read.text(str(tmp_path / "bad")).count() == 1
+    assert sizes == [3, 4]  # one row of state for every link
+    for _ in range(100):  # listeners are told after the query has ended
+        if sum(r["seen"] for _, r in seen) == 10:
+            break
+        time.sleep(0.1)
+    assert sum(r["seen"] for _, r in seen) == 10 and sum(r["quarantined"] for _, r in seen) == 1
+
+
+def test_a_failed_batch_is_replayed(spark, tmp_path, monkeypatch):
+    """The batch fails after its rows were written; the next run repeats it with the same id and state."""
+    inbox = tmp_path / "pages"
+    inbox.mkdir()
+    items = lambda: ingest.page_stream(spark, str(inbox), 1)
+    places = [str(tmp_path / n) for n in ("store", "bad", "chk")]
+    (inbox / "1.json").write_text(page("", "p", range(3)))
+    ingest.ingest(items(), *places).awaitTermination(120)
+    (inbox / "2.json").write_text(page("p", None, range(2, 8), broken=[1]))
+    writer = type(spark.range(1).write)
+    text = writer.text
+
+    def broken_text(self, path, **kinds):
+        text(self, path, **kinds)
+        raise OSError("the store went away")
+
+    monkeypatch.setattr(writer, "text", broken_text)
+    q = ingest.ingest(items(), *places)
+    with pytest.raises(Exception, match="went away"):
+        q.awaitTermination(120)
+    monkeypatch.setattr(writer, "text", text)
+    ingest.ingest(items(), *places).awaitTermination(120)
+    links = [r.original_url for r in spark.read.parquet(places[0]).collect()]
+    assert sorted(links) == [f"https://example.com/{i}" for i in range(4)]
+    assert spark.read.text(places[1]).count() == 1
+
+
+def test_live_counters_equal_the_batch(spark, tmp_path):
+    inbox = tmp_path / "pages"
+    inbox.mkdir()
+    status = F.when(F.size("errors") > 0, "error").otherwise("success")
+    counters = ingest.BatchMetrics("status")
+    spark.streams.addListener(counters)
+    for i, ids in enumerate((range(3), range(3, 5), ())):
+        (inbox / f"{i}.json").write_text(page(str(i), str(i + 1), ids, broken=[i] if i < 2 else []))
+        items = ingest.observed(ingest.page_stream(spark, str(inbox), 1), "status").withColumn("status", status)
+        ingest.live_counts(items, "status", str(tmp_path / "live"), str(tmp_path / "lc")).awaitTermination(120)
+    batch = page_items(reading_list_pages(spark, str(inbox))).groupBy(status.alias("status")).count()
+    want = {r["status"]: r["count"] for r in batch.collect()}
+    assert {r["status"]: r["n"] for r in ingest.live_table(spark, str(tmp_path / "live"), "status").collect()} == want == {"success": 5, "error": 2}
+    for _ in range(100):
+        if counters.totals["seen"] == 7:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(counters)
+    assert dict(counters.totals) == {"seen": 7, "quarantined": 2}
