@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentflow.functions import dates, rules, text
-from contentflow.operators import normalize, ordering, storage
+from contentflow.operators import chain, normalize, ordering, storage
 from contentflow.plans.registry import query
 from contentflow.sources.views import AS_OF, ATTEMPTS_SQL, CONTENT_SQL, ERRORS_SQL, ITEMS_SQL, as_of, small_table
 from contentflow.vocab import LOG_LEVELS, MIME_TYPES, NOTICE_COLOURS, RETRY_LIMITS, SENSITIVE_KEYS
@@ -569,3 +569,37 @@ def delivery_outcome(t):
     c = F.col("status_code")
     return t.attempts().select("attempt_id", rules.delivery_outcome(c).alias("outcome"),
                                (c >= 400).alias("retry_any"), (c >= 500).alias("retry_server"))
+
+
+CHAIN_PAGES_SQL = """
+paged AS (SELECT event_id // 40 % 20 AS chain, event_id // 800 AS nr, count(*) AS n_items FROM events GROUP BY 1, 2),
+pages AS (SELECT *, max(nr) OVER (PARTITION BY chain) AS last FROM paged),
+here AS (SELECT * FROM pages WHERE (nr * 20 + chain) % 13 <> 5)"""
+
+
+def event_pages(t):
+    """Events as pages of 40 dealt over 20 chains; each page names the next one, and some pages have not landed."""
+    e = t.read("events").select(F.col("event_id").cast("bigint").alias("id"))
+    at, chain = F.floor(F.col("id") / 800), F.floor(F.col("id") / 40) % 20
+    pages = e.groupBy(chain.alias("chain"), at.alias("at")).agg(F.count(F.lit(1)).alias("n_items"))
+    last = pages.groupBy("chain").agg(F.max("at").alias("last"))
+    token = lambda c: F.when(c == 0, F.lit("")).otherwise(F.concat(F.lit("p"), c.cast("string")))
+    named = pages.join(last, "chain").select(
+        "chain", "at", token(F.col("at")).alias("page_token"), F.when(F.col("at") < F.col("last"), token(F.col("at") + 1)).alias("continuation"), "n_items")
+    return named.filter((F.col("at") * 20 + F.col("chain")) % 13 != 5)
+
+
+@query("A2_page_chain", "WITH" + CHAIN_PAGES_SQL + """,
+runs AS (SELECT chain, nr, nr - row_number() OVER (PARTITION BY chain ORDER BY nr) AS run, last FROM here),
+r AS (SELECT chain, min(nr) AS lo, max(nr) AS hi, count(*) AS n, max(last) AS top FROM runs GROUP BY chain, run)
+SELECT chain, CAST(coalesce(sum(n) FILTER (WHERE lo = 0), 0) AS BIGINT) AS reached,
+ CASE WHEN count(*) FILTER (WHERE lo = 0) = 0 THEN '' ELSE max(CASE WHEN lo = 0 AND hi < top THEN 'p' || (hi + 1) END) END AS waits_for,
+ bool_or(lo = 0 AND hi = top) AS complete, count(*) FILTER (WHERE lo > 0) AS n_waiting, CAST(coalesce(sum(n) FILTER (WHERE lo > 0), 0) AS BIGINT) AS waiting_pages
+FROM r GROUP BY 1""")
+def page_chain(t):
+    """Chains of pages that land out of order in two batches: pieces are joined as they come."""
+    pages, pieces = event_pages(t), None
+    late = (F.col("at") * 7 + F.col("chain")) % 2 == 0
+    for batch in (pages.filter(~late), pages.filter(late)):
+        pieces = chain.landed(pieces, batch, ["chain"])
+    return chain.chain_status(pieces, ["chain"])

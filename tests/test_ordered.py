@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from contentflow.operators import ordering, queueing, similarity, stateful, storage, tfidf, topics
+from contentflow.operators import chain, ordering, queueing, similarity, stateful, storage, tfidf, topics
 
 START = dt.datetime(2024, 1, 1)
 
@@ -191,3 +191,21 @@ def test_themes_and_topics(spark):
     words = spark.createDataFrame([("a", "machine learning"), ("a", "vision"), ("b", "learning"), ("c", "stone")], "label string, term string")
     rel = {(r.a, r.b): round(r.similarity, 6) for r in topics.related_topics(words).collect()}
     assert rel == {("a", "b"): round((0 + 1 / 3) / 2, 6), ("b", "a"): round((0 + 1 / 3) / 2, 6)}
+
+
+def test_chain_pieces_meet_in_any_order(spark):
+    rng = random.Random(4)
+    pages = [(c, f"{c}-{i}" if i else "", f"{c}-{i + 1}" if i < 29 else None, 1) for c in "abc" for i in range(30)]
+    pages += [("d", "x", "y", 1), ("d", "y", "x", 1), ("d", "", "z", 0)]  # a circle, and a chain that ends at an empty page
+    missing = {("b", "b-7"), ("b", "b-20"), ("c", "")}
+    pages = [p for p in pages if p[:2] not in missing]
+    rng.shuffle(pages)
+    schema, pieces = "c string, page_token string, continuation string, n_items int", None
+    for k in range(3):
+        batch = pages[k * len(pages) // 3:(k + 1) * len(pages) // 3]
+        pieces = chain.landed(pieces, spark.createDataFrame(batch, schema), ["c"])
+    got = {r["c"]: tuple(r)[1:] for r in chain.chain_status(pieces, ["c"]).collect()}
+    assert got == {"a": (30, None, True, 0, 0), "b": (7, "b-7", False, 2, 21), "c": (0, "", False, 1, 29), "d": (1, None, True, 0, 0)}
+    late = spark.createDataFrame([("b", "b-7", "b-8", 1), ("c", "", "c-1", 1)], schema)
+    done = {r["c"]: tuple(r)[1:] for r in chain.chain_status(chain.landed(pieces, late, ["c"]), ["c"]).collect()}
+    assert done["b"] == (20, "b-20", False, 1, 9) and done["c"] == (30, None, True, 0, 0)
