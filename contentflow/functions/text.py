@@ -366,16 +366,6 @@ def language_of(token_array, profiles: dict[str, list[str]], default: str = "en"
     return let({n: hits(token_array, profiles[n]) for n in names}, pick)
 
 
-def mention_positions(text, entity: str) -> Column:
-    """0-based starts of the non-overlapping, case-insensitive mentions of a literal."""
-    parts = F.split(F.lower(col(text)), r"\Q" + entity.lower() + r"\E")
-    width = len(entity)
-    lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)
-    return F.transform(
-        lengths,
-        lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, x: a + x) + i * width)
-
-
 def around(text, start, end, margin: int = 50) -> Column:
     """Text between ``margin`` characters before ``start`` and after ``end`` (0-based, end exclusive)."""
     lo = F.greatest(F.lit(0), col(start) - margin)

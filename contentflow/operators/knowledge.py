@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentflow.functions import text as x
+from contentflow.functions.mentions import phrase_mentions, running_sum
 from contentflow.operators.ordering import top_per_key
 from contentflow.session import cut_lineage
 from contentflow.vocab import CATEGORIES, NEGATIVE_WORDS, POSITIVE_WORDS, TAXONOMY
@@ -142,12 +143,14 @@ def document_sentiment(docs: DataFrame, body: str = "text", positive=POSITIVE_WO
 
 def entity_sentiment(docs: DataFrame, entities: list[str], key: list[str], body: str = "text", margin: int = 50) -> DataFrame:
     """(key, entity, mentions, sentiment): mean balance of the text around each mention."""
-    def scores(e):
-        return F.transform(x.mention_positions(body, e), lambda s: balance(x.around(body, s, s + len(e), margin)))
+    found = docs.select(*key, F.inline(phrase_mentions(docs.sparkSession, body, entities, margin)))
+    per = found.withColumn("_s", balance("around")).groupBy(*key, "phrase").agg(F.count(F.lit(1)).cast("int").alias("mentions"), F.avg("_s").alias("sentiment"))
+    return per.join(phrase_names(docs.sparkSession, [(e,) for e in entities], "entity string"), "phrase").select(*key, "entity", "mentions", "sentiment")
 
-    parts = [F.struct(F.lit(e).alias("entity"), scores(e).alias("scores")) for e in entities]
-    rows = docs.select(*key, F.inline(F.array(*parts))).filter(F.size("scores") > 0)
-    return rows.select(*key, "entity", F.size("scores").alias("mentions"), x.mean_of(F.col("scores")).alias("sentiment"))
+
+def phrase_names(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """The numbers that :func:`phrase_mentions` gives, with what they stand for; as large as the list of phrases."""
+    return F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"phrase int, {schema}"))
 
 
 def aspect_sentiment(docs: DataFrame, aspects: dict[str, list[str]], key: list[str], body: str = "text") -> DataFrame:
@@ -171,28 +174,22 @@ def entity_rows(docs: DataFrame, key: list[str], body: str = "text") -> DataFram
 
 
 def spans(body) -> Column:
-    """[start, end) of every rule entity, 0-based."""
+    """[start, end) of every rule entity, 0-based: the ends are running sums of the lengths of gaps and entities."""
     gaps = F.transform(F.split(x.col(body), x.ENTITY_RE), F.length)
-    pairs = F.zip_with(x.entities(body), gaps, lambda e, g: F.struct(F.length(e).alias("e"), g.alias("g")))
-    real = F.filter(pairs, lambda p: p["e"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(
-        real, start,
-        lambda a, p: F.struct(
-            (a["at"] + p["g"] + p["e"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + p["g"]).alias("start"), (a["at"] + p["g"] + p["e"]).alias("end")))).alias("out")),
-        lambda a: a["out"])
+    sizes = F.transform(x.entities(body), F.length)
+    ends = running_sum(F.zip_with(sizes, F.slice(gaps, 1, F.size(sizes)), lambda e, g: e + g)).cast("array<int>")
+    return F.zip_with(ends, sizes, lambda stop, e: F.struct((stop - e).alias("start"), stop.alias("end")))
 
 
 def with_custom_entities(docs: DataFrame, patterns: list[tuple[str, str]], key: list[str], body: str = "text") -> DataFrame:
-    """(key, label, phrase, start): mentions of user phrases that overlap no rule entity."""
-    cut = docs.withColumn("_spans", spans(body))
-    parts = [F.struct(F.lit(label).alias("label"), F.lit(phrase).alias("phrase"), x.mention_positions(body, phrase).alias("starts"))
-             for label, phrase in patterns]
-    rows = cut.select(*key, "_spans", F.inline(F.array(*parts))).select(*key, "_spans", "label", "phrase", F.explode("starts").alias("start"))
-    end = F.col("start") + F.length("phrase")
+    """(key, label, phrase, start): mentions of user phrases that overlap no rule entity. ``patterns`` are (label, phrase)."""
+    spark = docs.sparkSession
+    found = phrase_mentions(spark, body, [phrase for _, phrase in patterns])
+    rows = docs.select(*key, body, found.alias("_found")).filter(F.size("_found") > 0).withColumn("_spans", spans(body))
+    rows = rows.select(*key, "_spans", F.inline("_found")).join(phrase_names(spark, patterns, "label string, text_ string"), "phrase")
+    end = F.col("start") + F.length("text_")
     clash = F.exists("_spans", lambda s: (F.col("start") < s["end"]) & (end > s["start"]))
-    return rows.filter(~clash).drop("_spans")
+    return rows.filter(~clash).select(*key, "label", F.col("text_").alias("phrase"), "start")
 
 
 def link_entities(entities: DataFrame, kb: DataFrame) -> DataFrame:

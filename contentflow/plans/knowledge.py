@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentflow.functions import text as x
+from contentflow.functions.mentions import phrase_mentions
 from contentflow.operators import knowledge as kn
 from contentflow.plans.registry import query
 from contentflow.plans.textstats import (ENT_SQL, LABEL_SQL, NEG, PHRASE_UNION, PHRASES_SQL, POS, STOP, phrase_union, sents_sql, tok_sql,
@@ -140,10 +141,8 @@ FROM (SELECT doc_id, text, unnest({starts_sql('apache license')}) AS hit FROM do
 UNION ALL SELECT doc_id, CAST(hit AS INTEGER), substring(text, CAST(greatest(0, hit-50)+1 AS BIGINT), CAST(least(length(text), hit+5+50)-greatest(0,hit-50) AS BIGINT))
 FROM (SELECT doc_id, text, unnest({starts_sql('idiot')}) AS hit FROM documents)""")
 def entity_mentions(t):
-    d = t.documents().select("doc_id", "text")
-    parts = [F.struct(F.lit(len(e)).alias("n"), x.mention_positions("text", e).alias("starts")) for e in ("Apache License", "idiot")]
-    rows = d.select("doc_id", "text", F.inline(F.array(*parts))).select("doc_id", "text", "n", F.explode("starts").alias("start"))
-    return rows.select("doc_id", "start", x.around("text", F.col("start"), F.col("start") + F.col("n")).alias("context"))
+    found = phrase_mentions(t.spark, "text", ["Apache License", "idiot"], 50)
+    return t.documents().select("doc_id", F.inline(found)).select("doc_id", "start", F.col("around").alias("context"))
 
 
 ASPECTS = {"motion": ["tion", "ering"], "place": ["onth", "inth"], "insult": ["stupid", "moron", "trash"]}

@@ -160,6 +160,17 @@ def test_tiles_of_hot_terms_lose_no_pair(spark):
     assert pairs[0] == pairs[1] and len(pairs[0]) == 60 * 59 // 2
 
 
+def test_a_common_rare_term_makes_few_candidates(spark):
+    """Texts that share one rare word and little else are no candidates; near copies among them are."""
+    texts = [f"shared {' '.join(f'own{i}x{j}' for j in range(8))}" for i in range(400)]
+    texts += [f"shared {' '.join(f'copy{i // 2}x{j}' for j in range(8))} tail{i}" for i in range(40)]
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "g int, d long, text string")
+    counts = similarity.term_counts(df, ["g"], "d", "text", ())
+    found = similarity.candidate_pairs(counts, ["g"], "d", 0.5).count()
+    results = similarity.similar_pairs(df, ["g"], "d").filter("kind = 'pair'").count()
+    assert results == 20 and found <= 10 * results
+
+
 @pytest.mark.parametrize("cap,block", [(None, 3), (4, 7), (None, 64)])
 def test_leader_clusters_follow_id_order(spark, cap, block, monkeypatch):
     import numpy as np

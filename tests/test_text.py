@@ -1,10 +1,13 @@
 """Text measures on the small cases with known results."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from contentflow.functions import rules
 from contentflow.functions import text as x
+from contentflow.functions.mentions import _automaton, phrase_mentions, running_sum, walk
 from contentflow.operators import knowledge, quality, summaries
 from contentflow.vocab import LANGUAGE_PROFILES
 
@@ -52,10 +55,33 @@ def test_language_and_labels(spark):
     assert one(spark, "Machine progress", x.relevance("text", F.lit("progress of the machine"))) == 1.0
 
 
+def test_mentions_follow_the_length_of_the_text():
+    """One walk: ten times the text with ten times the mentions takes about ten times as long, whatever the number of phrases."""
+    phrases = ["ab", *[f"word{i}" for i in range(20_000)]]
+    automaton = _automaton(phrases)
+
+    def took(n):
+        start = time.process_time()
+        found = walk(automaton, "ab " * n, "ab " * n, 50)
+        assert len(found) == n and found[-1][1] == 3 * (n - 1)
+        return time.process_time() - start
+
+    took(5_000)
+    assert took(50_000) < 40 * max(took(5_000), 0.004)
+
+
+def test_running_sums(spark):
+    assert spark.createDataFrame([([1, 0, 5],), ([],), (None,)], "v array<int>").select(running_sum("v")).collect() == [([1, 1, 6],), ([],), (None,)]
+
+
 def test_mentions(spark):
     text = "Apple met apple. Pineapple"
-    assert one(spark, text, x.mention_positions("text", "apple")) == [0, 10, 21]
-    assert one(spark, text, x.mention_positions("text", "pear")) == []
+    found = one(spark, text, phrase_mentions(spark, "text", ["apple", "pear", "APP", "ppl", ""], 2))
+    assert sorted(map(tuple, found)) == sorted(
+        [(0, s, text[max(0, s - 2): s + 7]) for s in (0, 10, 21)] + [(2, s, text[max(0, s - 2): s + 5]) for s in (0, 10, 21)]
+        + [(3, s, text[max(0, s - 2): s + 5]) for s in (1, 11, 22)])
+    assert one(spark, text, phrase_mentions(spark, "text", ["pear"])) == [] == one(spark, "", phrase_mentions(spark, "text", []))
+    assert one(spark, "aaaaa", F.transform(phrase_mentions(spark, "text", ["aa"]), lambda m: m["start"])) == [0, 2]
     custom = knowledge.with_custom_entities(spark.createDataFrame([(1, "we use apple inc and Apple Park daily")], "d long, text string"), [("ORG", "apple")], ["d"])
     assert [(r.label, r.start) for r in custom.collect()] == [("ORG", 7)]
     assert one(spark, "alpha beta", x.source_context(F.lit("beta"), "text")) == "alpha beta"
