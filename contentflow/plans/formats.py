@@ -12,32 +12,77 @@ from contentflow.plans.records import AS_OF, RAW_SQL, raw_items, stamp
 from contentflow.plans.registry import query
 from contentflow.sinks import writers
 from contentflow.sources import feeds, files
+from contentflow.session import shared_table
 from contentflow.sources.views import CONTENT_SQL, as_of
 
 
+ITEMS_PER_FEED = 5
+
+FEEDS_SQL = f"""
+w AS (SELECT doc_id, doc_id // {ITEMS_PER_FEED} AS feed, lang, source, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') AS w, date_trunc('second', ts) AS ts
+      FROM documents LEFT JOIN events ON event_id = doc_id),
+e AS (SELECT feed, doc_id, nullif(array_to_string(w[1:6], ' '), '') AS title, 'https://feeds.example/item/' || doc_id AS link,
+      CASE WHEN len(w) >= 30 THEN array_to_string(w[1:30], ' ') END AS summary, source = 'src9' AS bad, ts FROM w),
+x AS (SELECT feed, bool_or(bad) AS bad, arg_min(bad, doc_id) AS first_bad, sum((title IS NULL)::INT) AS untitled, sum((length(title) > 100)::INT) AS long_titles,
+      max(length(title)) AS longest, max(length(summary)) AS longest_summary, sum((summary IS NULL)::INT) AS bare, sum((length(summary) > 5000)::INT) AS long_summaries,
+      sum((bad OR ts IS NOT NULL)::INT) AS dated, sum(bad::INT) AS n_bad FROM e GROUP BY 1),
+h AS (SELECT w.feed AS doc_id, CASE lang WHEN 'en' THEN 'rss' WHEN 'de' THEN 'atom' WHEN 'fr' THEN 'json' END AS kind, nullif(array_to_string(w[1:4], ' '), '') AS title,
+      CASE WHEN source IN ('src3', 'src7') THEN 'feeds/' ELSE 'https://feeds.example/' END || w.feed AS link, CASE WHEN len(w) >= 12 THEN array_to_string(w[5:12], ' ') END AS description,
+      CASE WHEN lang = 'fr' THEN first_bad ELSE source = 'src5' END AS bad_date, w.ts, x.* EXCLUDE (feed)
+      FROM w JOIN x ON x.feed = w.feed WHERE w.doc_id = (SELECT min(doc_id) FROM w v WHERE v.feed = w.feed)),
+f AS (SELECT *, kind IS NOT NULL AND NOT (kind = 'rss' AND title IS NULL) AND NOT bad_date AND NOT bad AS is_valid FROM h)"""
+
+
 def feed_docs(t):
-    """One feed document per page: RSS, Atom, JSON Feed or the bare page."""
-    page, link = F.col("page_id").cast("string"), F.regexp_replace("url", "&", "&amp;")
-    day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    """A feed document for every five documents: titles, summaries and dates come from the documents and events, what is
+    missing or broken follows from them too. The language of the first one chooses RSS, Atom, JSON Feed or bare text."""
+    d = t.documents().select("doc_id", "lang", "source", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)).alias("w"))
+    d = d.withColumn("w", F.slice("w", 1, 30)).join(t.events().select(F.col("event_id").alias("doc_id"), "ts"), "doc_id", "left")
+
+    def words(a, b):
+        return F.nullif(F.array_join(F.slice("w", a, b - a + 1), " "), F.lit(""))
+
+    iso, rfc = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss '+0000'")
+    rows = d.select(
+        F.floor(F.col("doc_id") / ITEMS_PER_FEED).alias("feed"), F.struct(
+            "doc_id", "lang", "source", words(1, 6).alias("title"), words(1, 4).alias("head"), F.when(F.size("w") >= 12, words(5, 12)).alias("about"),
+            F.when(F.size("w") >= 30, words(1, 30)).alias("summary"), iso.alias("iso"), rfc.alias("rfc")).alias("e"))
+    feed = rows.groupBy("feed").agg(F.sort_array(F.collect_list("e")).alias("es")).withColumn("f", F.element_at("es", 1))
 
     def text(*parts):
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    rss = text("<rss><channel><title>Page ", page, "</title><link>", link, "</link><pubDate>Mon, ", day,
-               " Jan 2024 10:00:00 +0100</pubDate><item><title>A</title><link>", link, "</link></item><item><title>B</title><link>", link,
-               "</link><description>d</description></item></channel></rss>")
-    atom = text('<feed xmlns="http://www.w3.org/2005/Atom"><title>Page ', page, '</title><link href="', link, '"/><updated>2024-01-', day,
-                'T09:00:00Z</updated><entry><title>A</title><link href="', link, '"/><updated>2024-01-', day, 'T09:00:00Z</updated></entry></feed>')
-    js = text('{"version": "https://jsonfeed.org/version/1.1", "title": "Page ', page, '", "home_page_url": "', F.col("url"),
-              '", "items": [{"title": "A", "url": "x", "date_published": "2024-01-', day, 'T09:00:00Z"}]}')
-    kind = F.col("page_id") % 4
-    return t.pages().select(F.col("page_id").alias("doc_id"), F.when(kind == 0, rss).when(kind == 1, atom).when(kind == 2, js).otherwise(F.col("html")).alias("doc"))
-
-
-@query("A10_feed_documents", """
-SELECT page_id AS doc_id, CASE page_id % 4 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' WHEN 2 THEN 'json' ELSE '-' END AS feed_type, page_id % 4 < 3 AS is_valid,
- CASE WHEN page_id % 4 < 3 THEN 'Page ' || page_id ELSE '-' END AS title, CASE WHEN page_id % 4 < 3 THEN url ELSE '-' END AS link,
- CASE WHEN page_id % 4 < 3 THEN '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || ' 09:00:00' ELSE '-' END AS updated FROM pages""")
+    def tag(name, value):
+        return F.when(value.isNotNull(), text(f"<{name}>", value, f"</{name}>")).otherwise("")
+
+    def pair(name, value):
+        return F.when(value.isNotNull(), text(f'"{name}": "', value, '"'))
+
+    def joined(*parts):
+        return F.array_join(F.array_compact(F.array(*parts)), ", ")
+
+    f, number = F.col("f"), F.col("feed").cast("string")
+    link = F.when(f["source"].isin("src3", "src7"), text("feeds/", number)).otherwise(text("https://feeds.example/", number))
+    item = lambda e: text("https://feeds.example/item/", e["doc_id"].cast("string"))
+    day = lambda e, form, wrong: F.when(e["source"] == wrong, "some day").otherwise(e[form])
+    rss = text("<rss><channel>", tag("title", f["head"]), tag("link", link), tag("description", f["about"]), tag("pubDate", day(f, "rfc", "src5")), F.array_join(
+        F.transform("es", lambda e: text("<item>", tag("title", e["title"]), tag("link", item(e)), tag("description", e["summary"]), tag("pubDate", day(e, "rfc", "src9")), "</item>")), ""),
+        "</channel></rss>")
+    atom = text('<feed xmlns="http://www.w3.org/2005/Atom">', tag("title", f["head"]), '<link href="', link, '"/>', tag("updated", day(f, "iso", "src5")), F.array_join(
+        F.transform("es", lambda e: text("<entry>", tag("title", e["title"]), '<link href="', item(e), '"/>', tag("summary", e["summary"]), tag("updated", day(e, "iso", "src9")), "</entry>")), ""),
+        "</feed>")
+    js = text("{", joined(F.lit('"version": "https://jsonfeed.org/version/1.1"'), pair("title", f["head"]), pair("home_page_url", link)), ', "items": [', F.array_join(
+        F.transform("es", lambda e: text("{", joined(pair("title", e["title"]), pair("url", item(e)), pair("content_text", e["summary"]), pair("date_published", day(e, "iso", "src9"))), "}")), ", "),
+        "]}")
+    bare = F.coalesce(f["summary"], F.lit(""))
+    kind = f["lang"]
+    docs = feed.select(F.col("feed").alias("doc_id"), F.when(kind == "en", rss).when(kind == "de", atom).when(kind == "fr", js).otherwise(bare).alias("doc"))
+    return shared_table(docs, "feed-documents")[0]  # landed once, as feeds are
+
+
+@query("A10_feed_documents", "WITH" + FEEDS_SQL + """
+SELECT doc_id, coalesce(kind, '-') AS feed_type, is_valid, CASE WHEN kind IS NULL THEN '-' ELSE coalesce(title, '-') END AS title, CASE WHEN kind IS NULL THEN '-' ELSE link END AS link,
+ CASE WHEN kind IS NULL OR bad_date THEN '-' ELSE coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '-') END AS updated FROM f""")
 def feed_documents(t):
     f = F.col("feed")
     dash = lambda c: F.coalesce(c, F.lit("-"))
@@ -45,47 +90,75 @@ def feed_documents(t):
                                                   dash(f["link"]).alias("link"), dash(stamp(f["updated"])).alias("updated"))
 
 
-ENTRY_SQL = "SELECT page_id AS doc_id, e AS title, CASE WHEN page_id % 4 = 2 THEN 'x' ELSE url END AS link, {kind} AS feed_type FROM pages, (SELECT unnest({names}) AS e) WHERE page_id % 4 = {m}"
+ENTRY_SQL = "WITH" + FEEDS_SQL + """
+SELECT f.doc_id, e.title, e.link, e.summary, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS updated, kind AS feed_type FROM f JOIN e ON e.feed = f.doc_id WHERE is_valid AND kind = '{kind}'"""
 
 
 def entries_of(t, kind):
-    return feeds.feed_entries(feeds.parse_feeds(feed_docs(t))).filter(F.col("feed_type") == kind).select("doc_id", "title", "link", "feed_type")
+    parsed = feeds.parse_feeds(feed_docs(t))
+    rows = feeds.feed_entries(parsed.withColumn("is_valid", F.col("is_valid") & (F.col("feed_type") == kind)))
+    return rows.select("doc_id", "title", "link", "summary", stamp("updated").alias("updated"), "feed_type")
 
 
-@query("A7_rss_entries", ENTRY_SQL.format(kind="'rss'", names="['A','B']", m=0))
+@query("A7_rss_entries", ENTRY_SQL.format(kind="rss"))
 def rss_entries(t):
     return entries_of(t, "rss")
 
 
-@query("A8_atom_entries", ENTRY_SQL.format(kind="'atom'", names="['A']", m=1))
+@query("A8_atom_entries", ENTRY_SQL.format(kind="atom"))
 def atom_entries(t):
     return entries_of(t, "atom")
 
 
-@query("A9_json_feed_entries", ENTRY_SQL.format(kind="'json'", names="['A']", m=2))
+@query("A9_json_feed_entries", ENTRY_SQL.format(kind="json"))
 def json_feed_entries(t):
     return entries_of(t, "json")
 
 
-@query("D3_header_fields", """
-SELECT page_id AS doc_id, CASE page_id % 4 WHEN 0 THEN 'description' WHEN 1 THEN 'id' ELSE '' END AS missing FROM pages""")
+@query("D3_header_fields", "WITH" + FEEDS_SQL + """
+SELECT doc_id, CASE kind WHEN 'rss' THEN concat_ws(',', CASE WHEN title IS NULL THEN 'title' END, CASE WHEN description IS NULL THEN 'description' END)
+ WHEN 'atom' THEN concat_ws(',', CASE WHEN title IS NULL THEN 'title' END, 'id', CASE WHEN ts IS NULL AND NOT bad_date THEN 'updated' END)
+ WHEN 'json' THEN CASE WHEN title IS NULL THEN 'title' ELSE '' END ELSE '' END AS missing FROM f""")
 def header_fields(t):
     return feeds.header_errors(feeds.parse_feeds(feed_docs(t))).select("doc_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query("D12_entry_checks", """
-SELECT page_id AS doc_id, CAST(CASE page_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS n_errors FROM pages""")
+@query("D12_entry_checks", "WITH" + FEEDS_SQL + """
+SELECT doc_id, CAST(CASE WHEN kind IS NULL THEN 1 ELSE (title IS NULL)::INT + CASE WHEN kind = 'rss' THEN (description IS NULL)::INT ELSE 1 END
+ + untitled + coalesce(long_titles, 0) + bare + coalesce(long_summaries, 0) + CASE WHEN kind = 'rss' THEN dated ELSE n_bad END END AS BIGINT) AS n_errors FROM f""")
 def entry_checks(t):
-    """RSS: no header description and one entry without; Atom and JSON: both missing; bare page: unreadable."""
+    """Header fields, then titles, descriptions and dates of all entries; a bare text is unreadable."""
     return feeds.entry_errors(feeds.parse_feeds(feed_docs(t)), as_of()).select("doc_id", F.size("errors").cast("bigint").alias("n_errors"))
 
 
-@query("D24_worst_error_class", """
-SELECT page_id AS doc_id, CASE page_id % 4 WHEN 3 THEN 'critical' WHEN 2 THEN 'format' ELSE '-' END AS worst FROM pages""")
+@query("D24_worst_error_class", "WITH" + FEEDS_SQL + """
+SELECT doc_id, CASE WHEN kind IS NULL THEN 'critical' WHEN title IS NULL THEN 'validation' WHEN bad_date OR bad OR link LIKE 'feeds/%' THEN 'format' ELSE '-' END AS worst FROM f""")
 def worst_error_class(t):
     return feeds.document_errors(feeds.parse_feeds(feed_docs(t))).select("doc_id", F.coalesce("worst", F.lit("-")).alias("worst"))
 
 
+@query("D23_strict_feeds", "WITH" + FEEDS_SQL + """
+SELECT doc_id, CASE WHEN kind IS NULL THEN 'critical' WHEN title IS NULL OR length(title) > 200 OR longest > 200 OR longest_summary > 5000 OR (kind = 'rss' AND description IS NULL) THEN 'validation'
+ WHEN bad_date OR bad OR link LIKE 'feeds/%' THEN 'format' ELSE '-' END AS worst FROM f""")
+def strict_feeds(t):
+    found = feeds.document_errors(feeds.parse_feeds(feed_docs(t)), strict=True)
+    return found.select("doc_id", F.coalesce("worst", F.lit("-")).alias("worst"))
+
+
+@query("D23_strict_decoding", """
+WITH p AS (SELECT page_id, html, octet_length(encode(html)) AS n, octet_length(encode(html)) // 2 AS k FROM pages),
+c AS (SELECT page_id, n, k, len(list_filter(range(1, length(html) + 1), lambda i: octet_length(encode(substr(html, 1, i))) <= k)) AS whole, html FROM p)
+SELECT page_id, page_id % 3 = 0 AS is_valid, CASE WHEN page_id % 3 > 0 THEN CAST(octet_length(encode(substr(html, 1, whole))) AS BIGINT) END AS error_at,
+ CASE WHEN page_id % 3 = 0 THEN length(html) END AS n_chars FROM c""")
+def strict_decoding(t):
+    """Pages as bytes, two of three with a byte in the middle that no UTF-8 text has; it may cut a character in two."""
+    raw = F.col("html").cast("binary")
+    half = F.floor(F.octet_length(raw) / 2).cast("int")
+    broken = F.concat(F.substring(raw, F.lit(1), half), F.unhex(F.lit("FF")), F.substring(raw, half + 1, F.octet_length(raw)))
+    docs = t.pages().select("page_id", F.when(F.col("page_id") % 3 == 0, raw).otherwise(broken).alias("content"))
+    return feeds.decoded(docs, "content").select("page_id", F.col("error_at").isNull().alias("is_valid"), "error_at", F.length("doc").cast("bigint").alias("n_chars"))
+
+
 @query("A11_pushed_items", """
 SELECT event_id, CASE event_type WHEN 'error' THEN 'unknown' WHEN 'click' THEN 'unknown' ELSE CAST(event_id AS VARCHAR) END AS id,
  CASE event_type WHEN 'error' THEN 'No data provided' WHEN 'click' THEN 'Invalid JSON' ELSE '' END AS errors FROM events""")

@@ -6,8 +6,10 @@ schema, unify. Broken documents become rows with an error, never a failed job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from contentflow import schemas
 from contentflow.functions import checks
@@ -34,6 +36,50 @@ def feed_format_strict(doc) -> Column:
             .when(version.startswith(JSON_PREFIX), "json"))
 
 
+def binary_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, doc, error_at) of landed files whose encoding is not to be guessed: ``doc_id`` is the file's path."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
+    return decoded(files, "content")
+
+
+def decoded(docs: DataFrame, raw: str) -> DataFrame:
+    """Replaces the binary column ``raw`` by ``doc``, its strict UTF-8 text, and ``error_at``, the offset of the first byte that
+    isn't part of one; a broken document is a row without ``doc``. Whole documents are decoded by the engine, only broken
+    ones are looked at again."""
+    @F.pandas_udf(LongType())
+    def first_error(content: pd.Series) -> pd.Series:
+        def at(value):
+            try:
+                value.decode("utf-8")
+            except UnicodeDecodeError as fault:
+                return fault.start
+            return None
+
+        return content.map(at, na_action="ignore").astype("Int64")
+
+    kept = [c for c in docs.columns if c not in (raw, "doc", "error_at")]
+    text = F.try_validate_utf8(F.col(raw).cast("string"))
+    rows = docs.select(*kept, F.col(raw).alias("_raw"), text.alias("doc"))
+    broken = F.when(F.col("doc").isNull(), F.col("_raw"))
+    return rows.select(*kept, "doc", first_error(broken).alias("error_at"))
+
+
+def landed_entries(spark: SparkSession, path: str, kind: str = "rss") -> DataFrame:
+    """Entries of landed RSS or Atom files, one row each: the scan streams them out of a file, so no task holds a whole feed.
+
+    Columns as in :func:`feed_entries` without the feed's title; ``error`` marks an entry that isn't XML of the declared form.
+    Prefixes of names are ignored."""
+    tag, part = ("item", "channel.item") if kind == "rss" else ("entry", "entry")
+    fields = spark.createDataFrame([], schemas.RSS if kind == "rss" else schemas.ATOM).select(F.explode(part).alias("e")).select("e.*").schema
+    rows = spark.read.format("xml").options(**XML_OPTIONS).option("rowTag", tag).schema(fields.add("_bad", "string")).load(path)
+    none, no_list = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    c = F.col
+    entry = (_entry(c("title"), c("link"), c("description"), F.coalesce("pubDate", "published"), c("guid"), c("image"), c("category")) if kind == "rss"
+             else _entry(c("title"), c("link._href"), c("summary"), c("updated"), c("id"), none, no_list))
+    return rows.select(F.input_file_name().alias("doc_id"), F.lit(kind).alias("feed_type"), F.when(c("_bad").isNotNull(), "Malformed entry").alias("error"), entry.alias("e")).select(
+        "doc_id", "feed_type", "error", "e.*")
+
+
 def _entry(title, link, summary, updated, guid, image, categories) -> Column:
     return F.struct(
         title.alias("title"), link.alias("link"), summary.alias("summary"), updated.alias("updated_text"),
@@ -84,8 +130,8 @@ def parse_feeds(docs: DataFrame, doc: str = "doc", strict_sniff: bool = False) -
 
 
 def feed_entries(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per entry of the valid documents."""
-    return parsed.filter("is_valid").select(key, "feed_type", F.col("feed.title").alias("feed_title"), F.inline("feed.entries"))
+    """One row per entry of the valid documents. Not a filter: that would be pushed below the parser and parse twice."""
+    return parsed.select(key, "feed_type", F.col("feed.title").alias("feed_title"), F.inline(F.when(F.col("is_valid"), F.col("feed.entries"))))
 
 
 def header_errors(parsed: DataFrame) -> DataFrame:

@@ -205,3 +205,24 @@ def test_sinks(spark, tmp_path):
     writers.append_errors(errs, str(tmp_path / "log"))
     writers.append_errors(errs, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_strict_decoding_names_the_first_wrong_byte(spark, tmp_path):
+    cases = {"a.xml": ("<a>é</a>".encode(), None), "b.xml": (b"\xffab", 0), "c.xml": ("né".encode()[:-1], 1), "d.xml": ("ok é".encode("latin-1"), 3)}
+    for name, (raw, _) in cases.items():
+        (tmp_path / name).write_bytes(raw)
+    rows = {r["doc_id"].rsplit("/", 1)[1]: (r["doc"], r["error_at"]) for r in feeds.binary_feeds(spark, str(tmp_path)).collect()}
+    assert rows == {n: (raw.decode() if at is None else None, at) for n, (raw, at) in cases.items()}
+
+
+def test_landed_feeds_give_a_row_for_each_entry(spark, tmp_path):
+    item = '<item><title>T{0}</title><link>https://x.y/{0}</link><pubDate>Mon, 01 Jan 2024 10:00:00 +0100</pubDate><category>a</category><category>b</category></item>'
+    items = [item.format(i) for i in range(3000)]
+    (tmp_path / "big.xml").write_text("<rss xmlns:m='urn:m'><channel><title>C</title>" + "".join(items) + "<item><title>broken</item></channel></rss>")
+    rows = feeds.landed_entries(spark, str(tmp_path / "big.xml")).collect()
+    good = [r for r in rows if r["error"] is None]
+    assert sorted(r["title"] for r in good) == sorted(f"T{i}" for i in range(3000)) and [r["error"] for r in rows if r["error"]] == ["Malformed entry"]
+    assert {(str(r["updated"]), tuple(r["categories"])) for r in good} == {("2024-01-01 09:00:00", ("a", "b"))}
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:t="urn:t"><title>C</title><t:entry><title>no</title></t:entry><entry><title>A</title><link href="u"/><updated>2024-01-02T00:00:00Z</updated></entry></feed>'
+    (tmp_path / "atom.xml").write_text(atom)
+    assert [(r["title"], r["link"], str(r["updated"])) for r in feeds.landed_entries(spark, str(tmp_path / "atom.xml"), "atom").collect()] == [("no", None, "None"), ("A", "u", "2024-01-02 00:00:00")]  # prefixes are ignored
