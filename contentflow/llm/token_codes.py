@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,34 +116,47 @@ class CodeFile:
 
 # ---- tokens --------------------------------------------------------------------------------
 
-WORDS_KEPT = 400_000  # distinct pre-tokens whose ids a worker remembers
+WORDS_KEPT = 400_000  # distinct pre-tokens whose ids a worker remembers; those of one piece of text may come on top
+TEXT_BYTES = 4 << 20  # text whose pre-tokens are made distinct at a time
 _tokenizers: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write the 256 bytes with. Printable bytes stand for themselves,
+    all others for the letters from 256 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+LETTERS = _byte_letters()
+
+
 def _tokenizer(definition: str):
     key = zlib.crc32(definition.encode())
     if key not in _tokenizers:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         model = Tokenizer.from_str(definition)
-        model.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[key] = (model, {})
+        if model.normalizer is not None or not isinstance(model.pre_tokenizer, pre_tokenizers.ByteLevel) or not isinstance(model.model, models.BPE):
+            raise ValueError("not a byte-level BPE tokenizer")
+        _tokenizers[key] = (model.model, {})
     return _tokenizers[key]
 
 
 def encode_words(words: list[bytes], definition: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pre-tokens end to end, and how many each has. A pre-token is encoded once while remembered."""
+    """Ids of the pre-tokens end to end, and how many each has. A pre-token is merged by the tokenizer's model once while
+    remembered; strings of special tokens never reach it whole, so they are ordinary text."""
     model, known = _tokenizer(definition)
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > WORDS_KEPT:
+    if len(known) >= WORDS_KEPT:
         known.clear()
-        new = words
-    for at in range(0, len(new), 20_000):
-        part = new[at: at + 20_000]
-        for w, e in zip(part, model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32)
-    found = [known[w] for w in words]
-    return np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(f) for f in found], np.int64)
+    found = []
+    for w in words:
+        ids = known.get(w)
+        if ids is None:
+            ids = known[w] = array("I", [t.id for t in model.tokenize(w.decode("latin-1").translate(LETTERS))]).tobytes()
+        found.append(ids)
+    return np.frombuffer(b"".join(found), np.uint32), np.array([len(f) >> 2 for f in found], np.int64)
 
 
 def encode_texts(texts: pa.Array, definition: str) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +201,7 @@ def write_codes(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
             return pa.record_batch({"range": pa.array([now], pa.int32()), "part": pa.array([part], pa.int32()), "file": [name],
                                     "docs": [len(doc_ids)], "tokens": [len(tokens)]})
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TEXT_BYTES):
             numbers = batch.column("range").to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
             for a, b in zip(edges[:-1], edges[1:]):
