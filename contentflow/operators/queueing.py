@@ -18,10 +18,17 @@ def keep_within_capacity(arrivals: DataFrame, capacity: int, rank: str = "rank",
                          arrival: list[str] | None = None) -> DataFrame:
     """Every arrival with ``kept``: a full queue evicts the newest row of the lowest
     level below the newcomer, else refuses the newcomer. For arrivals alone the
-    survivors are the first ``capacity`` rows by priority, then arrival."""
-    arrival = arrival or ["published", "id"]
-    placed = numbered(arrivals.withColumn("_down", -F.col(rank)), ["_down", *arrival], out="_place")
-    return placed.withColumn("kept", F.col("_place") <= capacity).drop("_down", "_place")
+    survivors are the first ``capacity`` rows by priority, then arrival.
+
+    Each task sends at most ``capacity`` rows for the last place of the queue, and every arrival is compared with that
+    place; nothing is sorted or numbered as a whole. ``arrival`` must tell rows apart: rows that share a place are kept
+    or refused together."""
+    place = F.struct((-F.col(rank)).alias("_down"), *[F.col(a) for a in arrival or ["published", "id"]])
+    if capacity <= 0:
+        return arrivals.withColumn("kept", F.lit(False))
+    queue = arrivals.select(place.alias("_place")).orderBy("_place").limit(capacity)
+    last = queue.agg(F.max("_place").alias("_last")).scalar()
+    return arrivals.withColumn("kept", F.coalesce(place <= last, F.lit(False)))
 
 
 def overflow_counts(arrivals: DataFrame, by: list[str], capacity: int) -> DataFrame:

@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentflow.operators.ordering import carry_max, with_previous
+from contentflow.operators.ordering import carry_max, in_ranges, with_previous
 from contentflow.session import cut_lineage
 
 MICROS = 1_000_000
@@ -62,11 +62,7 @@ def accept_spaced(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds
     pointers, marked by doubling. No piece is stepped through row by row."""
     gap = gap_seconds * MICROS
     far = (lambda d: d > gap) if strict else (lambda d: d >= gap)
-    prev = with_previous(df, keys, ts, tie, "_prev")
-    opens = F.col("_prev").isNull() | far(_micros(ts) - _micros("_prev"))
-    # only the first of several rows with the same time opens the piece
-    pieces = carry_max(prev.withColumn("_opens", opens), keys, ts, tie, F.when(F.col("_opens"), F.col(ts)), "_start", True)
-    pieces = cut_lineage(pieces.drop("_prev"))
+    pieces = cut_lineage(_pieces(df, keys, ts, tie, far))
     later = far(_micros(ts) - _micros("_start"))
     settled = F.col("_opens") | ~later
     open_pieces = pieces.filter(~settled).select(*keys, "_start").distinct()
@@ -75,12 +71,33 @@ def accept_spaced(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds
     return done.unionByName(chained.filter(~settled).select(*df.columns, "accepted"))
 
 
+def _pieces(df: DataFrame, keys: list[str], ts: str, tie: str, far: Callable) -> DataFrame:
+    """Adds ``_opens`` (far from the row before) and ``_start``, the time of the latest opening row of the key.
+
+    The rows are dealt into ranges once. A part (the rows of a key in one range) is settled by itself up to its first
+    row, whose neighbour lies in an earlier range; one row for each part carries the last time and the last opening over."""
+    cut = in_ranges(df, [*keys, ts, tie])
+    keyed = [*keys, "_range"]
+    inside = Window.partitionBy(*keyed).orderBy("_row")
+    near = cut.withColumn("_before", F.lag(ts).over(inside))
+    near = near.withColumn("_here", F.when(far(_micros(ts) - _micros("_before")), F.col(ts)))
+    near = near.withColumn("_latest", F.max("_here").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = near.groupBy(*keyed).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.max("_here").alias("_open"))
+    along = Window.partitionBy(*keys).orderBy("_range")
+    parts = parts.withColumn("_past", F.lag("_last").over(along))
+    parts = parts.withColumn("_new", F.col("_past").isNull() | far(_micros("_first") - _micros("_past")))
+    started = F.coalesce("_open", F.when(F.col("_new"), F.col("_first")))
+    parts = parts.withColumn("_carried", F.max(started).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    heads = parts.select(*keyed, "_new", F.when(F.col("_new"), F.col("_first")).otherwise(F.col("_carried")).alias("_head"))
+    return near.join(heads, keyed).select(
+        *df.columns, F.when(F.col("_before").isNull(), F.col("_new")).otherwise(F.col("_here").isNotNull()).alias("_opens"),
+        F.coalesce("_latest", "_head").alias("_start"))
+
+
 def _chain_spaced(rows: DataFrame, keys: list[str], ts: str, tie: str, gap: int, strict: bool) -> DataFrame:
     """Accepted rows are the path start -> next -> next ... where next is the first time far
     enough away. The pointers are found per time cell and the path is marked by doubling:
     about log2(path length) rounds of equi-joins, each cut by a checkpoint."""
-    from pyspark.sql import Window
-
     key = [*keys, "_start"]
     times = rows.select(*key, _micros(ts).alias("t")).distinct()
     shift = gap + (1 if strict else 0)  # the next row lies at t + shift or later
