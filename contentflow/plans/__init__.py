@@ -4,7 +4,7 @@ from importlib import import_module
 from importlib.util import find_spec
 
 FAMILIES = ["records", "validation", "storage", "queueing", "metrics", "textstats", "corpus", "knowledge",
-            "topics", "state", "formats"]
+            "topics", "state", "formats", "landed"]
 
 
 def load():

@@ -69,3 +69,18 @@ def shared_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def landed_json(df: DataFrame, name: str, by: list[str] | None = None) -> str:
+    """``df`` written as JSON lines under a new name in the shared folder, as a landing job would leave it; ``by`` makes folders."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.json(path)
+    return path
+
+
+def landed_text(df: DataFrame, name: str) -> str:
+    """The lines of a frame with one text column, written as they are."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.text(path)
+    return path

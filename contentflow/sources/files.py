@@ -28,8 +28,9 @@ def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = Tru
     return or_empty(spark, lambda: spark.read.schema(schema).option("multiLine", multiline).json(path), schema)
 
 
-def reading_list_pages(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, schemas.READING_LIST)
+def reading_list_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Landed pages: a file each, or a line each (``multiline=False``), which lets a large file be split."""
+    return read_json(spark, path, schemas.READING_LIST, multiline)
 
 
 def chained_pages(pages: DataFrame, first_token: str = "") -> DataFrame:
@@ -56,9 +57,9 @@ def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return checks.split_valid(page_items(chained_pages(reading_list_pages(spark, path))))
 
 
-def subscriptions(spark: SparkSession, path: str) -> DataFrame:
+def subscriptions(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Rows of ``subscriptions[]``; anything that is not such a document gives none."""
-    raw = read_json(spark, path, schemas.SUBSCRIPTIONS)
+    raw = read_json(spark, path, schemas.SUBSCRIPTIONS, multiline)
     return raw.select(F.explode("subscriptions").alias("s")).select("s.*")
 
 
@@ -78,9 +79,18 @@ def document_named(spark: SparkSession, root: str, name: str, schema: str) -> Da
     return read_json(spark, f"{root}/name={name}", schema)
 
 
-def feed_registry(spark: SparkSession, path: str) -> DataFrame:
+def documents_named(spark: SparkSession, root: str, names: DataFrame, schema: str) -> DataFrame:
+    """The stored JSON documents (a line each) below ``root/name=<name>`` whose name is in ``names(name)``.
+
+    A filtered ``names`` is known before the scan starts, so only its folders are listed and read (dynamic partition
+    pruning). A name without a folder gives no rows, nor does a missing root; a null name is in no folder."""
+    stored = read_json(spark, root, f"{schema}, name STRING", multiline=False)
+    return stored.join(names.select("name"), "name", "left_semi")
+
+
+def feed_registry(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """(url, name, content_type, intervals, cap): one row per configured feed."""
-    conf = read_json(spark, path, schemas.FEED_CONFIG)
+    conf = read_json(spark, path, schemas.FEED_CONFIG, multiline)
     return conf.select(
         F.explode("feeds").alias("f"),
         F.coalesce("fetch_interval_seconds", F.lit(300)).alias("fetch_interval_seconds"),

@@ -207,6 +207,18 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
 
 
+def test_stored_documents_are_pruned_by_names_from_a_table(spark, tmp_path):
+    root = str(tmp_path / "stored")
+    spark.createDataFrame([(i, f"n{i % 5}") for i in range(50)], "v bigint, name string").write.partitionBy("name").json(root)
+    spark.createDataFrame([("n1", True), ("n3", False), ("lost", True), (None, True)], "name string, wanted boolean").write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names")).filter("wanted")
+    got = files.documents_named(spark, root, names, "v BIGINT")
+    assert sorted(r.v for r in got.collect()) == list(range(1, 50, 5))
+    plan = got._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert files.documents_named(spark, str(tmp_path / "none"), names, "v BIGINT").count() == 0
+
+
 def test_strict_decoding_names_the_first_wrong_byte(spark, tmp_path):
     cases = {"a.xml": ("<a>é</a>".encode(), None), "b.xml": (b"\xffab", 0), "c.xml": ("né".encode()[:-1], 1), "d.xml": ("ok é".encode("latin-1"), 3)}
     for name, (raw, _) in cases.items():
