@@ -210,8 +210,8 @@ def test_sinks(spark, tmp_path):
 def test_stored_documents_are_pruned_by_names_from_a_table(spark, tmp_path):
     root = str(tmp_path / "stored")
     spark.createDataFrame([(i, f"n{i % 5}") for i in range(50)], "v bigint, name string").write.partitionBy("name").json(root)
-    spark.createDataFrame([("n1", True), ("n3", False), ("lost", True), (None, True)], "name string, wanted boolean").write.parquet(str(tmp_path / "names"))
-    names = spark.read.parquet(str(tmp_path / "names")).filter("wanted")
+    spark.createDataFrame([("n1", 1), ("n3", 2), ("lost", 1), (None, 1)], "name string, kind int").write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names")).filter("kind = 1")
     got = files.documents_named(spark, root, names, "v BIGINT")
     assert sorted(r.v for r in got.collect()) == list(range(1, 50, 5))
     plan = got._jdf.queryExecution().toString()
