@@ -4,7 +4,7 @@ History is a set of distinct digests, each with the locator of its winner. It is
 digest; a shard holds a minimal perfect hash (levels of collision-free bits, the slot is the rank of the bit),
 and each slot holds the full digest and the winner's locator. A digest is looked up in its shard and counts as
 known only if all 32 bytes of the slot are equal, as any other digest may also land in a slot. What isn't known
-forms groups of its own.
+forms groups of its own. A row of a known digest gets its winner from the slot and nowhere else.
 
 Rows are combined to one per digest before they are sent to the shards, so copies never meet in one task; the
 way back to the rows broadcasts the few hot digests. Shards grow in number with the history, not in size.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentflow.llm.common import ROW_KEY, join_by_count, mix, read, save
@@ -47,6 +47,14 @@ def one_per_digest(rows: DataFrame) -> DataFrame:
         "digest", "n", F.col("w.id").alias("id"), F.col("w.uid").alias("uid"))
 
 
+def to_look_up(rows: DataFrame, later: Column) -> DataFrame:
+    """(digest, n, id, uid): all rows of each digest are counted, but the winner is sought among the later rows only and
+    counts only if history doesn't know the digest; uid is -1 where no later row has it."""
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
+    return rows.groupBy("digest").agg(F.min(F.when(later, place)).alias("w"), F.count(F.lit(1)).alias("n")).select(
+        "digest", "n", F.col("w.id").alias("id"), F.coalesce("w.uid", F.lit(-1).cast("bigint")).alias("uid"))
+
+
 # ---- minimal perfect hash ------------------------------------------------------------------
 
 
@@ -146,18 +154,20 @@ def look_up(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document, in the order of arrival that the ids give.
 
-    The lower half of the ids is the history; its distinct digests are indexed, and the groups of all rows are
-    looked up. Columns: id, uid, digest, keep_id, keep_uid, group_size, member (its winner came from the index).
+    The lower half of the ids is the history; its distinct digests are indexed with their winners, and the digests of
+    all rows are looked up. Members of the index take the winner of their slot; of nonmembers the first later row stays.
+    Columns: id, uid, digest, keep_id, keep_uid, group_size, member (its winner came from the index).
 
     Null text counts as empty, empty texts are one group. A null id comes after all others. Rows that repeat an
     id and a text are ties: one of them stays. An empty table gives no rows. Other columns are not read."""
     rows = digest_rows(docs, id_col, text_col)
     seen = rows.agg(F.percentile_approx("id", 0.5).alias("half"), F.count(F.lit(1)).alias("n")).first()
-    history = one_per_digest(rows.filter(F.col("id") <= F.lit(seen["half"]).cast("bigint")))
+    early = F.coalesce(F.col("id") <= F.lit(seen["half"]).cast("bigint"), F.lit(False))
+    history = one_per_digest(rows.filter(early))
     spark = docs.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen["n"] // SHARD_DIGESTS))
     index = build_index(history, shards)
-    groups = save(look_up(one_per_digest(rows), index, shards), "digest-groups").select(
+    groups = save(look_up(to_look_up(rows, ~early), index, shards), "digest-groups").select(
         "digest", "member", F.col("n").alias("group_size"), F.col("id").alias("keep_id"), F.col("uid").alias("keep_uid"))
     return join_by_count(rows, groups, "digest", "group_size", seen["n"])
 

@@ -146,6 +146,14 @@ def test_history_lookup_checks_whole_digests(spark):
     assert {bytes(r.digest): (r.member, r.id) for r in got} == {d: (i < 1300, i - 1000 if i < 1300 else i) for d, _, i, _ in asked}
 
 
+def test_winners_of_known_digests_come_from_the_index(spark, monkeypatch):
+    texts, ids = ["a", "a", "b", "c", "c", "b", "d"], [1, 2, 3, 4, 11, 12, 13]
+    build = exact_dedup.build_index
+    monkeypatch.setattr(exact_dedup, "build_index", lambda history, shards: build(history.withColumn("id", F.col("id") + 1000), shards))
+    got = {r.id: (r.keep_id, r.group_size, r.member) for r in exact_dedup.dedup(docs_frame(spark, texts, ids)).collect()}
+    assert got == {1: (1001, 2, True), 2: (1001, 2, True), 3: (1003, 2, True), 12: (1003, 2, True), 4: (1004, 2, True), 11: (1004, 2, True), 13: (13, 1, False)}
+
+
 # ---- sharding ----------------------------------------------------------------------------------
 
 
