@@ -9,32 +9,49 @@ keeps a hot group from travelling whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from contentflow.functions import text as x
 from contentflow.operators.ordering import top_per_key
 from contentflow.operators.quality import content_words
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def mean_frequencies(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """For the words of each sentence of a text, how often they occur in the text on average (no words: 0)."""
+    for texts in parts:
+        sentences = texts.flatten()
+        words = sentences.flatten()
+        per_text = np.asarray(pc.fill_null(pc.list_value_length(texts), 0), np.int64)
+        per_sentence = np.asarray(pc.list_value_length(sentences), np.int64)
+        text_of = np.repeat(np.repeat(np.arange(len(texts)), per_text), per_sentence)
+        code = np.asarray(words.dictionary_encode().indices, np.int64)
+        _, place, seen = np.unique(text_of * (len(words) + 1) + code, return_inverse=True, return_counts=True)
+        total = np.append(0, np.cumsum(seen[place]))
+        stop = np.cumsum(per_sentence)
+        mean = (total[stop] - total[stop - per_sentence]) / np.maximum(per_sentence, 1)
+        yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)), pa.int32()), pa.array(mean, pa.float64()))
+
+
 def sentence_scores(docs: DataFrame, key: list[str], body: str = "text") -> DataFrame:
-    """(key, _s): the sentences of each text as array<struct<pos, sentence, n_words, score>>; a key is one text.
-
-    The texts are hashed by key once; every later step groups by the key or more, so no
-    exploded token is ever shuffled, and the ranking itself happens inside the row."""
-    placed = docs.select(*key, body).repartition(*key)
-    cut = F.transform(x.sentences(body), lambda s: content_words(x.tokens(s)))
-    terms = (placed.select(*key, F.posexplode(cut).alias("pos", "_t"))
-             .select(*key, "pos", F.explode_outer("_t").alias("term")))
-    per = terms.groupBy(*key, "pos", "term").agg(F.count("term").alias("c"))
-    tf = per.withColumn("tf", F.sum("c").over(Window.partitionBy(*key, "term")))
-    scores = tf.groupBy(*key, "pos").agg(x.ratio(F.sum(F.col("c") * F.col("tf")), F.sum("c")).alias("score"))
-    arrays = scores.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "score"))).alias("_p"))
-    whole = F.zip_with(x.sentences(body), "_p", lambda s, p: F.struct(
-        p["pos"].alias("pos"), s.alias("sentence"), x.word_count(s).alias("n_words"), p["score"].alias("score")))
-    return placed.join(arrays, key).select(*key, whole.alias("_s"))
+    """(key, _s): the sentences of each text as array<struct<pos, sentence, n_words, score>>; a row is one text.
+
+    Words are counted inside the row, so nothing is shuffled. Texts without a sentence (null, empty, only marks) are left out."""
+    cut = docs.select(*key, x.sentences(body).alias("_k"))
+    # not deterministic for the optimiser: the filter below would else be pushed through and count all words once more
+    frequencies = mean_frequencies.asNondeterministic()
+    words = F.transform("_k", lambda s: content_words(x.tokens(s)))
+    scored = cut.withColumn("_f", frequencies(words)).filter(F.size("_f") > 0)
+    places = F.transform("_k", lambda s, i: F.struct(i.alias("pos"), s.alias("sentence"), x.word_count(s).alias("n_words")))
+    return scored.select(*key, F.zip_with(places, "_f", lambda p, f: F.struct(
+        p["pos"].alias("pos"), p["sentence"].alias("sentence"), p["n_words"].alias("n_words"), f.alias("score"))).alias("_s"))
 
 
 def group_sentences(docs: DataFrame, key: list[str], order: str, body: str = "text") -> DataFrame:
