@@ -220,3 +220,32 @@ def test_chain_pieces_meet_in_any_order(spark):
     late = spark.createDataFrame([("b", "b-7", "b-8", 1), ("c", "", "c-1", 1)], schema)
     done = {r["c"]: tuple(r)[1:] for r in chain.chain_status(chain.landed(pieces, late, ["c"]), ["c"]).collect()}
     assert done["b"] == (20, "b-20", False, 1, 9) and done["c"] == (30, None, True, 0, 0)
+
+
+@pytest.mark.parametrize("tile_words", [10_000, 900, 600, 150])
+def test_every_two_tiles_meet_once(spark, tile_words):
+    """Long texts with many words in common, in one tile or in an even or odd number of them: each pair is found once."""
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = {(g, i): " ".join(rng.choices(vocab, weights=range(1, 41), k=30)) for g in ("x", "y") for i in range(50 if g == "x" else 4)}
+    df = spark.createDataFrame([(*k, t.split()) for k, t in texts.items()], "g string, d long, _t array<string>")
+    found = [((r.g, r.a, r.b), round(r.similarity, 6)) for r in similarity.pairs_above(df, ["g"], "d", 0.7, tile_words).collect()]
+    want = {(g, i, j): round(plain_similarity(a, b), 6) for (g, i), a in texts.items() for (h, j), b in texts.items() if g == h and i < j}
+    assert len(found) == len(dict(found)) and dict(found) == {k: s for k, s in want.items() if s > 0.7}
+
+
+def test_every_two_blocks_meet_once(monkeypatch):
+    """The blocks of a tile, with frequent words in matrices and rare ones in pairs of occurrences, a few at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    monkeypatch.setattr(similarity, "HELD", 5)
+    monkeypatch.setattr(similarity, "OFTEN", 2)
+    rng = random.Random(5)
+    texts = [rng.choices([f"w{i}" for i in range(60)], weights=range(1, 61), k=rng.randrange(1, 30)) for _ in range(30)]
+    n = len(texts)
+    tile = pa.RecordBatch.from_pydict({"g": ["x"] * n, "_id": list(range(n)), "_t": texts, "_tile": [0] * n, "_tiles": pa.nulls(n, pa.int32()), "_big": pa.nulls(n, pa.int32())})
+    rows = [r for b in similarity._compare_tiles(["g"], None, 0.3)([tile.slice(0, 11), tile.slice(11)]) for r in b.to_pylist()]
+    found = {(r["a"], r["b"]): round(r["similarity"], 6) for r in rows}
+    want = {(i, j): round(min(plain_similarity(" ".join(texts[i]), " ".join(texts[j])), 1.0), 6) for i in range(n) for j in range(i + 1, n)}
+    assert len(rows) == len(found) and found == {k: s for k, s in want.items() if s > 0.3}
