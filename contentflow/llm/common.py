@@ -7,9 +7,6 @@ Text is cut and hashed on whole Arrow batches with numpy. A word is a run of the
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -19,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentflow.session import shared_folder
+from contentflow.session import give_back, shared_folder
 
 PIECE_BYTES = 1 << 20  # text handled by numpy at a time; bounds a task's memory
 
@@ -109,15 +106,6 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE_BYTE
     give_back()
 
 
-def give_back() -> None:
-    """Returns freed memory to the system at the end of a task: a worker lives on for other tasks, and what its
-    allocators keep would add up with that of the workers beside it."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # no such call outside glibc
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span of ``data`` (ascending, non-overlapping), by prefix sums of a polynomial."""
     out = np.empty(len(starts), np.uint64)

@@ -21,23 +21,48 @@ from pyspark.sql.types import ArrayType, DoubleType
 from contentflow.functions import text as x
 from contentflow.operators.ordering import top_per_key
 from contentflow.operators.quality import content_words
+from contentflow.session import give_back
+
+
+PART_WORDS = 1 << 17  # words that numpy holds at a time
+
+
+def _parts(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Consecutive texts of at most ``most`` words together, or one text."""
+    per_text = np.asarray(pc.fill_null(pc.list_value_length(texts), 0), np.int64)
+    words = np.append(0, np.cumsum(np.asarray(pc.list_value_length(texts.flatten()), np.int64)))
+    upto = words[np.append(0, np.cumsum(per_text))]  # words before each text
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + most, "right")) - 1)
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def _means(texts: pa.Array) -> pa.Array:
+    sentences = texts.flatten()
+    words = sentences.flatten()
+    per_text = np.asarray(pc.fill_null(pc.list_value_length(texts), 0), np.int64)
+    per_sentence = np.asarray(pc.list_value_length(sentences), np.int64)
+    text_of = np.repeat(np.repeat(np.arange(len(texts)), per_text), per_sentence)
+    code = np.asarray(words.dictionary_encode().indices, np.int64)
+    _, place, seen = np.unique(text_of * (len(words) + 1) + code, return_inverse=True, return_counts=True)
+    total = np.append(0, np.cumsum(seen[place]))
+    stop = np.cumsum(per_sentence)
+    mean = (total[stop] - total[stop - per_sentence]) / np.maximum(per_sentence, 1)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)), pa.int32()), pa.array(mean, pa.float64()))
 
 
 @F.arrow_udf(ArrayType(DoubleType()))
 def mean_frequencies(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """For the words of each sentence of a text, how often they occur in the text on average (no words: 0)."""
+    """For the words of each sentence of a text, how often they occur in the text on average (no words: 0).
+
+    Memory follows one Arrow batch of words; what is counted beside it is bounded by ``PART_WORDS`` or the longest text."""
     for texts in parts:
-        sentences = texts.flatten()
-        words = sentences.flatten()
-        per_text = np.asarray(pc.fill_null(pc.list_value_length(texts), 0), np.int64)
-        per_sentence = np.asarray(pc.list_value_length(sentences), np.int64)
-        text_of = np.repeat(np.repeat(np.arange(len(texts)), per_text), per_sentence)
-        code = np.asarray(words.dictionary_encode().indices, np.int64)
-        _, place, seen = np.unique(text_of * (len(words) + 1) + code, return_inverse=True, return_counts=True)
-        total = np.append(0, np.cumsum(seen[place]))
-        stop = np.cumsum(per_sentence)
-        mean = (total[stop] - total[stop - per_sentence]) / np.maximum(per_sentence, 1)
-        yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)), pa.int32()), pa.array(mean, pa.float64()))
+        found = [_means(part) for part in _parts(texts, PART_WORDS)]
+        yield pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.float64()))
+        del texts, found
+    give_back()
 
 
 def sentence_scores(docs: DataFrame, key: list[str], body: str = "text") -> DataFrame:

@@ -138,3 +138,22 @@ def test_summary_of_a_group_of_texts(spark):
     assert score["Cats like cats"] > score["Cats chase mice"] > score["Dogs sleep"]
     out = {r.k: r.summary for r in summaries.extractive_summary(docs, ["k"], max_words=6, order="n").collect()}
     assert set(out) == {"g", "h"} and out["g"].startswith("Cats chase mice") and "Cats like cats" in out["g"]
+
+
+def test_words_of_a_batch_are_counted_a_part_at_a_time(monkeypatch):
+    """Numpy holds the words of few texts of a batch at a time, and the scores are those of the whole batch."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [[rng.choices("abcdef", k=rng.randrange(5)) for _ in range(rng.randrange(6))] for _ in range(40)] + [None, [], [["a"] * 500]]
+    want = [[sum(sum(w in s for s in [x]) * sum(y.count(w) for y in t) for w in x) / len(x) if x else 0.0 for x in t] for t in [t or [] for t in texts]]
+    held = []
+    means = summaries._means
+    monkeypatch.setattr(summaries, "PART_WORDS", 20)
+    monkeypatch.setattr(summaries, "_means", lambda part: held.append(sum(len(s) for t in part.to_pylist() for s in t or [])) or means(part))
+    batch = pa.array([None, *texts], pa.list_(pa.list_(pa.string()))).slice(1)
+    got = next(iter(summaries.mean_frequencies.func(iter([batch])))).to_pylist()
+    assert got == [pytest.approx(w) for w in want]
+    assert len(held) > 5 and max(held[:-1]) <= 20 and sum(held) == sum(len(s) for t in texts for s in t or [])
