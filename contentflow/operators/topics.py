@@ -13,15 +13,6 @@ from contentflow.operators.ordering import numbered, top_per_key
 from contentflow.session import cut_lineage, shared_table
 
 
-def dense_vectors(weights: DataFrame, docs: DataFrame, vocab: DataFrame, doc: str) -> DataFrame:
-    """(doc, vec): fixed-width rows; the width is the limit of the vocabulary. Texts without
-    a vocabulary term get a null vector."""
-    terms = F.array(*[F.lit(r["term"]) for r in vocab.select("term").orderBy("term").collect()])  # at most max_features
-    maps = weights.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("_m"))
-    vec = F.transform(terms, lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0.0)))
-    return docs.select(doc).join(maps, doc, "left").select(doc, F.when(F.col("_m").isNotNull(), vec).alias("vec"))
-
-
 BLOCK = 4096  # rows of fixed width that a task compares at a time, and that one task settles in order
 GROWTH = 8  # every round looks at so many times the texts of the one before
 
@@ -259,9 +250,10 @@ def ranked_topics(topics: DataFrame) -> DataFrame:
 
 def extract_topics(docs: DataFrame, doc: str, body: str = "text", max_features: int = 100) -> dict[str, DataFrame]:
     """Clusters, topics and scores of a corpus."""
-    vocab = cut_lineage(tfidf.corpus_vocabulary(docs, body, max_features))
-    weights = cut_lineage(tfidf.corpus_weights(docs, doc, vocab, body))
-    labels = leader_clusters(dense_vectors(weights, docs, vocab, doc), doc)
+    words = tfidf.corpus_words(docs, [doc], body)
+    vocab = cut_lineage(tfidf.corpus_vocabulary(docs, body, max_features, words=words))
+    weights, _ = shared_table(tfidf.corpus_weights(docs, doc, vocab, body, words=words), "topic-weights")
+    labels, _ = shared_table(leader_clusters(tfidf.corpus_vectors(words, doc, vocab), doc), "topic-labels")
     pairs = labels.select(doc, "label")
     centres = topic_centres(weights, pairs, doc)
     topics = topic_summary(centres, pairs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contentflow.operators import tfidf, topics
 from contentflow.plans.registry import query
 from contentflow.plans.textstats import STOP, tok_sql
-from contentflow.session import cut_lineage
+from contentflow.session import shared_table
 
 CORPUS_SQL = f"""
 tk AS (SELECT doc_id, list_filter({tok_sql('text')}, lambda w: length(w) > 1 AND w NOT IN {STOP}) AS t FROM documents),
@@ -28,8 +28,9 @@ scored AS (SELECT doc_id, label, sum(w*c)/(sqrt(sum(w*w))*any_value(nc)) AS scor
 def given_topics(t):
     """(weights, centres, labels) with the source as the label."""
     d = t.documents().select("doc_id", "text", F.col("source").alias("label"))
-    vocab = tfidf.corpus_vocabulary(d)
-    w = cut_lineage(tfidf.corpus_weights(d, "doc_id", vocab))  # at most 100 rows per text, read by several steps
+    words = tfidf.corpus_words(d, ["doc_id"])
+    vocab = tfidf.corpus_vocabulary(d, words=words)
+    w, _ = shared_table(tfidf.corpus_weights(d, "doc_id", vocab, words=words), "topic-weights")  # at most 100 rows per text, read by several steps
     labels = d.select("doc_id", "label")
     return w, topics.topic_centres(w, labels, "doc_id"), labels
 

@@ -249,3 +249,30 @@ def test_every_two_blocks_meet_once(monkeypatch):
     found = {(r["a"], r["b"]): round(r["similarity"], 6) for r in rows}
     want = {(i, j): round(min(plain_similarity(" ".join(texts[i]), " ".join(texts[j])), 1.0), 6) for i in range(n) for j in range(i + 1, n)}
     assert len(rows) == len(found) and found == {k: s for k, s in want.items() if s > 0.3}
+
+
+@pytest.mark.parametrize("most_second", [1 << 16, 2])
+@pytest.mark.parametrize("n_words,features", [(6, 8), (40, 8), (40, 100)])
+def test_corpus_vocabulary_counts_all_that_can_be_in_it(spark, monkeypatch, n_words, features, most_second):
+    """Words in most texts are left out but their pairs are not; ties go by name; texts are cut into words once."""
+    from collections import Counter
+
+    monkeypatch.setattr(tfidf, "MOST_SECOND", most_second)
+    rng = random.Random(n_words)
+    names = [f"w{i:02}" for i in range(n_words)]
+    texts = [["zeta", *rng.choices(names, k=rng.randrange(1, 8)), "zeta"] for _ in range(30)] + [[], ["single"]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(99, None)], "d long, text string")
+    terms = [t + [f"{a} {b}" for a, b in zip(t, t[1:])] for t in texts] + [[]]
+    ctf, seen = Counter(w for t in terms for w in t), Counter(w for t in terms for w in set(t))
+    want = sorted((w for w in ctf if seen[w] <= 0.9 * len(terms)), key=lambda w: (-ctf[w], w))[:features]
+    words = tfidf.corpus_words(df, ["d"])
+    monkeypatch.setattr(tfidf, "term_array", None)
+    vocab = tfidf.corpus_vocabulary(df, max_features=features, words=words)
+    assert {r.term: r.df for r in vocab.collect()} == {w: seen[w] for w in want}
+    idf = {r.term: r.idf for r in vocab.collect()}
+    raw = [{w: t.count(w) * idf[w] for w in set(t) & set(want)} for t in terms]
+    unit = {(i if i < 32 else 99, w): v / sum(x * x for x in r.values()) ** 0.5 for i, r in enumerate(raw) for w, v in r.items()}
+    assert {(r.d, r.term): r.w for r in tfidf.corpus_weights(df, "d", vocab, words=words).collect()} == pytest.approx(unit)
+    vectors = {r.d: r.vec for r in tfidf.corpus_vectors(words, "d", vocab).collect()}
+    assert len(vectors) == 33 and vectors[99] is None
+    assert all(v is None or v == pytest.approx([unit.get((d, w), 0.0) for w in sorted(want)]) for d, v in vectors.items())
