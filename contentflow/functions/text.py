@@ -373,23 +373,58 @@ def around(text, start, end, margin: int = 50) -> Column:
     return F.substring(col(text), lo + 1, hi - lo)
 
 
-def source_context(fact, content, ratio_above: float = 80.0) -> Column:
+def sorted_tokens(c) -> Column:
+    return F.sort_array(tokens(c))
+
+
+def _without_common_start(a: Column, b: Column) -> Column:
+    """Struct of two arrays without the elements they begin with in common."""
+    same = F.zip_with(a, b, lambda v, w: F.coalesce(v == w, F.lit(False)))
+    n = let({"at": F.array_position(same, F.lit(False))}, lambda v: F.when(v["at"] > 0, v["at"] - 1).otherwise(F.size(a)).cast("int"))
+    return let({"n": n}, lambda v: F.struct(F.slice(a, v["n"] + 1, F.greatest(F.size(a), F.lit(1))).alias("a"),
+                                            F.slice(b, v["n"] + 1, F.greatest(F.size(b), F.lit(1))).alias("b")))
+
+
+def word_list_distance(a: Column, b: Column, most: Column) -> Column:
+    """Edit distance of two lists of words, each not empty and joined by spaces; null beyond ``most``.
+
+    Words that both lists begin or end with don't change the distance and are left out first."""
+    def ended(words):
+        return F.array_join(F.transform(words, lambda w: F.concat(w, F.lit(" "))), "")
+
+    def rest(v):
+        return _without_common_start(F.reverse(v["r"]["a"]), F.reverse(v["r"]["b"]))
+
+    def measured(v):
+        return F.call_function("levenshtein", ended(F.reverse(v["r"]["a"])), ended(F.reverse(v["r"]["b"])), most)
+
+    found = let({"r": let({"r": _without_common_start(a, b)}, rest)}, measured)
+    return F.nullif(found, F.lit(-1))
+
+
+def source_context(fact, content, ratio_above: float = 80.0, content_tokens_sorted=None) -> Column:
     """Surroundings of an exact hit, the whole text for a near match of sorted words, else null.
 
-    The edit distance is only computed when the lengths allow such a match."""
+    The edit distance is only computed when the lengths allow such a match. ``content_tokens_sorted`` may hold
+    :func:`sorted_tokens` of the content where many facts meet one content."""
     fact, content = col(fact), col(content)
+    theirs = sorted_tokens(content) if content_tokens_sorted is None else col(content_tokens_sorted)
+
+    def joined_length(words):
+        return F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w)) + F.size(words) - 1
 
     def near(v):
-        longest = F.greatest(F.length(v["a"]), F.length(v["b"]))
-        possible = (longest > 0) & (F.abs(F.length(v["a"]) - F.length(v["b"])) <= longest * (1 - ratio_above / 100))
-        return F.when(possible, 100 * (1 - F.levenshtein(v["a"], v["b"]) / longest) > ratio_above).otherwise(False)
+        longest, allowed = F.greatest(v["m"], v["n"]), F.greatest(v["m"], v["n"]) * (1 - ratio_above / 100)
+        possible = (F.size(v["a"]) > 0) & (F.size(v["b"]) > 0) & (F.abs(v["m"] - v["n"]) <= allowed)
+        distance = word_list_distance(v["a"], v["b"], F.ceil(allowed).cast("int"))
+        return F.when(possible, F.coalesce(100 * (1 - distance / longest) > ratio_above, F.lit(False))).otherwise(False)
 
-    def sorted_words(c):
-        return F.array_join(F.array_sort(tokens(c)), " ")
+    def sized(v):
+        return let({"a": v["a"], "b": v["b"], "m": joined_length(v["a"]), "n": joined_length(v["b"])}, near)
 
     return let({"at": F.position(fact, content) - 1}, lambda p: F.when(
         p["at"] >= 0, around(content, p["at"], p["at"] + F.length(fact))).when(
-        let({"a": sorted_words(fact), "b": sorted_words(content)}, near), content))
+        let({"a": sorted_tokens(fact), "b": theirs}, sized), content))
 
 
 def relevance(summary, body, default: float = 0.8) -> Column:

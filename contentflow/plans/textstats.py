@@ -322,10 +322,14 @@ SELECT group_id, pos, CAST(i AS INTEGER) AS i, CAST(which AS INTEGER) AS which,
 def fact_source_context(t):
     """Every sentence of a turn as a fact, looked for in the turn and in the next one."""
     p = turn_pairs(t)
-    facts = p.select("group_id", "pos", "first", "second", F.posexplode_outer(x.sentences("first")).alias("i", "fact")).filter(F.col("fact").isNotNull())
-    rows = facts.select("group_id", "pos", (F.col("i") + 1).alias("i"), "fact", F.posexplode(F.array("first", "second")).alias("which", "content"))
-    tails = p.select("group_id", "pos", F.lit(0).alias("i"), F.concat("first", F.lit(" tail")).alias("fact"), F.lit(2).alias("which"), F.col("first").alias("content"))
-    return rows.unionByName(tails).select("group_id", "pos", "i", "which", F.coalesce(x.source_context("fact", "content"), F.lit("-")).alias("context"))
+    sides = F.array(*[F.struct(F.col(c).alias("content"), x.sorted_tokens(c).alias("tokens")) for c in ("first", "second")])
+    facts = p.select("group_id", "pos", sides.alias("sides"), F.posexplode_outer(x.sentences("first")).alias("i", "fact")).filter(F.col("fact").isNotNull())
+    rows = facts.select("group_id", "pos", (F.col("i") + 1).alias("i"), "fact", F.posexplode("sides").alias("which", "side")).select(
+        "group_id", "pos", "i", "fact", "which", "side.content", "side.tokens")
+    tails = p.select("group_id", "pos", F.lit(0).alias("i"), F.concat("first", F.lit(" tail")).alias("fact"), F.lit(2).alias("which"),
+                     F.col("first").alias("content"), x.sorted_tokens("first").alias("tokens"))
+    context = x.source_context("fact", "content", content_tokens_sorted="tokens")
+    return rows.unionByName(tails).select("group_id", "pos", "i", "which", F.coalesce(context, F.lit("-")).alias("context"))
 
 
 @query("H44_claims", f"""

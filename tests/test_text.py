@@ -157,3 +157,30 @@ def test_words_of_a_batch_are_counted_a_part_at_a_time(monkeypatch):
     got = next(iter(summaries.mean_frequencies.func(iter([batch])))).to_pylist()
     assert got == [pytest.approx(w) for w in want]
     assert len(held) > 5 and max(held[:-1]) <= 20 and sum(held) == sum(len(s) for t in texts for s in t or [])
+
+
+def test_near_facts_cost_no_full_edit_distance(spark):
+    """Equal to the plain distance of the sorted words; words in common at both ends are left out before it is computed."""
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, q in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
+        return row[-1]
+
+    rng = random.Random(4)
+    words = ["a", "ab", "abc", "b", "bcd", "cd", "é", "zz"]
+    lists = [(sorted(rng.choices(words, k=rng.randrange(1, 6))), sorted(rng.choices(words, k=rng.randrange(1, 6)))) for _ in range(200)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(lists)], "i int, a array<string>, b array<string>")
+    got = {r.i: r.v for r in df.select("i", x.word_list_distance(F.col("a"), F.col("b"), F.lit(99)).alias("v")).collect()}
+    assert got == {i: plain(" ".join(a), " ".join(b)) for i, (a, b) in enumerate(lists)}
+    near = {r.i: r.v for r in df.select("i", x.source_context(F.concat(F.lit("!"), F.array_join("a", " ")), F.array_join("b", " ")).alias("v")).collect()}
+    ok = {i: 100 * (1 - plain(" ".join(a), " ".join(b)) / max(len(" ".join(a)), len(" ".join(b)))) > 80 for i, (a, b) in enumerate(lists)}
+    assert near == {i: " ".join(lists[i][1]) if ok[i] else None for i in ok}
+    long = " ".join(f"w{i}" for i in range(40_000))
+    start = time.time()
+    assert one(spark, long, x.source_context(F.concat("text", F.lit(" tail")), "text")) == long
+    assert time.time() - start < 60
