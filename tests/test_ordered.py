@@ -276,3 +276,17 @@ def test_corpus_vocabulary_counts_all_that_can_be_in_it(spark, monkeypatch, n_wo
     vectors = {r.d: r.vec for r in tfidf.corpus_vectors(words, "d", vocab).collect()}
     assert len(vectors) == 33 and vectors[99] is None
     assert all(v is None or v == pytest.approx([unit.get((d, w), 0.0) for w in sorted(want)]) for d, v in vectors.items())
+
+
+def test_texts_of_a_hot_group_stay_where_they_are(spark):
+    """The row of a hot group goes to its texts, not all of them to one task; small groups are joined as well."""
+    rows = spark.range(0, 6000, 1, 8).select(F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("g"), "id")).alias("g"), "id")
+    small = rows.select("g").distinct().withColumn("v", F.concat("g", F.lit("!")))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = tfidf.with_group_row(rows, small, ["g"]).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sorted(r.id for r in out) == list(range(6000)) and all(r.v == r.g + "!" for r in out)
+    assert len({r.part for r in out if r.g == "hot"}) > 3
