@@ -279,10 +279,18 @@ ENTITY_RE = (
     r"|(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4}"
     r"|[A-Z][a-z]+(?: [A-Z][a-z]+)+"
 )
+# The same matches for Java: a look at one character rules out most places, and no run is tried twice.
+ENTITY_SCAN_RE = (
+    r"(?=[$0-9A-Z])(?:\$[0-9][0-9,]*+(?:\.[0-9]++)?+"
+    r"|[0-9]++(?:\.[0-9]++)?+%"
+    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"|(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4}"
+    r"|[A-Z][a-z]++(?: [A-Z][a-z]++)++)"
+)
 
 
 def entities(c) -> Column:
-    return F.regexp_extract_all(col(c), F.lit(ENTITY_RE), F.lit(0))
+    return F.regexp_extract_all(col(c), F.lit(ENTITY_SCAN_RE), F.lit(0))
 
 
 def entity_label(e) -> Column:

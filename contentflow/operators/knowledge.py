@@ -79,13 +79,13 @@ EVIDENCE_WEIGHTS = (("keywords", 1.0), ("entities", 0.8), ("phrases", 0.6))
 def category_matches(docs: DataFrame, taxonomy: DataFrame, doc: str) -> DataFrame:
     """(doc, category, score) before normalisation.
 
-    ``docs`` has the arrays ``keywords``, ``entities`` and ``phrases``; equal phrases of a
-    text are summed before they meet the taxonomy."""
+    ``docs`` has the arrays ``keywords``, ``entities`` and ``phrases``. They meet the taxonomy before
+    any aggregation: where it is small enough to be broadcast, only what it knows is shuffled."""
     def weigh(arr, w):
         return F.transform(arr, lambda p: F.struct(F.lower(p).alias("keyword"), F.lit(w).alias("w")))
 
     weighted = F.concat(*[weigh(c, w) for c, w in EVIDENCE_WEIGHTS])
-    rows = docs.select(doc, F.inline(weighted)).groupBy(doc, "keyword").agg(F.sum("w").alias("w"))
+    rows = docs.select(doc, F.inline(weighted))
     return rows.join(taxonomy, "keyword").groupBy(doc, "category").agg(F.sum("w").alias("score"))
 
 

@@ -74,8 +74,8 @@ norm AS (SELECT doc_id, category, i, CASE WHEN top > 0 THEN score/top ELSE score
 
 def category_input(t):
     """Documents with their evidence arrays, and a keyword table drawn from the benchmark texts."""
-    d = t.documents().select(
-        "doc_id", x.longest_first(phrase_union(), 10).alias("keywords"), F.transform(x.entities("text"), F.lower).alias("entities"), x.phrases("text").alias("phrases"))
+    cut = t.documents().select("doc_id", F.transform(x.entities("text"), F.lower).alias("entities"), x.phrases("text").alias("phrases"))
+    d = cut.select("doc_id", x.longest_first(F.array_union("phrases", "entities"), 10).alias("keywords"), "entities", "phrases")
     cats = F.array(*[F.lit(c) for c in CATEGORIES])
     tax = t.read("benchmark").select(F.explode(x.tokens("text")).alias("keyword"), F.get(cats, (F.col("item_id") % 10).cast("int")).alias("category")).distinct()
     return d, tax

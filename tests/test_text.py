@@ -1,5 +1,6 @@
 """Text measures on the small cases with known results."""
 
+import re
 import time
 
 import pytest
@@ -184,3 +185,29 @@ def test_near_facts_cost_no_full_edit_distance(spark):
     start = time.time()
     assert one(spark, long, x.source_context(F.concat("text", F.lit(" tail")), "text")) == long
     assert time.time() - start < 60
+
+
+def test_entities_scan_finds_what_the_pattern_finds(spark):
+    texts = ["$1,200.50 and $5. and $7.x, 12.5% of 12%% 3.4.5% 2024-01-02 12024-01-023", "May 3, 2024 May 33, 20245 Jane Doe Smith McDonald Ann Lee A b XAnn Lee",
+             "Ann\nLee Ann  Lee Élan Vital 9" * 3, "", "1" * 3000, "Ann Lee " * 20_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", x.entities("text").alias("e"))
+    assert all(r.e == [m.group() for m in re.finditer(x.ENTITY_RE, r.text)] for r in df.collect())
+
+
+def test_category_evidence_is_cut_once_and_not_shuffled_by_keyword(spark):
+    from __spark_entry__ import queries
+
+    names = ("E4_keyword_taxonomy_join", "H24_normalised_category_scores", "G9_category_ranking")
+    for name in names:
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        assert plan.optimizedPlan().toString().count("January|February") == 1, name
+        assert not re.search(r"hashpartitioning\(doc_id#\d+L?, keyword", plan.executedPlan().toString()), name
+
+
+def test_category_matches_sum_repeated_evidence(spark):
+    docs = spark.createDataFrame([(1, ["A b"], ["a b", "c"], ["c", "c", "none"]), (2, [], [], ["none"]), (3, None, ["c"], [])],
+                                 "d long, keywords array<string>, entities array<string>, phrases array<string>")
+    tax = spark.createDataFrame([("a b", "travel"), ("c", "travel"), ("c", "health")], "keyword string, category string")
+    got = {(r.d, r.category): round(r.score, 9) for r in knowledge.category_matches(docs, tax, "d").collect()}
+    assert got == {(1, "travel"): 3.8, (1, "health"): 2.0}
+    assert knowledge.categorise(docs, tax, "d").count() == 3
