@@ -40,7 +40,12 @@ def word_count(c) -> Column:
 
 def tokens(c) -> Column:
     """Lower-case runs of letters or digits."""
-    return F.regexp_extract_all(F.lower(col(c)), F.lit(TOKEN_RE), F.lit(0))
+    return tokens_of_lower(F.lower(col(c)))
+
+
+def tokens_of_lower(lower) -> Column:
+    """:func:`tokens` of a text in lower case."""
+    return F.regexp_extract_all(col(lower), F.lit(TOKEN_RE), F.lit(0))
 
 
 def content_tokens(c, stop_words=ENGLISH_STOP_WORDS) -> Column:
@@ -132,7 +137,12 @@ def token_count(c) -> Column:
 
 def flesch_by_letters(c) -> Column:
     """Vowel letters stand in for syllables."""
-    counted = {"w": token_count(c), "s": F.size(sentences(c)), "v": F.regexp_count(F.lower(col(c)), F.lit("[aeiou]"))}
+    return flesch_of_counts(token_count(c), F.size(sentences(c)), F.lower(col(c)))
+
+
+def flesch_of_counts(n_tokens, n_sentences, lower) -> Column:
+    """:func:`flesch_by_letters` of a text whose tokens and sentences are counted already; ``lower`` is the text in lower case."""
+    counted = {"w": col(n_tokens), "s": col(n_sentences), "v": F.regexp_count(col(lower), F.lit("[aeiou]"))}
     return let(counted, lambda n: flesch(n["w"], n["s"], n["v"]))
 
 
@@ -180,30 +190,21 @@ def token_sets(pieces: Column) -> Column:
     return F.transform(pieces, lambda s: F.array_distinct(tokens(s)))
 
 
+def neighbour_scores(sets, skip_empty: bool = True) -> Column:
+    """Jaccard scores of neighbouring sets. A pair with an empty side is left out, or counts as zero without ``skip_empty``."""
+    arr = col(sets)
+    n = F.greatest(F.size(arr) - 1, F.lit(0))
+    none = F.lit(None).cast("double") if skip_empty else F.lit(0.0)
+    scores = F.zip_with(F.slice(arr, F.lit(1), n), F.slice(arr, F.lit(2), n), lambda a, b: F.when(
+        (F.size(a) > 0) & (F.size(b) > 0), (F.size(a) + F.size(b)) / F.size(F.array_union(a, b)) - 1).otherwise(none))
+    return F.array_compact(scores) if skip_empty else scores
+
+
 def fold_neighbours(sets, finish, low_below: float = 0.3, skip_empty: bool = True) -> Column:
-    """Fold of the Jaccard scores of neighbouring sets. A pair with an empty side is left
-    out, or counts as zero without ``skip_empty``."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("prev"), F.lit(0).alias("size"), F.lit(0).alias("n"),
-        F.lit(0).alias("low"), F.lit(0.0).alias("total"), F.lit(0.0).alias("last"))
-
-    def score(acc, cur):
-        full = (F.size(acc["prev"]) > 0) & (F.size(cur) > 0)
-        value = F.when((acc["size"] > 0) & full, (F.size(acc["prev"]) + F.size(cur)) / F.size(F.array_union(acc["prev"], cur)) - 1)
-        if not skip_empty:
-            value = value.when(acc["size"] > 0, F.lit(0.0))
-        return F.struct(acc.alias("acc"), cur.alias("cur"), value.alias("value"))
-
-    def step(acc, cur):
-        done = F.transform(F.array(score(acc, cur)), lambda s: F.struct(
-            s["cur"].alias("prev"), (s["acc"]["size"] + 1).alias("size"),
-            (s["acc"]["n"] + s["value"].isNotNull().cast("int")).alias("n"),
-            (s["acc"]["low"] + F.coalesce(s["value"] < low_below, F.lit(False)).cast("int")).alias("low"),
-            (s["acc"]["total"] + F.coalesce(s["value"], F.lit(0.0))).alias("total"),
-            F.coalesce(s["value"], F.lit(0.0)).alias("last")))
-        return F.get(done, F.lit(0))
-
-    return F.aggregate(col(sets), start, step, finish)
+    """``finish`` over the neighbours' scores: ``size`` sets, ``n`` scores, ``low`` of them below the limit, their ``total``."""
+    return let({"size": F.array_size(col(sets)), "scores": neighbour_scores(sets, skip_empty)}, lambda v: let({
+        "size": v["size"], "n": F.size(v["scores"]), "low": F.size(F.filter(v["scores"], lambda s: s < low_below)),
+        "total": F.aggregate(v["scores"], F.lit(0.0), lambda t, s: t + s)}, lambda a: F.when(a["size"].isNotNull(), finish(a))))
 
 
 def coherence_of(sets) -> Column:
@@ -227,11 +228,15 @@ def shift_coherence(c) -> Column:
     return shift_coherence_of(token_sets(sentences(c)))
 
 
-def sentence_variety(marked_sentences) -> Column:
-    """0.2 x capped variance of the sentence lengths + 0.4 x capped share of questions and exclamations."""
+def sentence_variety(marked_sentences, lengths=None) -> Column:
+    """0.2 x capped variance of the sentence lengths + 0.4 x capped share of questions and exclamations.
+
+    ``lengths`` may hold the numbers of tokens of the sentences where they are known."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).alias("m"))
-    rows = F.transform(col(marked_sentences), lambda s: F.struct(
-        token_count(s).cast("double").alias("len"), (s.endswith("?") | s.endswith("!")).cast("int").alias("mark")))
+    marked = col(marked_sentences)
+    counts = F.transform(marked, token_count) if lengths is None else col(lengths)
+    rows = F.zip_with(marked, counts, lambda s, n: F.struct(
+        n.cast("double").alias("len"), (s.endswith("?") | s.endswith("!")).cast("int").alias("mark")))
     return F.aggregate(
         rows, start,
         lambda a, r: F.struct((a["n"] + 1).alias("n"), (a["s"] + r["len"]).alias("s"),
@@ -241,27 +246,30 @@ def sentence_variety(marked_sentences) -> Column:
             + F.least(a["m"] / a["n"] * 2, F.lit(1.0)) * 0.4))
 
 
-def engagement_of(marked_sentences, alpha) -> Column:
+def engagement_of(marked_sentences, alpha, lengths=None) -> Column:
     rich = ratio(F.size(F.array_distinct(col(alpha))), F.size(col(alpha)))
-    return clamp(rich * 0.4 + sentence_variety(marked_sentences), 0.0, 1.0)
+    return clamp(rich * 0.4 + sentence_variety(marked_sentences, lengths), 0.0, 1.0)
 
 
 def phrases(c, stop_words=ENGLISH_STOP_WORDS) -> Column:
     """Runs of content words between stop words, digits and punctuation."""
-    parts = F.regexp_extract_all(F.lower(col(c)), F.lit(r"\p{L}+|[^\p{L} \t\n\r\f]+"), F.lit(0))
-    marked = F.transform(
-        parts, lambda t: F.when(t.isin(list(stop_words)) | ~t.rlike(r"^\p{L}"), F.lit("|")).otherwise(t)
-    )
-    return F.filter(F.transform(F.split(F.array_join(marked, " "), r"\|"), strip), lambda p: p != "")
+    return phrases_of_lower(F.lower(col(c)), stop_words)
+
+
+def phrases_of_lower(lower, stop_words=ENGLISH_STOP_WORDS) -> Column:
+    """:func:`phrases` of a text in lower case."""
+    parts = F.split(F.regexp_replace(col(lower), r"[^\p{L} \t\n\r\f]+", " | "), WS_RE)
+    marked = F.transform(parts, lambda t: F.when(t.isin(list(stop_words)), F.lit("|")).otherwise(t))
+    return F.filter(F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def sentence_shapes(pieces) -> Column:
     """One string per sentence: N number, C capitalised word, w other word."""
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
     def shape(s):
-        toks = F.regexp_extract_all(s, F.lit(TOKEN_RE), F.lit(0))
-        return F.array_join(
-            F.transform(toks, lambda t: F.when(t.rlike(r"^[0-9]"), F.lit("N")).when(t.rlike(r"^[A-Z]"), F.lit("C"))
-                        .otherwise(F.lit("w"))), "")
+        firsts = F.regexp_replace(s, r"([\p{L}\p{N}])[\p{L}\p{N}]*+[^\p{L}\p{N}]*+|^[^\p{L}\p{N}]++", "$1")
+        return F.regexp_replace(F.translate(firsts, upper + digits, "C" * len(upper) + "N" * len(digits)), "[^CN]", "w")
     return F.transform(col(pieces), shape)
 
 

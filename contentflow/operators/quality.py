@@ -33,19 +33,23 @@ def quality_flags(n_tokens: Column, top: Column, n_sentences: Column, readabilit
 def text_profile(df: DataFrame, body: str = "text") -> DataFrame:
     """Arrays and counts the measures share, cut once per row; unused ones are pruned."""
     return (
-        df.withColumns({
-            "_tok": x.tokens(body), "_sents": x.sentences(body), "_marked": x.sentences_with_end(body),
-            "_ents": x.entities(body), "_phrases": x.phrases(body), "_numbers": F.regexp_count(body, F.lit("[0-9]+")),
+        df.withColumn("_low", F.lower(body))
+        .withColumns({
+            "_tok": x.tokens_of_lower("_low"), "_sents": x.sentences(body), "_marked": x.sentences_with_end(body),
+            "_ents": x.entities(body), "_phrases": x.phrases_of_lower("_low"), "_numbers": F.regexp_count(body, F.lit("[0-9]+")),
         })
         .withColumns({
             "_alpha": F.filter("_tok", lambda t: t.rlike(r"^\p{L}+$")),
-            "_shapes": x.sentence_shapes("_sents"), "_sets": x.token_sets(F.col("_sents")),
+            "_shapes": x.sentence_shapes("_sents"), "_stok": F.transform("_sents", x.tokens),
+        })
+        .withColumns({
+            "_content": F.filter("_alpha", lambda t: ~t.isin(list(ENGLISH_STOP_WORDS))),
+            "_sets": F.transform("_stok", F.array_distinct), "_lengths": F.transform("_stok", F.size),
         })
-        .withColumn("_content", F.filter("_alpha", lambda t: ~t.isin(list(ENGLISH_STOP_WORDS))))
     )
 
 
-PROFILE = ["_tok", "_sents", "_marked", "_ents", "_phrases", "_numbers", "_alpha", "_shapes", "_sets", "_content"]
+PROFILE = ["_low", "_tok", "_sents", "_marked", "_ents", "_phrases", "_numbers", "_alpha", "_shapes", "_stok", "_sets", "_lengths", "_content"]
 
 
 def detail_columns() -> dict[str, Column]:
@@ -66,9 +70,9 @@ def score_quality(df: DataFrame, body: str = "text", positive=POSITIVE_WORDS, ne
     p, n = x.hits("_tok", positive), x.hits("_tok", negative)
     scored = text_profile(df, body).withColumns({
         "_p": p, "_q": n, "_top": F.coalesce(x.most_repeated("_content"), F.lit(0)),
-        "readability_score": x.flesch_by_letters(body) / 100,
+        "readability_score": x.flesch_of_counts(F.array_size("_tok"), F.array_size("_sents"), "_low") / 100,
         "coherence_score": x.shift_coherence_of("_sets"),
-        "engagement_score": x.engagement_of("_marked", "_alpha"),
+        "engagement_score": x.engagement_of("_marked", "_alpha", "_lengths"),
         "originality_score": x.originality_of("_phrases", "_shapes"),
         "fact_density": x.fact_density_of("_ents", "_numbers", F.size("_tok")),
         **detail_columns(),

@@ -221,7 +221,7 @@ BASE_CTE = f"base AS (SELECT doc_id, text, {tok_sql('text')} AS tok FROM documen
 @query("H35_engagement", f"WITH {BASE_CTE}, {ENGAGE_CTE} SELECT doc_id, round(engagement_score, 6) AS engagement FROM eng")
 def engagement(t):
     p = quality.text_profile(t.documents().select("doc_id", "text"))
-    return p.select("doc_id", r6(x.engagement_of("_marked", "_alpha"), "engagement"))
+    return p.select("doc_id", r6(x.engagement_of("_marked", "_alpha", "_lengths"), "engagement"))
 
 
 PHRASES_SQL = f"""list_filter(list_transform(string_split(array_to_string(list_transform(regexp_extract_all(lower(text), '\\p{{L}}+|[^\\p{{L}} \\t\\n\\r\\f]+'),

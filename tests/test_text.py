@@ -1,7 +1,10 @@
 """Text measures on the small cases with known results."""
 
 import re
+import string
 import time
+import unicodedata
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from contentflow.functions import rules
 from contentflow.functions import text as x
 from contentflow.functions.mentions import _automaton, phrase_mentions, running_sum, walk
 from contentflow.operators import knowledge, quality, summaries
-from contentflow.vocab import LANGUAGE_PROFILES
+from contentflow.vocab import ENGLISH_STOP_WORDS, LANGUAGE_PROFILES
 
 
 def one(spark, text, expr):
@@ -211,3 +214,37 @@ def test_category_matches_sum_repeated_evidence(spark):
     got = {(r.d, r.category): round(r.score, 9) for r in knowledge.category_matches(docs, tax, "d").collect()}
     assert got == {(1, "travel"): 3.8, (1, "health"): 2.0}
     assert knowledge.categorise(docs, tax, "d").count() == 3
+
+
+def test_quality_cuts_each_text_once(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["H39_overall_quality"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"lower\(text#\d+\)", plan)) == 1
+    assert plan.count(f"{x.TOKEN_RE}, 0)") == 2 and f"regexp_count(text, {x.TOKEN_RE})" not in plan
+
+
+def test_quality_arrays_on_odd_texts(spark):
+    texts = ["...Ein Élan 9a! the Cat's | hat?? - . \x0b . and  good\tnews\nx1y", "", " . ! ", "A", None, "\U0001d400b C² ٣ the the. Of", "a  b\f\tthe \r\nc||d | e"]
+    p = quality.text_profile(spark.createDataFrame([(t,) for t in texts], "text string")).select(
+        "text", "_shapes", "_phrases", "_lengths", "_marked", "_tok", "_stok").collect()
+
+    def runs(s, kinds):
+        return ["".join(g) for inside, g in groupby(s, lambda c: unicodedata.category(c)[0] in kinds) if inside]
+
+    def shape(s):
+        return "".join("N" if w[0] in string.digits else "C" if w[0] in string.ascii_uppercase else "w" for w in runs(s, "LN"))
+
+    def phrases(text):
+        kind = lambda c: "l" if unicodedata.category(c)[0] == "L" else " " if c in x.WS else "|"
+        words = [(k, "".join(g)) for k, g in groupby(text.lower(), kind)]
+        line = " ".join("|" if k == "|" or w in ENGLISH_STOP_WORDS else w for k, w in words if k != " ")
+        return [w.strip() for w in line.split("|") if w.strip()]
+
+    for r in p:
+        if r.text is not None:
+            pieces = [s.strip(x.WS) for s in re.split("[.!?]+", r.text) if s.strip(x.WS)]
+            assert r._shapes == [shape(s) for s in pieces] and r._phrases == phrases(r.text)
+            assert len(r._marked) == len(pieces) and r._lengths == [len(s) for s in r._shapes] and sum(r._stok, []) == r._tok
+    empty = next(r for r in quality.score_quality(spark.createDataFrame([(None,)], "text string")).collect())
+    assert empty.readability_score == 0.0 and empty.coherence_score is None and empty.error == "empty text"
