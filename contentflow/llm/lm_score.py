@@ -81,9 +81,9 @@ def new_network(counts: np.ndarray, seed: int = 11) -> Network:
 
 def hidden(net: Network, context: np.ndarray) -> np.ndarray:
     """(positions, WIDTH) from the words around, (2 SIDE, positions)."""
-    out = (net.embed * net.place[0] + net.bias)[context[0]]
+    out = np.take(net.embed * net.place[0] + net.bias, context[0], axis=0)
     for o in range(1, 2 * SIDE):
-        out += (net.embed * net.place[o])[context[o]]
+        out += np.take(net.embed * net.place[o], context[o], axis=0)
     return np.tanh(out, out=out)
 
 
@@ -141,12 +141,12 @@ def gradient(net: Network, words: np.ndarray, context: np.ndarray) -> Network:
         to_member[c], member_bias[c] = h[run].T @ d, d.sum(axis=0)
         dh[run] += d @ net.to_member[c].T
     dh *= 1 - h * h
-    place = np.stack([(net.embed[around[o]] * dh).sum(axis=0) for o in range(2 * SIDE)])
-    embed = np.zeros_like(net.embed)
-    seen = around.ravel().astype(np.uint16)
-    sort = np.argsort(seen, kind="stable")
-    which, first = np.unique(seen[sort], return_index=True)
-    embed[which] = np.add.reduceat((dh[None] * net.place[:, None]).reshape(-1, WIDTH)[sort], first, axis=0)
+    sums = np.empty((WIDTH, 2 * SIDE, PAD + 1))  # of dh by place and the word there
+    for k, d in enumerate(np.ascontiguousarray(dh.T, np.float64)):
+        for o in range(2 * SIDE):
+            sums[k, o] = np.bincount(around[o], d, PAD + 1)
+    place = np.einsum("wk,kow->ok", net.embed, sums).astype(np.float32)
+    embed = np.einsum("kow,ok->wk", sums, net.place).astype(np.float32)
     return Network(embed, place, dh.sum(axis=0), to_class, class_bias, to_member, member_bias)
 
 

@@ -279,6 +279,27 @@ def test_training_beats_word_shares(spark):
     assert lm_score.log_chances(trainer.net, joined[held], lm_score.context_of(joined, held)).mean() > mean[0] + 1
 
 
+def test_gradient_sums_by_place_and_word_without_sorting(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = lm_score.new_network(rng.random(lm_score.PAD) * 100)
+    net.place[:] = rng.normal(1, 0.3, net.place.shape)
+    words, context = rng.integers(0, lm_score.PAD, 300), rng.integers(0, 40, (2 * lm_score.SIDE, 300))
+    context[:, :9] = lm_score.PAD
+    loss = lambda: -lm_score.log_chances(net, words, context).mean()
+    monkeypatch.setattr(np, "unique", None)  # no sort of all words around, which took two fifths of a step
+    got = lm_score.gradient(net, words, context)
+    monkeypatch.undo()
+    for param, found, at in ((net.embed, got.embed, (3, 5)), (net.embed, got.embed, (lm_score.PAD, 0)), (net.place, got.place, (2, 7)), (net.bias, got.bias, (4,))):
+        kept, low_high = param[at], []
+        for step in (-0.01, 0.01):
+            param[at] = kept + step
+            low_high.append(loss())
+        param[at] = kept
+        assert found[at] == pytest.approx((low_high[1] - low_high[0]) / 0.02, rel=0.02, abs=2e-6)
+    assert not got.embed[41:lm_score.PAD].any() and got.embed.dtype == got.place.dtype == np.float32
+
+
+
 def test_every_position_is_trained_once(spark):
     lists = [np.arange(n, dtype=np.uint16) for n in (0, 1, 2, 7, 0, 8, 13)]
     _, at, text = lm_score.windows(lists)
