@@ -251,6 +251,84 @@ def test_every_two_blocks_meet_once(monkeypatch):
     assert len(rows) == len(found) and found == {k: s for k, s in want.items() if s > 0.3}
 
 
+def in_tiles(texts, tiles, folder):
+    """The texts as written tiles, and the rows of work for them."""
+    import pyarrow as pa
+    from pyarrow import parquet as pq
+
+    order = sorted(range(len(texts)), key=lambda i: i % tiles)
+    rows = {"_big": [3] * len(texts), "_tile": [i % tiles for i in order], "_id": order, "_t": [texts[i] for i in order]}
+    for k, batch in enumerate(similarity._encode_tiles([pa.RecordBatch.from_pydict(rows)])):
+        at = folder / f"_big=3/_tile={batch.column('_tile')[0].as_py()}"
+        at.mkdir(parents=True, exist_ok=True)
+        half = batch.num_rows // 2  # row groups and files may come in any order
+        for name, part in (("b", batch.slice(0, half)), ("a", batch.slice(half))):
+            pq.write_table(pa.Table.from_batches([part.select(["_at", "_id", "_code", "_tf", "_names"])]), at / f"{name}{k}.parquet")
+    steps = range(0, tiles // 2 + 1, similarity.STEPS)
+    work = [{"g": "x", "_big": 3, "_tiles": tiles, "_own": own, "_step": step} for own in range(tiles) for step in steps]
+    return pa.RecordBatch.from_pylist(work)
+
+
+@pytest.mark.parametrize("few", [0, 3, 10 ** 6])
+@pytest.mark.parametrize("tiles,threshold", [(4, 0.3), (5, 0.3), (8, 0.0), (5, 0.9)])
+def test_written_tiles_are_compared_as_numbers(tmp_path, monkeypatch, few, tiles, threshold):
+    """Words are looked at when a tile is written, not again for each tile it meets. Pairs that the estimate leaves are summed one by
+    one or with their block; sums beyond single precision are exact."""
+    for name, value in {"BLOCK": 7, "HELD": 20, "OFTEN": 4, "CELLS": 28, "EXACT": 3, "BUCKETS": 5, "ESTIMATED": 1, "FEW": few, "STEPS": 2}.items():
+        monkeypatch.setattr(similarity, name, value)
+    rng = random.Random(tiles)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = [rng.choices(vocab, weights=range(1, 61), k=rng.randrange(1, 40)) for _ in range(40)]
+    texts += [[*texts[i], "hot", *["hot"] * rng.randrange(4500, 5500)] for i in range(4)]
+    work = in_tiles(texts, tiles, tmp_path)
+    monkeypatch.setattr(similarity, "_encoded", None)
+    rows = [r for b in similarity._compare_tiles(["g"], str(tmp_path), threshold)([work]) for r in b.to_pylist()]
+    found = {(r["a"], r["b"]): r["similarity"] for r in rows}
+    want = {(i, j): min(plain_similarity(" ".join(texts[i]), " ".join(texts[j])), 1.0) for i in range(len(texts)) for j in range(i + 1, len(texts))}
+    assert len(rows) == len(found) and found == pytest.approx({k: s for k, s in want.items() if s > threshold}, rel=1e-9)
+
+
+def test_a_tile_without_texts_has_no_pairs(tmp_path):
+    import pyarrow as pa
+
+    in_tiles([["same", "words"], ["same", "words", "here"]], 2, tmp_path)
+    work = pa.RecordBatch.from_pylist([{"g": "x", "_big": 3, "_tiles": 3, "_own": own, "_step": 0} for own in range(3)])
+    rows = [r for b in similarity._compare_tiles(["g"], str(tmp_path), 0.3)([work]) for r in b.to_pylist()]
+    assert [(r["a"], r["b"]) for r in rows] == [(0, 1)]
+
+
+def test_unlike_texts_are_ruled_out_by_the_estimate(monkeypatch):
+    """Few pairs are alike: no block is compared as a whole, and few pairs are summed."""
+    import pyarrow as pa
+
+    summed, sums = [], similarity._sums
+    monkeypatch.setattr(similarity, "_products", None)
+    monkeypatch.setattr(similarity, "_sums", lambda a, b, i, j, terms: summed.append(len(i)) or sums(a, b, i, j, terms))
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(4000)]
+    texts = [rng.choices(vocab, weights=[1 / (i + 3) for i in range(4000)], k=60) for _ in range(400)]
+    texts += [[*t[:50], "end"] for t in texts[:10]]
+    batch = pa.RecordBatch.from_pydict({"g": ["x"] * 410, "_id": list(range(410)), "_t": texts})
+    found = {(r["a"], r["b"]): r["similarity"] for b in similarity._compare_tiles(["g"], None, 0.5)([batch]) for r in b.to_pylist()}
+    want = {(i, j): plain_similarity(" ".join(texts[i]), " ".join(texts[j])) for i in range(410) for j in range(i + 1, 410)}
+    want = {k: s for k, s in want.items() if s > 0.5}
+    assert found == pytest.approx(want, rel=1e-9) and len(found) >= 10 and sum(summed) < 410 * 409 / 2 / 20
+
+
+def test_a_tile_has_a_bounded_number_of_texts(spark, monkeypatch):
+    """Many short texts are dealt into tiles too, though their words are few."""
+    monkeypatch.setattr(similarity, "TILE_TEXTS", 10)
+    texts = [["same", "words", f"w{i % 7}", f"v{i}"] for i in range(45)]
+    df = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)] + [("y", 1, ["one"]), ("y", 2, ["one", "two"])], "g string, d long, _t array<string>")
+    out = similarity.pairs_above(df, ["g"], "d", 0.5)
+    found = {(r.g, r.a, r.b): r.similarity for r in out.collect()}
+    want = {("x", i, j): plain_similarity(" ".join(texts[i]), " ".join(texts[j])) for i in range(45) for j in range(i + 1, 45)}
+    want["y", 1, 2] = plain_similarity("one", "one two")
+    assert found == pytest.approx({k: s for k, s in want.items() if s > 0.5}, rel=1e-9)
+    tasks = out.select(F.spark_partition_id().alias("p"), "g", "a").filter("g = 'x'").select("p").distinct().count()
+    assert tasks > 3
+
+
 @pytest.mark.parametrize("most_second", [1 << 16, 2])
 @pytest.mark.parametrize("n_words,features", [(6, 8), (40, 8), (40, 100)])
 def test_corpus_vocabulary_counts_all_that_can_be_in_it(spark, monkeypatch, n_words, features, most_second):
