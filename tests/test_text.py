@@ -20,6 +20,16 @@ def one(spark, text, expr):
     return spark.createDataFrame([(text,)], "text string").select(expr.alias("v")).first().v
 
 
+@pytest.mark.parametrize("places", [2, 6])
+def test_rounded_is_round(spark, places):
+    """Ties in binary and in decimal numbers, values beside them, large and odd ones; few of the common ones go through a decimal number."""
+    values = [0.5078125, 0.5015625, 0.50156250000001, 0.50156249999999, 0.125, 0.135, 1.005, -0.125, -0.135, -0.5078125, -1e-9, 0.0, -0.0, 1.0, 0.1 + 0.2, 1e5 + 0.1234565,
+              1e9 + 0.015, 1e300, -1e300, float("inf"), float("-inf"), float("nan"), None, *(k / 640 for k in range(-640, 641)), *(k / 2e6 + 5e-7 for k in range(300))]
+    df = spark.createDataFrame([(v,) for v in values], "v double").unionByName(spark.range(20000).select((F.rand(1) * 3 - 1).alias("v")))
+    assert df.filter(~x.rounded("v", places).eqNullSafe(F.round("v", places))).count() == 0
+    assert df.filter(x.rounded("v", places).isNull() != F.col("v").isNull()).count() == 0
+
+
 @pytest.mark.parametrize("word,n", [("hello", 2), ("world", 1), ("beautiful", 3), ("programming", 3), ("the", 1), ("table", 2), ("degree", 1),
                                     ("rhythm", 1), ("be", 1), ("ale", 1), ("tree able", 3), ("", 0)])
 def test_syllables(spark, word, n):
